@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from predio.scale import SINGLE_TASK_ROWS, at_most, lookup, settle
+from predio.scale import SINGLE_TASK_ROWS, settle
 from predio.schema import CODE, SEGMENT
 
 
@@ -18,7 +18,7 @@ def dense_codes(
     partition, and shifted by the number of rows in the partitions before it.
     """
     values = settle(values, "values")
-    if at_most(values, single_task_rows):
+    if values.count() <= single_task_rows:  # a metadata-only count
         rank = F.row_number().over(Window.orderBy(*order))
         return values.withColumn(name, (rank - 1).cast("int"))
 
@@ -51,7 +51,7 @@ def fit_encoder(
 
 def encode(df: DataFrame, encoder: DataFrame, column: str = SEGMENT) -> DataFrame:
     """Add the code column; values the encoder has not seen get NULL."""
-    return lookup(df, encoder, [column]).select(
+    return df.join(encoder, [column], "left").select(
         *df.columns, *[c for c in encoder.columns if c != column]
     )
 

@@ -47,8 +47,10 @@ def ridge_solver(alpha: float):
         cov = np.zeros((size, size))
         cov[np.triu_indices(size)] = upper
         cov = cov + np.triu(cov, 1).T
-        penalty = alpha / n * np.eye(size - 1)
-        coef = np.linalg.lstsq(cov[:-1, :-1] + penalty, cov[:-1, -1], rcond=None)[0]
+        scale = np.sqrt(np.diag(cov)[:-1])
+        scale[scale == 0] = 1.0
+        system = (cov[:-1, :-1] + alpha / n * np.eye(size - 1)) / np.outer(scale, scale)
+        coef = np.linalg.lstsq(system, cov[:-1, -1] / scale, rcond=None)[0] / scale
         return coef.tolist(), float(mean[-1] - coef @ mean[:-1])
 
     return solve

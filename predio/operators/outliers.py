@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from predio.functions.nulls import unless
 from predio.functions.stats import g1_skew
 from predio.operators.quantiles import MAX_ROWS, exact_quantiles
-from predio.scale import lookup, settle
+from predio.scale import settle
 from predio.schema import KEY, OUTLIER_COLUMNS, SEGMENT, require_columns
 
 # --- fixed values: when a column is skewed and where its tails are cut -------
@@ -63,7 +63,7 @@ def trim_bounds(
     flagged = settle(stats.filter(any_skewed), "flagged")
 
     # Only the rows and columns that can be trimmed enter the quantile passes.
-    candidates = lookup(narrow, flagged.drop("n"), [segment], "inner").select(
+    candidates = narrow.join(flagged.drop("n"), [segment]).select(
         segment, *[F.when(_is_skewed(f"s_{c}"), F.col(c)).alias(c) for c in columns]
     )
     quantiles = exact_quantiles(
@@ -108,7 +108,7 @@ def trim_by_segment(
     for c in columns:
         beyond = (F.col(c) <= F.col(f"lo_{c}")) | (F.col(c) >= F.col(f"hi_{c}"))
         outside = outside | F.coalesce(beyond, F.lit(False))
-    return lookup(df, bounds, [segment]).filter(unless(outside)).select(
+    return df.join(bounds, [segment], "left").filter(unless(outside)).select(
         *[c for c in df.columns if c != key]
     )
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from predio.scale import BROADCAST_ROWS, at_most, lookup, settle
+from predio.scale import settle
 
 BUCKETS = 4096
 MAX_ROWS = 1_000_000
@@ -54,7 +54,7 @@ def _narrowed(df: DataFrame, keys: list[str], columns: list[str], probs: list[fl
         open_brackets = settle(
             ranks.filter("_lo < _hi").select(*bracket).distinct(), "brackets"
         )
-        in_bracket = lookup(points, open_brackets, group, "inner").filter(
+        in_bracket = points.join(open_brackets, group).filter(
             "_v >= _lo and _v <= _hi"
         )
         # The smallest value falls in the first bucket and the largest in the last one, so
@@ -130,7 +130,7 @@ def exact_quantiles(
         return _narrowed(df, keys, columns, probs)
 
     # At most (rows / max_rows) groups are large, so this lookup stays small.
-    marked = lookup(df, settle(large.select(*keys, F.lit(True).alias("_large")), "large"), keys)
+    marked = df.join(settle(large.select(*keys, F.lit(True).alias("_large")), "large"), keys, "left")
     small = marked.filter("_large is null").drop("_large")
     return _direct(small, keys, columns, probs).unionByName(
         _narrowed(marked.filter("_large").drop("_large"), keys, columns, probs)

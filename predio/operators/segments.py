@@ -10,7 +10,7 @@ from predio.operators.linear import fit_by_segment, fit_linear, linear_predictio
 from predio.operators.moments import check_features, complete_rows
 from predio.operators.scores import GOOD_SCORE
 from predio.operators.splits import exact_split, hash_split
-from predio.scale import lookup, settle
+from predio.scale import settle
 from predio.schema import KEY, SEGMENT, TARGET
 
 # --- fixed values: a segment is modelled above this size; share of test rows --
@@ -30,7 +30,7 @@ def modelled_rows(
     )
     narrow = settle(narrow, "segment_rows")
     sizes = narrow.groupBy(segment).count().filter(F.col("count") > more_than).select(segment)
-    return lookup(narrow, settle(sizes, "segments"), [segment], "left_semi")
+    return narrow.join(settle(sizes, "segments"), [segment], "left_semi")
 
 
 def quality_table(
@@ -58,7 +58,7 @@ def score_segments(
     """Fit a linear model per segment on ``train`` and score ``rows`` with their own model."""
     models = settle(fit_by_segment(train, features, label, segment, alpha).drop("n"), "models")
     return (
-        lookup(rows, models, [segment])
+        rows.join(models, [segment], "left")
         .withColumn(name, linear_prediction(features))
         .drop("coefficients", "intercept")
     )

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from predio.scale import lookup, settle
+from predio.scale import settle
 from predio.schema import KEY
 
 _HEX = 4
@@ -69,12 +69,7 @@ def _cuts(
     # Only the buckets that hold a cut are ranked.
     in_bucket = Window.partitionBy(*groups, "_b").orderBy("_h")
     ranked = (
-        lookup(
-            hashes.withColumn("_b", bucket),
-            settle(located.select(*groups, "_b").distinct(), "cut_buckets"),
-            [*groups, "_b"],
-            "left_semi",
-        )
+        hashes.withColumn("_b", bucket).join(settle(located.select(*groups, "_b").distinct(), "cut_buckets"), [*groups, "_b"], "left_semi")
         .withColumn("_within", F.row_number().over(in_bucket).cast("bigint"))
         .join(located, [*groups, "_b", "_within"])
         .select(*groups, "_j", F.col("_h").alias("_cut"))
@@ -97,7 +92,7 @@ def _with_cuts(
         values = cuts["_cuts"] if cuts else []
         return df.withColumn("_cuts", F.lit(values).cast("array<string>"))
     narrow = df.select(segment, "_h").filter(F.col(segment).isNotNull())
-    return lookup(df, _cuts(narrow, [segment], ranks), [segment])
+    return df.join(_cuts(narrow, [segment], ranks), [segment], "left")
 
 
 def exact_split(

@@ -1,10 +1,10 @@
 """Helpers that keep multi-pass operators safe on a cluster.
 
-``settle`` writes an intermediate table to the folder every executor shares, so that
-losing an executor never recomputes the passes before it and so that Spark knows the
-table's real size.  ``lookup`` uses that size: it broadcasts a lookup table only when
-it was measured to be small, and otherwise leaves the join to AQE, which splits the
-skewed partitions of a hot key.
+``settle`` writes an intermediate table as Parquet to the folder every executor shares.
+Losing an executor then never recomputes the passes before it, and Spark knows the
+table's real size: joins to it are broadcast only if its files are below
+``spark.sql.autoBroadcastJoinThreshold``; larger ones are shuffled, where AQE splits the
+partitions of hot keys.  So no join in this package needs a broadcast hint.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A lookup table of at most this many (narrow) rows is broadcast; about 20 MB.
-BROADCAST_ROWS = 200_000
 # An ordered single-partition window is used only up to this many rows.
 SINGLE_TASK_ROWS = 1_000_000
 
@@ -41,28 +39,3 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def at_most(settled: DataFrame, rows: int) -> bool:
-    """True if a settled table has at most ``rows`` rows (a metadata-only count)."""
-    return settled.count() <= rows
-
-
-def lookup(fact: DataFrame, settled: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join ``fact`` to a settled lookup table, broadcasting it if it is small enough."""
-    if at_most(settled, BROADCAST_ROWS):
-        settled = F.broadcast(settled)
-    return fact.join(settled, on=on, how=how)
-
-
-def null_safe_lookup(fact: DataFrame, settled: DataFrame, keys: list[str]) -> DataFrame:
-    """Left ``lookup`` whose keys may be NULL on both sides (NULL matches NULL)."""
-    renamed = settled.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in settled.columns if c not in keys]
-    )
-    if at_most(settled, BROADCAST_ROWS):
-        renamed = F.broadcast(renamed)
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & fact[k].eqNullSafe(renamed[f"_k_{k}"])
-    return fact.join(renamed, cond, "left").drop(*[f"_k_{k}" for k in keys])
