@@ -12,22 +12,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # An ordered single-partition window is used only up to this many rows.
 SINGLE_TASK_ROWS = 1_000_000
 
 
+_local_folder: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables (``spark.checkpoint.dir``)."""
+    """The cluster's shared folder for intermediate tables (``spark.checkpoint.dir``).
+
+    Only a local session without that setting gets a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="predio-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    global _local_folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="predio-")
+    return _local_folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:

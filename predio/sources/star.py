@@ -56,3 +56,13 @@ def read_listings(spark: SparkSession, folder: str) -> DataFrame:
         "20.0D + s_acctbal / 10000 as lat",
         "-103.0D - cast(s_nationkey as double) / 25 as lng",
     )
+
+
+def write_snapshots(listings: DataFrame, folder: str, order: list[str] = SNAPSHOT_ORDER) -> list[str]:
+    """Write one JSON Lines folder per snapshot, rows in order; returns the paths in order."""
+    rows = listings.withColumnRenamed("lng", "long")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order[1:]).write.partitionBy(
+        order[0]
+    ).json(folder)
+    ids = sorted(r[0] for r in rows.select(order[0]).distinct().collect())  # one row per snapshot
+    return [f"{folder}/{order[0]}={i}" for i in ids]
