@@ -23,6 +23,7 @@ from predio.operators import (
     reports,
     scaling,
     scores,
+    segment_forest,
     segments,
     splits,
 )
@@ -619,6 +620,16 @@ def rf_importances(spark, folder):
     return forest.search_forest(train, LAND_FEATURES, depths=(6,)).importances(spark)
 
 
+@_query
+def rf_segments(spark, folder):
+    """A random forest per large colonia, searched over trees and depth."""
+    stored = stored_zone(spark, folder, ["sku", "colonia", "price", *LAND_FEATURES])
+    quality, _ = segment_forest.qualify_segments_forest(
+        stored, LAND_FEATURES, trees=(5, 10), depths=(2, 4)
+    )
+    return quality
+
+
 # --- clusters -----------------------------------------------------------------------------------
 
 
