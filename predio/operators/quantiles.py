@@ -117,10 +117,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """``keys`` plus one array ``q_<column>`` of quantiles per column.
 
+    Missing values are ignored, and so are rows without a key.
     ``sizes`` may pass a settled table ``(*keys, n)`` of group sizes if it is known
     already.  ``df`` is scanned more than once, so pass a stored or settled table.
     """
     keys = keys or []
+    if keys:
+        df = df.na.drop(subset=keys)
     if sizes is None:
         sizes = settle(df.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
     large = sizes.filter(F.col("n") > max_rows)
