@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from predio.llm.frames import add_columns
 from predio.llm.words import LOWER, SPACE, cut, range_hashes, text_buffers
 
-CACHED = 200_000
+CACHED = 1 << 20
 _NEVER = np.int64(1) << 40
 
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from predio.llm import bpe
+from predio.llm import bpe, classifier, rules, sharding, tokenfiles
+from predio.llm import oracles
+from predio.scale import new_path
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -28,9 +30,55 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Write all documents' ids to files, find every document by the index and read it back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    path = new_path(spark, "token_files")
+    tokenfiles.write(docs, path, public_tokenizers.path(VOCABULARY))
+    found = tokenfiles.read(tokenfiles.locate(docs.select("doc_id"), path), path)
+    return found.select(
+        "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule counts of every document, its base verdict, and the verdict of its host."""
+    judged = rules.host_rules(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept")
+
+
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a model learnt from those that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = classifier.train(docs.filter(~classifier.held_out()), table(spark, folder, "labels"))
+    scored = classifier.score(docs, model)
+    return scored.select(
+        "doc_id",
+        classifier.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's shard among 24 and its slot in it."""
+    docs = table(spark, folder, "documents")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(
+        "doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    return sharding.stratified_shards(rows, 24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe}
+    return {
+        f.__name__: f
+        for f in (op2_bpe, op5_token_files, op6_quality_rules, op8_quality_classifier, op10_sharding)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
