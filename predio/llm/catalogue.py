@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from predio.llm import bpe, classifier, rules, sharding, tokenfiles
+from predio.llm import bpe, classifier, decontamination, jaccard, rules, sharding, tokenfiles
 from predio.llm import oracles
 from predio.scale import new_path
 
@@ -30,6 +30,12 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that overlap with benchmark items, with the agreement of the best stretch."""
+    found = decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "words", "equal", "hits")
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Write all documents' ids to files, find every document by the index and read it back."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -47,6 +53,11 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the size of its shingle set and the component of similar documents it is in."""
+    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all documents by a model learnt from those that are not held out."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -76,7 +87,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_bpe, op5_token_files, op6_quality_rules, op8_quality_classifier, op10_sharding)
+        for f in (
+            op2_bpe, op3_decontamination, op5_token_files, op6_quality_rules, op7_ngram_jaccard, op8_quality_classifier,
+            op10_sharding,
+        )
     }
 
 
