@@ -417,7 +417,8 @@ def _links(texts: DataFrame, percent: int, k: int, lower: bool) -> DataFrame | N
         elif turn:
             break
         rows = open_rows.drop("_component")
-        rows = settle(rows.join(_alone(rows, sets, percent), "_class", "left_anti"), "rows")
+        if turn < 2:
+            rows = settle(rows.join(_alone(rows, sets, percent), "_class", "left_anti"), "rows")
 
     # Signatures that still join different components: all pairs between those.
     named = _named(rows, components) if components is not None else rows.withColumn("_component", F.struct(F.lit(0).alias("k"), F.col("_class").alias("c")))
