@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from predio.llm import bpe, classifier, decontamination, jaccard, rules, sharding, tokenfiles
+from predio.llm import bpe, classifier, decontamination, jaccard, licenses, lines, rules, secrets, sharding, tokenfiles
 from predio.llm import oracles
 from predio.scale import new_path
 
@@ -18,6 +18,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices found in the documents."""
+    found = licenses.find_licenses(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "template", "license", "share", "at")
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Per document the number of tokens and digests of the ids and of the decoded text."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -36,6 +42,15 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id", "words", "equal", "hits")
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the secrets found by patterns and by character models."""
+    found = secrets.secret_summary(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+        "n_random",
+    )
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Write all documents' ids to files, find every document by the index and read it back."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -71,6 +86,11 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the lines that earlier documents have."""
+    return lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard among 24 and its slot in it."""
     docs = table(spark, folder, "documents")
@@ -88,8 +108,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op2_bpe, op3_decontamination, op5_token_files, op6_quality_rules, op7_ngram_jaccard, op8_quality_classifier,
-            op10_sharding,
+            op1_license_scan, op2_bpe, op3_decontamination, op4_secret_scan, op5_token_files, op6_quality_rules,
+            op7_ngram_jaccard, op8_quality_classifier, op9_line_dedup, op10_sharding,
         )
     }
 
