@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from predio.llm.frames import maybe_broadcast
 from predio.llm.words import KEEP_CASE, PLACES, mix, row_blocks, text_buffers, words
 from predio.scale import settle
 
@@ -208,6 +209,6 @@ def overlaps(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
     """``docs`` without the texts that overlap with a benchmark item; all columns and repeated rows stay."""
     bad = overlaps(docs, benchmark, key, text, **names).select(F.col(key).alias("_bad_key"), F.col("_print").alias("_bad_print")).distinct()
-    bad = settle(bad, "contaminated")
+    bad = maybe_broadcast(settle(bad, "contaminated"))
     same: Column = docs[key].eqNullSafe(F.col("_bad_key")) & (F.xxhash64(docs[text]) == F.col("_bad_print"))
     return docs.join(bad, same, "left_anti")

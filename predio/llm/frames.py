@@ -11,6 +11,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from predio.llm.words import row_blocks, text_buffers
 
 
+#: A stored table of keys with at most so many rows may be sent to every task.
+BROADCAST_ROWS = 2_000_000
+
+
+def maybe_broadcast(table: DataFrame) -> DataFrame:
+    """A stored table of a few numbers per row, sent to every task if it has few enough rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns that ``names`` would clash with, compared as Spark does."""
     if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from predio.llm.frames import maybe_broadcast
 from predio.llm.words import KEEP_CASE, LOWER, mix, row_blocks, shingles, text_buffers, words
 from predio.operators.components import connected_components
 from predio.scale import settle
@@ -43,8 +44,6 @@ PROMOTED = 2
 HOT_SHARE, HOT_SAMPLE, SALTS = 0.002, 0.01, 64
 #: Cells of the sketches; times sets are pruned; turns with one partner per signature.
 CELLS, PRUNINGS, ROUNDS = 64, 2, 4
-#: A table of at most this many bytes of keys may be broadcast.
-BROADCAST_ROWS = 2_000_000
 
 _U = np.uint64
 _SET, _SEGMENT, _PLACE = _U(0x51ED270B7F652295), _U(0xB492B66FBE98F273), 0x9FB21C651E98DF25
@@ -201,19 +200,19 @@ def _distinct_sets(batches, lower: bool, k: int, at: int = 0):
 
 
 def classes(docs: DataFrame, key: str, text: str, k: int, lower: bool) -> DataFrame:
-    """``(_key, _n, _class)`` of every row; rows without a word have size 0 and no class."""
+    """``(_key, _print, _n, _class)`` of every row (``_print`` is a hash of the text); rows without a word have size 0 and no class."""
 
     def run(batches):
         for batch in batches:
-            for a, b, elements, row in _sets(batch.column(1), lower, k):
+            for a, b, elements, row in _sets(batch.column(2), lower, k):
                 name = _identity(elements, row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(row)), pa.array(name.view(np.int64), mask=np.diff(row) == 0)],
-                    names=["_key", "_n", "_class"],
+                    [*[c.slice(a, b - a) for c in batch.columns[:2]], pa.array(np.diff(row)), pa.array(name.view(np.int64), mask=np.diff(row) == 0)],
+                    names=["_key", "_print", "_n", "_class"],
                 )
 
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, _n bigint, _class bigint")
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, _print bigint, _n bigint, _class bigint")
 
 
 def _signatures(texts: DataFrame, percent: int, k: int, lower: bool, hot: np.ndarray) -> DataFrame:
@@ -252,11 +251,6 @@ def _hot_signatures(texts: DataFrame, percent: int, k: int, lower: bool) -> np.n
     return np.sort(np.array([r["_sig"] for r in often.select("_sig").limit(200_000).collect()], np.int64).view(_U))
 
 
-def _fits(table: DataFrame) -> bool:
-    """Is a stored table of keys small enough to be sent to every task?"""
-    return table.count() <= BROADCAST_ROWS
-
-
 def _stored_sets(texts: DataFrame, wanted: DataFrame, k: int, lower: bool) -> DataFrame:
     """Once per wanted class its sorted shingles ``_set`` as bytes, their number and a sketch.
 
@@ -279,9 +273,9 @@ def _stored_sets(texts: DataFrame, wanted: DataFrame, k: int, lower: bool) -> Da
                 names=["_class", "_set", "_n", "_sketch"],
             )
 
-    wanted = settle(wanted, "wanted")
+    wanted = maybe_broadcast(settle(wanted, "wanted"))
     own = texts.mapInArrow(run, "_class bigint, _set binary, _n bigint, _sketch array<int>")
-    own = own.join(F.broadcast(wanted) if _fits(wanted) else wanted, "_class", "left_semi")
+    own = own.join(wanted, "_class", "left_semi")
     # Copies met by different tasks: their rows are equal.
     return settle(own.groupBy("_class").agg(*[F.first(c).alias(c) for c in ("_set", "_n", "_sketch")]), "sets")
 
@@ -465,14 +459,14 @@ def _by_shingle(texts: DataFrame, uncovered: DataFrame, k: int, lower: bool) ->
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE, lower: bool = True
 ) -> DataFrame:
-    """``key``, ``n_shingles`` and ``component_id``, the smallest key reachable by links, for every row.
+    """``key``, ``n_shingles``, ``component_id`` (the smallest key reachable by links) and ``_print`` of every row.
 
     Two rows link when 100 * intersection >= ``percent`` * union of their sets of distinct ``k``-word
     shingles (A-Z lowered); with fewer words the whole sequence is the only shingle.  Rows without
     words (null, empty or blank texts) link with nothing and are their own component, and repeated
     rows are each returned.  A missing key is passed on and never a component's name unless no other
-    is there.  An empty table gives an empty table; other columns are not looked at.  Shingles and
-    sets are told apart by 64-bit hashes.
+    is there.  ``_print``, a hash of the text, tells rows apart that share a key.
+    An empty table gives an empty table; other columns are not looked at.  Shingles and sets are told apart by 64-bit hashes.
     """
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = settle(classes(docs, key, text, k, lower), "classes")
@@ -487,4 +481,28 @@ def near_duplicates(
         F.col("_key").alias(key),
         F.col("_n").alias("n_shingles"),
         F.when(F.col("_class").isNull(), F.col("_key")).otherwise(F.col("_least")).alias("component_id"),
+        "_print",
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest key, texts without words all stay.
+
+    Where texts share that key the one of the smallest hash stays, and of repeated rows one.
+    """
+    found = settle(near_duplicates(docs, key, text, percent), "near_duplicates")
+    own = F.col(key).eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)
+    first = found.filter(own).groupBy("component_id").agg(F.min("_print").alias("_stays"), F.count("*").alias("_rows"))
+    several = settle(first.filter("_rows > 1"), "several")
+    gone = found.filter(~own & (F.col("n_shingles") > 0)).select(F.col(key).alias("_key"), "_print")
+    other = found.filter(own).join(several.withColumnRenamed("component_id", "_c"), F.col("component_id").eqNullSafe(F.col("_c")))
+    gone = gone.unionByName(other.filter("_print <> _stays").select(F.col(key).alias("_key"), "_print")).distinct()
+    gone = maybe_broadcast(settle(gone, "duplicates"))
+    left = docs.join(gone, docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_print")), "left_anti")
+    repeated = found.filter("n_shingles > 0").groupBy(key, "_print").agg(F.count("*").alias("n")).filter("n > 1").select(F.col(key).alias("_key"), "_print")
+    repeated = settle(repeated, "repeated")
+    if repeated.isEmpty():
+        return left
+    again = docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_print"))
+    repeated = maybe_broadcast(repeated)
+    return left.join(repeated, again, "left_anti").unionByName(left.join(repeated, again, "left_semi").dropDuplicates([key, text]))

@@ -14,12 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from predio.llm.frames import without
+from predio.llm.frames import maybe_broadcast, without
 from predio.scale import settle
 
 #: Leading words that lead to a leaf, share of the others that must agree, and least words of a template.
 DEPTH, AGREE, LEAST = 3, 0.5, 3
-BROADCAST_ROWS = 2_000_000
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,11 +35,6 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("_line", F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line))
 
 
-def _maybe_broadcast(table: DataFrame) -> DataFrame:
-    """A stored table of numbers, sent to every task if it has few enough rows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``_key, _print, _pos``: the lines that go, each a repeat of a template that an earlier document has.
 
@@ -67,7 +61,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     # The lines of leaves with several of them, once each, next to their leaf's template.
     several = settle(alive.filter("_variants > 1").select("_leaf", "_hash", "_template"), "several")
-    wanted = _maybe_broadcast(settle(several.select("_hash").distinct(), "wanted"))
+    wanted = maybe_broadcast(settle(several.select("_hash").distinct(), "wanted"))
     read = _lines(docs, key, text).select(F.xxhash64("_line").alias("_hash"), "_line")
     read = settle(read.join(wanted, "_hash", "left_semi").groupBy("_hash").agg(F.first("_line").alias("_line")), "texts")
     both = several.join(read, "_hash").join(read.toDF("_template", "_other"), "_template")
