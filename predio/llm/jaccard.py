@@ -251,6 +251,10 @@ def _hot_signatures(texts: DataFrame, percent: int, k: int, lower: bool) -> np.n
     return np.sort(np.array([r["_sig"] for r in often.select("_sig").limit(200_000).collect()], np.int64).view(_U))
 
 
+def _cells(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements ^ _U(_PLACE)) % _U(CELLS)).astype(np.int64)
+
+
 def _stored_sets(texts: DataFrame, wanted: DataFrame, k: int, lower: bool) -> DataFrame:
     """Once per wanted class its sorted shingles ``_set`` as bytes, their number and a sketch.
 
@@ -263,8 +267,7 @@ def _stored_sets(texts: DataFrame, wanted: DataFrame, k: int, lower: bool) -> Da
             cut = row.tolist()
             raw = elements.astype("<u8").tobytes()
             owner = np.repeat(np.arange(len(name)), np.diff(row))
-            cell = (mix(elements ^ _U(_PLACE)) % _U(CELLS)).astype(np.int64)
-            sketch = np.bincount(owner * CELLS + cell, minlength=len(name) * CELLS).reshape(-1, CELLS)
+            sketch = np.bincount(owner * CELLS + _cells(elements), minlength=len(name) * CELLS).reshape(-1, CELLS)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(name.view(np.int64)), pa.array([raw[8 * a : 8 * b] for a, b in zip(cut, cut[1:])], pa.binary()),
@@ -281,11 +284,14 @@ def _stored_sets(texts: DataFrame, wanted: DataFrame, k: int, lower: bool) -> Da
 
 
 def _possible(percent: int) -> Column:
-    """By sizes and sketches ``_n, _sketch`` and ``_m, _other``, may two sets be similar?"""
+    """By sizes, unique shingles and sketches (``_n, _u, _sketch`` and ``_m, _v, _other``), may two sets be similar?"""
     most = (100 - percent) * (F.col("_n") + F.col("_m"))
-    differ = F.aggregate(F.zip_with("_sketch", "_other", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-    return ((100 - percent) * (F.col("_n") + F.col("_m")) >= (100 + percent) * F.abs(F.col("_n") - F.col("_m"))) & (
-        most >= (100 + percent) * differ
+    apart = F.col("_u") + F.col("_v")
+    differ = F.aggregate(F.zip_with("_sketch", "_other", lambda x, y: F.abs(x - y)), apart, lambda t, x: t + x)
+    return (
+        (most >= (100 + percent) * F.abs(F.col("_n") - F.col("_m")))
+        & (most >= (100 + percent) * apart)
+        & (most >= (100 + percent) * differ)
     )
 
 
@@ -302,32 +308,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, sketched: bool =
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     if not sketched:
-        light = sets.select("_class", "_n", "_sketch")
-        pairs = pairs.join(light.withColumnRenamed("_class", "b"), "b").join(light.toDF("a", "_m", "_other"), "a")
+        light = sets.select("_class", "_n", "_sketch", F.lit(0).cast("bigint").alias("_u"))
+        pairs = pairs.join(light.withColumnRenamed("_class", "b"), "b").join(light.toDF("a", "_m", "_other", "_v"), "a")
         pairs = settle(pairs.filter(_possible(percent)).select("a", "b"), "possible")
     with_b = pairs.join(sets.select(F.col("_class").alias("b"), F.col("_set").alias("_b")), "b")
     full = with_b.join(sets.select(F.col("_class").alias("a"), F.col("_set").alias("_a")), "a")
     return settle(full.select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def _alone(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Classes of ``rows`` that cannot link with another one of them.
+def _uniques(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(_class, _n, _sketch, _u)`` of the classes of ``rows``, their unique shingles apart.
 
-    Here every shingle is a segment of its own: those that no other of the sets has use up what
-    similar sets may differ in.
+    Here every shingle is a segment of its own.  ``_u`` counts those that no other of the sets has,
+    and the sketch holds the others only: two sets differ in all their unique shingles, and at least
+    as much as their sketches in the others.
     """
 
     def run(batches):
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                elements = np.frombuffer(raw.as_buffer(), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(elements), name)), pa.array(elements)], names=["_class", "_e"])
+                elements = np.frombuffer(raw.as_buffer(), "<u8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(elements), name)), pa.array(elements.view("<i8")), pa.array(_cells(elements).astype(np.int32))],
+                    names=["_class", "_e", "_cell"],
+                )
 
     own = sets.join(rows.select("_class").distinct(), "_class", "left_semi")
-    elements = own.select("_class", "_set").mapInArrow(run, "_class bigint, _e bigint")
-    single = elements.groupBy("_e").agg(F.count("*").alias("_c"), F.min("_class").alias("_class")).filter("_c = 1")
-    counts = single.groupBy("_class").agg(F.count("*").alias("_u")).join(own.select("_class", "_n"), "_class")
-    return settle(counts.filter(100 * F.col("_u") > (100 - percent) * F.col("_n")).select("_class"), "alone")
+    elements = own.select("_class", "_set").mapInArrow(run, "_class bigint, _e bigint, _cell int")
+    single = elements.groupBy("_e").agg(F.count("*").alias("_c"), F.min("_class").alias("_class"), F.min("_cell").alias("_cell"))
+    cells = single.filter("_c = 1").groupBy("_class", "_cell").agg(F.count("*").cast("int").alias("_c"))
+    cells = cells.groupBy("_class").agg(
+        F.sum("_c").alias("_u"), F.map_from_entries(F.collect_list(F.struct("_cell", "_c"))).alias("_cells")
+    )
+    both = own.select("_class", "_n", "_sketch").join(cells, "_class", "left")
+    rest = F.transform("_sketch", lambda v, i: v - F.coalesce(F.try_element_at("_cells", i), F.lit(0)))
+    return settle(
+        both.select(
+            "_class", "_n", F.when(F.col("_u").isNull(), F.col("_sketch")).otherwise(rest).alias("_sketch"),
+            F.coalesce("_u", F.lit(0)).cast("bigint").alias("_u"),
+        ),
+        "uniques",
+    )
+
+
+def _alone(uniques: DataFrame, percent: int) -> DataFrame:
+    """Classes whose unique shingles are more than similar sets may differ in."""
+    return uniques.filter(100 * F.col("_u") > (100 - percent) * F.col("_n")).select("_class")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -412,20 +438,24 @@ def _links(texts: DataFrame, percent: int, k: int, lower: bool) -> DataFrame | N
             break
         rows = open_rows.drop("_component")
         if turn < 2:
-            rows = settle(rows.join(_alone(rows, sets, percent), "_class", "left_anti"), "rows")
+            rows = settle(rows.join(_alone(_uniques(rows, sets), percent), "_class", "left_anti"), "rows")
 
     # Signatures that still join different components: all pairs between those.
     named = _named(rows, components) if components is not None else rows.withColumn("_component", F.struct(F.lit(0).alias("k"), F.col("_class").alias("c")))
     open_rows = _with_partners(rows, named)
     if open_rows.isEmpty():
         return components
-    open_rows = settle(open_rows.join(sets.drop("_set"), "_class"), "open")
-    left = open_rows.select("_sig", F.col("_class").alias("a"), F.col("_component").alias("_p"), F.col("_probe").alias("_u"), "_n", "_sketch")
+    uniques = _uniques(open_rows, sets)
+    open_rows = settle(open_rows.join(uniques, "_class"), "open")
+    left = open_rows.select(
+        "_sig", F.col("_class").alias("a"), F.col("_component").alias("_p"), F.col("_probe").alias("_asks"), "_n", "_u", "_sketch"
+    )
     right = open_rows.select(
-        "_sig", F.col("_class").alias("b"), F.col("_component").alias("_q"), F.col("_probe").alias("_v"),
-        F.col("_n").alias("_m"), F.col("_sketch").alias("_other"),
+        "_sig", F.col("_class").alias("b"), F.col("_component").alias("_q"), F.col("_probe").alias("_wants"),
+        F.col("_n").alias("_m"), F.col("_u").alias("_v"), F.col("_sketch").alias("_other"),
     )
-    same = (left["_sig"] == right["_sig"]) & (F.col("a") < F.col("b")) & (F.col("_p") != F.col("_q")) & (F.col("_u") | F.col("_v")) & _possible(percent)
+    same = (left["_sig"] == right["_sig"]) & (F.col("a") < F.col("b")) & (F.col("_p") != F.col("_q"))
+    same &= (F.col("_asks") | F.col("_wants")) & _possible(percent)
     cross = left.join(right, same).select("a", "b").distinct()
     cross = settle(cross.join(checked, ["a", "b"], "left_anti"), "cross")
     if cross.isEmpty():
