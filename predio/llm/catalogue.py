@@ -70,7 +70,8 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Per document the size of its shingle set and the component of similar documents it is in."""
-    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).drop("_print")
+    found = jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:

@@ -44,6 +44,7 @@ PROMOTED = 2
 HOT_SHARE, HOT_SAMPLE, SALTS = 0.002, 0.01, 64
 #: Cells of the sketches; times sets are pruned; turns with one partner per signature.
 CELLS, PRUNINGS, ROUNDS = 64, 2, 4
+COARSE = 16
 
 _U = np.uint64
 _SET, _SEGMENT, _PLACE = _U(0x51ED270B7F652295), _U(0xB492B66FBE98F273), 0x9FB21C651E98DF25
@@ -446,16 +447,24 @@ def _links(texts: DataFrame, percent: int, k: int, lower: bool) -> DataFrame | N
     if open_rows.isEmpty():
         return components
     uniques = _uniques(open_rows, sets)
-    open_rows = settle(open_rows.join(uniques, "_class"), "open")
+    # A coarser sketch of few cells, compared first because Spark compiles its plain sum.
+    parts = range(0, CELLS, CELLS // COARSE)
+    coarse = F.array(*[sum((F.get("_sketch", F.lit(i + j)) for j in range(1, CELLS // COARSE)), F.get("_sketch", F.lit(i))) for i in parts])
+    open_rows = settle(open_rows.join(uniques.withColumn("_coarse", coarse), "_class"), "open")
     left = open_rows.select(
-        "_sig", F.col("_class").alias("a"), F.col("_component").alias("_p"), F.col("_probe").alias("_asks"), "_n", "_u", "_sketch"
+        "_sig", F.col("_class").alias("a"), F.col("_component").alias("_p"), F.col("_probe").alias("_asks"), "_n", "_u", "_sketch",
+        F.col("_coarse").alias("_x"),
     )
     right = open_rows.select(
         "_sig", F.col("_class").alias("b"), F.col("_component").alias("_q"), F.col("_probe").alias("_wants"),
         F.col("_n").alias("_m"), F.col("_u").alias("_v"), F.col("_sketch").alias("_other"),
+        F.col("_coarse").alias("_y"),
     )
     same = (left["_sig"] == right["_sig"]) & (F.col("a") < F.col("b")) & (F.col("_p") != F.col("_q"))
-    same &= (F.col("_asks") | F.col("_wants")) & _possible(percent)
+    roughly = sum((F.abs(F.get("_x", F.lit(i)) - F.get("_y", F.lit(i))) for i in range(COARSE)), F.col("_u") + F.col("_v"))
+    same &= F.col("_asks") | F.col("_wants")
+    same &= (100 - percent) * (F.col("_n") + F.col("_m")) >= (100 + percent) * roughly
+    same &= _possible(percent)
     cross = left.join(right, same).select("a", "b").distinct()
     cross = settle(cross.join(checked, ["a", "b"], "left_anti"), "cross")
     if cross.isEmpty():
@@ -489,29 +498,34 @@ def _by_shingle(texts: DataFrame, uncovered: DataFrame, k: int, lower: bool) ->
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE, lower: bool = True
 ) -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` (the smallest key reachable by links) and ``_print`` of every row.
+    """``key``, ``n_shingles`` and ``component_id``, the smallest key reachable by links, of every row.
 
     Two rows link when 100 * intersection >= ``percent`` * union of their sets of distinct ``k``-word
     shingles (A-Z lowered); with fewer words the whole sequence is the only shingle.  Rows without
     words (null, empty or blank texts) link with nothing and are their own component, and repeated
     rows are each returned.  A missing key is passed on and never a component's name unless no other
-    is there.  ``_print``, a hash of the text, tells rows apart that share a key.
-    An empty table gives an empty table; other columns are not looked at.  Shingles and sets are told apart by 64-bit hashes.
+    is there.  ``_print`` and
+    ``_first_print``, hashes of the row's text and of the text that names the component, tell rows apart
+    that share a key.  An empty table gives an empty table; other columns are not looked at.  Shingles and sets are told apart by 64-bit hashes.
     """
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = settle(classes(docs, key, text, k, lower), "classes")
     components = _links(texts, percent, k, lower)
-    smallest = rows.filter("_class is not null").groupBy("_class").agg(F.min("_key").alias("_least"))
+    # A missing key comes last.
+    name = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_print").alias("print"))
+    smallest = rows.filter("_class is not null").groupBy("_class").agg(F.min(name).alias("_least"))
     if components is not None:
         smallest = smallest.join(components, "_class", "left")
         joined = smallest.filter("_component is not null").groupBy("_component").agg(F.min("_least").alias("_all"))
         smallest = smallest.join(joined, "_component", "left").select("_class", F.coalesce("_all", "_least").alias("_least"))
     smallest = settle(smallest, "smallest")
+    first = F.when(F.col("_class").isNull(), name).otherwise(F.col("_least"))
     return rows.join(smallest, "_class", "left").select(
         F.col("_key").alias(key),
         F.col("_n").alias("n_shingles"),
-        F.when(F.col("_class").isNull(), F.col("_key")).otherwise(F.col("_least")).alias("component_id"),
+        first["key"].alias("component_id"),
         "_print",
+        first["print"].alias("_first_print"),
     )
 
 
@@ -521,12 +535,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     Where texts share that key the one of the smallest hash stays, and of repeated rows one.
     """
     found = settle(near_duplicates(docs, key, text, percent), "near_duplicates")
-    own = F.col(key).eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)
-    first = found.filter(own).groupBy("component_id").agg(F.min("_print").alias("_stays"), F.count("*").alias("_rows"))
-    several = settle(first.filter("_rows > 1"), "several")
-    gone = found.filter(~own & (F.col("n_shingles") > 0)).select(F.col(key).alias("_key"), "_print")
-    other = found.filter(own).join(several.withColumnRenamed("component_id", "_c"), F.col("component_id").eqNullSafe(F.col("_c")))
-    gone = gone.unionByName(other.filter("_print <> _stays").select(F.col(key).alias("_key"), "_print")).distinct()
+    own = F.col(key).eqNullSafe(F.col("component_id")) & F.col("_print").eqNullSafe(F.col("_first_print"))
+    gone = found.filter(~own).select(F.col(key).alias("_key"), "_print").distinct()
     gone = maybe_broadcast(settle(gone, "duplicates"))
     left = docs.join(gone, docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_print")), "left_anti")
     repeated = found.filter("n_shingles > 0").groupBy(key, "_print").agg(F.count("*").alias("n")).filter("n > 1").select(F.col(key).alias("_key"), "_print")

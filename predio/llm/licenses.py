@@ -116,7 +116,7 @@ def find_licenses(
 
     ``share`` is the largest part of the template's distinct shingles (at least ``contained``) in a
     stretch as long as the template, ``at`` the first shingle of that stretch; where several templates
-    stand, the one that agrees best (or the longest of them) is returned.  Words are letters and
+    stand, the one with most shingles found (or the shortest of them) is returned.  Words are letters and
     digits, case and marks aside; a template of fewer than 5 words is one shingle and is found where a
     line is exactly that.  Null and empty texts hold no license; rows that repeat key and text give each
     find once; a missing key is passed on; an empty table gives an empty table; other columns are not
@@ -163,7 +163,7 @@ def find_licenses(
     verified = pairs.select("_key", "_print", "template", share.alias("share"), F.greatest("_from", F.lit(0)).alias("at"))
     verified = verified.filter(F.col("share") >= contained).unionByName(exact)
     best = verified.groupBy("_key", "_print", "template").agg(F.max(F.struct("share", (-F.col("at")).alias("m"))).alias("b"))
-    # Of templates that stand at the same words the one that agrees best; a list has a template at most once.
+    # Of templates that stand at the same words the one with most shingles found; a list has a template at most once.
     names = table.select("template", "license", n.alias("_n"))
     best = best.join(names, "template").select(
         "_key", "_print",
@@ -173,7 +173,8 @@ def find_licenses(
 
     def worse(x: Column, y: Column) -> Column:
         meet = (x["at"] < y["at"] + y["_n"]) & (y["at"] < x["at"] + x["_n"])
-        more = (y["share"] > x["share"]) | ((y["share"] == x["share"]) & (y["_n"] > x["_n"]))
+        found = lambda t: F.round(t["share"] * t["_n"])
+        more = (found(y) > found(x)) | ((found(y) == found(x)) & (y["_n"] < x["_n"]))
         return meet & (x["at"] >= 0) & (y["at"] >= 0) & more
 
     finds = finds.withColumn("_finds", F.filter("_finds", lambda x: ~F.exists("_finds", lambda y: worse(x, y))))

@@ -32,6 +32,8 @@ CANDIDATE = f"(?<!{_KEY})(?={_KEY}*[0-9])(?={_KEY}*[A-Za-z]){_KEY}{{16,}}"
 #: Odds against a candidate that the likelihood ratio must exceed.
 ODDS = 1e4
 ALPHABET = 128
+#: Observations that a character's overall frequency counts for.
+BACK_OFF = 10.0
 
 
 def _may_hold(kind: str, text: Column) -> Column:
@@ -92,20 +94,23 @@ def ratio_table(docs: DataFrame, spans: DataFrame, text: str = "text") -> list[f
     """The log-likelihood ratio of each pair of characters; 128 * 128 numbers.
 
     Random strings are the values of base spans, identifiers all words of letters, digits and
-    underscores of all documents; each pair counts once more than seen.
+    underscores of all documents.  Rare pairs back off to the frequency of their second character.  The patterns know few kinds of
+    keys, so random strings are half as learnt and half uniform over the alphabet of keys.
     """
     random = spans.filter(F.col("kind") != RANDOM).select(F.col("value").alias("_word"), F.lit(1).cast("bigint").alias("_n"))
     words = docs.select(F.explode_outer(F.split(F.col(text), "[^A-Za-z0-9_]+")).alias("_word"))
     words = words.filter(F.length("_word") > 1).groupBy("_word").agg(F.count("*").alias("_n"))
     tables = []
     used = [i for i in range(ALPHABET) if chr(i).isalnum() or chr(i) in "+/_.=-"]
-    for pairs in (_pairs(random, "_word", "_n"), _pairs(words, "_word", "_n")):
+    for pairs, uniform in ((_pairs(random, "_word", "_n"), 0.5), (_pairs(words, "_word", "_n"), 0.0)):
         count = {r["_pair"]: r["n"] for r in pairs.collect()}  # at most 128 * 128 rows
-        table = {}
+        second = {b: 1 + sum(count.get(a * ALPHABET + b, 0) for a in used) for b in used}
+        every, table = sum(second.values()), {}
         for a in used:
-            total = sum(count.get(a * ALPHABET + b, 0) for b in used) + len(used)
+            total = sum(count.get(a * ALPHABET + b, 0) for b in used)
             for b in used:
-                table[a * ALPHABET + b] = math.log((count.get(a * ALPHABET + b, 0) + 1) / total)
+                seen = (count.get(a * ALPHABET + b, 0) + BACK_OFF * second[b] / every) / (total + BACK_OFF)
+                table[a * ALPHABET + b] = math.log((1 - uniform) * seen + uniform / len(used))
         tables.append(table)
     return [tables[0][i] - tables[1][i] if i in tables[0] else 0.0 for i in range(ALPHABET * ALPHABET)]
 
