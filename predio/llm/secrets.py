@@ -94,12 +94,13 @@ def ratio_table(docs: DataFrame, spans: DataFrame, text: str = "text") -> list[f
     """The log-likelihood ratio of each pair of characters; 128 * 128 numbers.
 
     Random strings are the values of base spans, identifiers all words of letters, digits and
-    underscores of all documents.  Rare pairs back off to the frequency of their second character.  The patterns know few kinds of
+    underscores of all documents that are no candidates themselves.  Rare pairs back off to the frequency of their second character.  The patterns know few kinds of
     keys, so random strings are half as learnt and half uniform over the alphabet of keys.
     """
     random = spans.filter(F.col("kind") != RANDOM).select(F.col("value").alias("_word"), F.lit(1).cast("bigint").alias("_n"))
     words = docs.select(F.explode_outer(F.split(F.col(text), "[^A-Za-z0-9_]+")).alias("_word"))
-    words = words.filter(F.length("_word") > 1).groupBy("_word").agg(F.count("*").alias("_n"))
+    key_like = (F.length("_word") >= 16) & F.col("_word").rlike("[0-9]")
+    words = words.filter((F.length("_word") > 1) & ~key_like).groupBy("_word").agg(F.count("*").alias("_n"))
     tables = []
     used = [i for i in range(ALPHABET) if chr(i).isalnum() or chr(i) in "+/_.=-"]
     for pairs, uniform in ((_pairs(random, "_word", "_n"), 0.5), (_pairs(words, "_word", "_n"), 0.0)):
