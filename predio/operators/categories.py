@@ -23,6 +23,19 @@ def amenity_names(
     return _bounded_names(df.select(F.explode(column)), max_columns)
 
 
+def _folding(df: DataFrame):
+    """How Spark compares column names in this session."""
+    return str if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+
+
+def _refuse_clash(df: DataFrame, names: list[str]) -> None:
+    fold = _folding(df)
+    taken = {fold(c) for c in df.columns}
+    clash = sorted(n for n in names if fold(n) in taken)
+    if clash or len({fold(n) for n in names}) < len(names):
+        raise ValueError(f"new columns named like existing ones: {clash or names}")
+
+
 def with_amenities(
     df: DataFrame,
     column: str = "amenidades",
@@ -32,15 +45,21 @@ def with_amenities(
     """One BOOLEAN column per amenity, and their names.
 
     Give ``names`` to fix the schema and skip the pass that finds them.  A missing list
-    has no amenities.  An amenity named like a column of ``df`` is an error.
+    has no amenities.  Spellings that are one column name to Spark share the column of the
+    first of them; an amenity named like a column of ``df`` is an error.
     """
     if names is None:
         names = amenity_names(df, column, max_columns)
-    clash = sorted(set(names) & set(df.columns))
-    if clash:
-        raise ValueError(f"amenities named like existing columns: {clash}")
-    has = {n: F.coalesce(F.array_contains(column, n), F.lit(False)) for n in names}
-    return df.withColumns(has), names
+    fold = _folding(df)
+    spellings: dict[str, list[str]] = {}
+    for n in names:
+        spellings.setdefault(fold(n), []).append(n)
+    _refuse_clash(df, [s[0] for s in spellings.values()])
+    has = {
+        s[0]: F.coalesce(F.arrays_overlap(column, F.array(*[F.lit(n) for n in s])), F.lit(False))
+        for s in spellings.values()
+    }
+    return df.withColumns(has), list(has)
 
 
 def with_dummies(
@@ -69,4 +88,5 @@ def with_dummies(
         for v in sorted(types)
         if v != APARTMENT
     }
+    _refuse_clash(df, list(new))
     return df.withColumns(new)

@@ -47,7 +47,7 @@ def kmeans_clusters(
     scaled = df.withColumns({"_x": F.col(lat).cast("double"), "_y": F.col(lng).cast("double")})
     if scale:
         scaled = scale_standard(scaled, ["_x", "_y"])
-    located = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    located = F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y")
     point = array_to_vector(F.array(F.coalesce("_x", F.lit(0.0)), F.coalesce("_y", F.lit(0.0))))
     scaled = scaled.withColumn("_point", point)
     model = KMeans(k=k, seed=seed, featuresCol="_point", predictionCol="_cluster").fit(
@@ -217,7 +217,9 @@ def dbscan_clusters(
     x, y = F.radians(F.col(lat)), F.radians(F.col(lng))
     cell_of = grid.cell(grid.row(x), y)
 
-    located = df.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull())
+    known = F.col(lat).isNotNull() & F.col(lng).isNotNull()
+    known &= ~F.isnan(F.col(lat).cast("double")) & ~F.isnan(F.col(lng).cast("double"))
+    located = df.filter(known)
     points = settle(
         located.groupBy(F.col(lat).alias("lat"), F.col(lng).alias("lng"))
         .agg(F.count("*").alias("weight"), F.min(key).alias("first_key"))
@@ -353,4 +355,4 @@ def dbscan_clusters(
         {"_cell": cell_of, "_lat": F.col(lat).cast("double"), "_lng": F.col(lng).cast("double")}
     )
     out = out.join(of_dense, ["_cell"], "left").join(of_point, ["_lat", "_lng"], "left")
-    return out.select(*df.columns, F.coalesce("_of_cell", "_of_point").alias("cluster"))
+    return out.select(*df.columns, F.when(known, F.coalesce("_of_cell", "_of_point")).alias("cluster"))

@@ -4,23 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from predio.scale import SINGLE_TASK_ROWS, settle
+from predio.scale import settle
 from predio.schema import CODE, SEGMENT
 
 
 def dense_codes(
-    values: DataFrame, order: list[str], name: str, single_task_rows: int = SINGLE_TASK_ROWS
+    values: DataFrame, order: list[str], name: str
 ) -> DataFrame:
     """Number the rows of ``values`` (distinct in ``order``) 0, 1, 2, … in that order.
 
-    Up to ``single_task_rows`` rows one ordered window does it.  Beyond that the rows are
-    range-partitioned and stored with their partition number, numbered inside each
-    partition, and shifted by the number of rows in the partitions before it.
+    The rows are range-partitioned and stored with their partition number, numbered inside
+    each partition, and shifted by the number of rows in the partitions before it.
     """
     values = settle(values, "values")
-    if values.count() <= single_task_rows:  # a metadata-only count
-        rank = F.row_number().over(Window.orderBy(*order))
-        return values.withColumn(name, (rank - 1).cast("int"))
 
     ranged = settle(
         values.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged"
@@ -42,11 +38,10 @@ def fit_encoder(
     df: DataFrame,
     column: str = SEGMENT,
     name: str = CODE,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """The encoder: a stored dimension ``(column, code)`` of the sorted distinct values."""
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    return settle(dense_codes(values, [column], name, single_task_rows), "encoder")
+    return settle(dense_codes(values, [column], name), "encoder")
 
 
 def encode(df: DataFrame, encoder: DataFrame, column: str = SEGMENT) -> DataFrame:

@@ -67,16 +67,23 @@ def cross_validate(
     alphas=(0.0,),
     fold: str = "fold",
 ) -> dict[float, float]:
-    """Mean held-out R² per alpha.  All alphas and folds come from one grouped aggregate."""
+    """Mean held-out R² per alpha, over the folds whose label varies.
+
+    All alphas and folds come from one grouped aggregate.
+    """
     features = check_features(df, features, label)
     folds = _fold_moments(df, features, label, fold)
     if len(folds) < 2:
         raise ValueError("cross validation needs at least two non-empty folds")
     rest = [reduce(Moments.merge, folds[:i] + folds[i + 1 :]) for i in range(len(folds))]
-    return {
-        alpha: sum(held.r2(*other.solve(alpha)) for held, other in zip(folds, rest)) / len(folds)
-        for alpha in alphas
-    }
+    scores = {}
+    for alpha in alphas:
+        each = [held.r2(*other.solve(alpha)) for held, other in zip(folds, rest)]
+        defined = [r for r in each if r is not None]
+        if not defined:
+            raise ValueError("the label is constant in every fold")
+        scores[alpha] = sum(defined) / len(defined)
+    return scores
 
 
 @dataclass(frozen=True)

@@ -80,8 +80,10 @@ class Moments:
         """Coefficients and intercept of ridge regression; alpha 0 is least squares."""
         return ridge_solver(alpha)(self.n, self.mean, self.cov[np.triu_indices(len(self.mean))])
 
-    def r2(self, coef: list[float], intercept: float) -> float:
-        """R² of a linear model on the rows behind these moments."""
+    def r2(self, coef: list[float], intercept: float) -> float | None:
+        """R² of a linear model on the rows behind these moments; None if the label is constant."""
+        if not self.cov[-1, -1] > 0:
+            return None
         weights = np.append(-np.asarray(coef), 1.0)
         bias = weights @ self.mean - intercept
         return float(1 - (weights @ self.cov @ weights + bias**2) / self.cov[-1, -1])

@@ -34,14 +34,18 @@ def modelled_rows(
 
 
 def quality_table(
-    scored: DataFrame, label: str = TARGET, predicted: str = "prediction", segment: str = SEGMENT
+    scored: DataFrame, label: str = TARGET, predicted: str = "prediction", segment: str = SEGMENT,
+    good: float = GOOD_SCORE,
 ) -> DataFrame:
-    """``(segment, score, error, diff_score, Good)`` of rows scored by their segment's model."""
+    """``(segment, score, error, diff_score, Good)`` of rows scored by their segment's model.
+
+    ``Good`` is true from a score of ``good`` on.
+    """
     return (
         scored.groupBy(segment)
         .agg(r2(label, predicted).alias("score"), F.avg(percent_error(label, predicted)).alias("error"))
         .withColumn("diff_score", 100 - F.col("error"))
-        .withColumn("Good", holds(F.col("score") >= GOOD_SCORE))
+        .withColumn("Good", holds(F.col("score") >= good))
     )
 
 
@@ -67,7 +71,7 @@ def score_segments(
 def qualify_segments(
     df: DataFrame, features: list[str], label: str = TARGET, segment: str = SEGMENT,
     more_than: int = MORE_THAN, share: float = TEST_SHARE, alpha: float = 0.0,
-    key: str = KEY, exact: bool = True,
+    key: str = KEY, exact: bool = True, good: float = GOOD_SCORE,
 ) -> DataFrame:
     """Quality of a linear model per large segment, on a test share of its rows."""
     rows = modelled_rows(df, features, label, segment, more_than, key)
@@ -75,7 +79,7 @@ def qualify_segments(
     scored = score_segments(
         rows.filter(~F.col("is_test")), rows.filter("is_test"), features, label, segment, alpha
     )
-    return quality_table(scored, label, segment=segment)
+    return quality_table(scored, label, segment=segment, good=good)
 
 
 def good_share(quality: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ ranked.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,20 +22,31 @@ _BUCKETS = 16**_HEX
 
 
 def row_hash(key: str = KEY, seed: int | None = None) -> Column:
-    value = F.col(key).cast("string")
+    """The md5 that orders rows; rows without a key count as one key, the empty text."""
+    value = F.coalesce(F.col(key).cast("string"), F.lit(""))
     return F.md5(value if seed is None else F.concat(F.lit(f"{seed}:"), value))
 
 
+def _position(key: str, seed: int | None) -> Column:
+    """The first 32 bits of the hash as a number."""
+    return F.conv(F.substring(row_hash(key, seed), 1, 8), 16, 10).cast("bigint")
+
+
+def _checked(share: float) -> float:
+    if not 0 <= share <= 1:
+        raise ValueError(f"a share lies between 0 and 1, not {share}")
+    return share
+
+
 def hash_split(df: DataFrame, share: float, key: str = KEY, seed: int | None = None) -> DataFrame:
-    """Add ``is_test``, true for about ``share`` of the rows; no shuffle."""
-    cut = f"{-int(-share * _BUCKETS // 1):0{_HEX}x}"
-    return df.withColumn("is_test", F.substring(row_hash(key, seed), 1, _HEX) < cut)
+    """Add ``is_test``, true for about ``share`` (0 to 1) of the rows; no shuffle."""
+    cut = math.ceil(_checked(share) * 16**8)
+    return df.withColumn("is_test", _position(key, seed) < F.lit(cut).cast("bigint"))
 
 
 def hash_folds(df: DataFrame, k: int, key: str = KEY, seed: int | None = None) -> DataFrame:
     """Add ``fold`` in 0..k-1, of about equal sizes; no shuffle."""
-    position = F.conv(F.substring(row_hash(key, seed), 1, 8), 16, 10).cast("bigint")
-    return df.withColumn("fold", (position * k / F.lit(16**8)).cast("int"))
+    return df.withColumn("fold", (_position(key, seed) * k / F.lit(16**8)).cast("int"))
 
 
 def _cuts(
@@ -100,8 +112,10 @@ def exact_split(
 ) -> DataFrame:
     """Add ``is_test`` for exactly ceil(n * share) rows, overall or of each segment.
 
-    ``key`` must be unique.  Rows without a segment get NULL.
+    ``key`` must be unique; rows without a key count as one key and go to the same side.  Rows
+    without a segment get NULL.
     """
+    _checked(share)
     cut = _with_cuts(df, segment, key, seed, lambda n: [F.ceil(n * F.lit(share))])
     return cut.select(*df.columns, (F.col("_h") <= F.col("_cuts")[0]).alias("is_test"))
 

@@ -373,6 +373,24 @@ def exact_split(spark, folder):
     return splits.exact_split(stored, segments.TEST_SHARE, segment="colonia").select("sku", "is_test")
 
 
+@_query
+def split_null_keys(spark, folder):
+    """Some listings have no key: they are one key and all on one side."""
+    key = F.when(F.substring(F.md5("sku"), 32, 1) != "0", F.col("sku"))
+    keyed = stored_zone(spark, folder, ["sku"]).withColumn("key", key)
+    split = splits.hash_folds(splits.hash_split(keyed, segments.TEST_SHARE, key="key"), 5, key="key")
+    return split.groupBy(F.col("key").isNull().alias("no_key"), "is_test", "fold").agg(F.count("*").alias("n"))
+
+
+@_query
+def split_edges(spark, folder):
+    """Test rows at the smallest and largest shares."""
+    stored = stored_zone(spark, folder, ["sku"])
+    shares = [0.0, 0.5, 0.99999, 1.0]
+    marks = [splits.hash_split(stored, s).filter("is_test").select(F.lit(s).alias("share")) for s in shares]
+    return dedup.append(marks).groupBy("share").agg(F.count("*").alias("n"))
+
+
 @_query
 def fold_counts(spark, folder):
     return _count_and_total(splits.hash_folds(clean(spark, folder), linear.SEARCH_FOLDS), "fold")
@@ -403,11 +421,12 @@ def scale_minmax(spark, folder):
 @_query
 def ols_by_segment(spark, folder):
     models = linear.fit_by_segment(zone(spark, folder), ONE_FEATURE)
-    return models.filter("n > 2").select(
+    # Two listings or fewer fit any line: their colonia has no model.
+    return models.select(
         "colonia",
         "n",
-        F.round(F.col("coefficients")[0], 4).alias("slope"),
-        *rounded(2, "intercept"),
+        F.when(F.col("n") > 2, F.round(F.col("coefficients")[0], 4)).alias("slope"),
+        F.when(F.col("n") > 2, F.round("intercept", 2)).alias("intercept"),
     )
 
 
@@ -536,9 +555,13 @@ def what_if(spark, folder):
 # --- segments -------------------------------------------------------------------------------
 
 
-def _quality(spark, folder):
+# No colonia of the test tables has a good model; this score has colonias on both sides.
+FAIR_SCORE = 0.02
+
+
+def _quality(spark, folder, **options):
     stored = stored_zone(spark, folder, ["sku", "colonia", "price", *ONE_FEATURE])
-    return segments.qualify_segments(stored, ONE_FEATURE)
+    return segments.qualify_segments(stored, ONE_FEATURE, **options)
 
 
 def _quality_digits(df):
@@ -558,12 +581,12 @@ def segment_quality_all_features(spark, folder):
 
 @_query
 def good_segments(spark, folder):
-    return _quality_digits(segments.good_segments(_quality(spark, folder)))
+    return _quality_digits(segments.good_segments(_quality(spark, folder, good=FAIR_SCORE)))
 
 
 @_query
 def good_share(spark, folder):
-    return segments.good_share(_quality(spark, folder)).select(*rounded(6, "good_share"))
+    return segments.good_share(_quality(spark, folder, good=FAIR_SCORE)).select(*rounded(6, "good_share"))
 
 
 @_query
@@ -596,9 +619,10 @@ def segment_error(spark, folder):
 @_query
 def segment_vs_general(spark, folder):
     train, test = train_test(spark, folder)
-    enough = settle(train.groupBy("colonia").count().filter("count > 2").select("colonia"), "enough")
-    scenarios = test.join(enough, "colonia", "left_semi")
-    return segments.segment_vs_general(train, scenarios, ONE_FEATURE).select(
+    fitted = train.groupBy("colonia").agg((F.count("*") > 2).alias("_fitted"))
+    scored = segments.segment_vs_general(train, test, ONE_FEATURE).join(settle(fitted, "fitted"), "colonia", "left")
+    own = {c: F.when(F.col("_fitted"), F.col(c)) for c in ("pred_single", "err_single")}
+    return scored.withColumns(own).select(
         "sku", "colonia", *rounded(2, "pred_single", "pred_general"), *rounded(4, "err_single", "err_general")
     )
 

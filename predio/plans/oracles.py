@@ -98,7 +98,7 @@ zone AS (
 )"""
 )
 # Hash split of the zone, about 30 % test rows.
-_SPLIT = _ZONE + ", parts AS (SELECT *, substr(md5(sku), 1, 4) < '4ccd' AS is_test FROM zone)"
+_SPLIT = _ZONE + ", parts AS (SELECT *, ('0x' || substr(md5(sku), 1, 8))::bigint < ceil(0.3 * 4294967296) AS is_test FROM zone)"
 _FOLD = "cast(floor(('0x' || substr(md5(sku), 1, 8))::bigint * {k} / 4294967296.0::double) AS int)"
 # One-feature least squares on the train rows, and its test predictions.
 _OLS = (
@@ -297,7 +297,7 @@ def _three_features() -> str:
     )
     fold = _FOLD.format(k=10)
     return f"""
-split AS (SELECT *, substr(md5(sku), 1, 4) < '3334' AS is_test, {fold} AS fold FROM zone),
+split AS (SELECT *, ('0x' || substr(md5(sku), 1, 8))::bigint < ceil(0.2 * 4294967296) AS is_test, {fold} AS fold FROM zone),
 ks AS (SELECT DISTINCT fold AS k FROM split UNION ALL SELECT -1),
 mom AS (
   SELECT k, avg(price) AS my, {cov} FROM ks, split WHERE NOT is_test AND fold <> k GROUP BY k
@@ -502,9 +502,20 @@ def sql() -> dict[str, str]:
         ),
         "split_counts": _with(
             _CLEAN,
-            """SELECT colonia, substr(md5(sku), 1, 4) < '4ccd' AS is_test, count(*) AS n,
+            """SELECT colonia, ('0x' || substr(md5(sku), 1, 8))::bigint < ceil(0.3 * 4294967296) AS is_test, count(*) AS n,
             round(sum(price), 2) AS total_price FROM clean GROUP BY ALL""",
         ),
+        "split_null_keys": _with(
+            _ZONE + """, keyed AS (SELECT CASE WHEN substr(md5(sku), 32, 1) <> '0' THEN sku END AS key FROM zone),
+            hashed AS (SELECT key, ('0x' || substr(md5(coalesce(key, '')), 1, 8))::bigint AS h FROM keyed)""",
+            """SELECT key IS NULL AS no_key, h < ceil(0.3 * 4294967296) AS is_test,
+            cast(floor(h * 5 / 4294967296.0::double) AS int) AS fold, count(*) AS n FROM hashed GROUP BY ALL""",
+        ),
+        "split_edges": _with(
+            _ZONE + ", hashed AS (SELECT ('0x' || substr(md5(sku), 1, 8))::bigint AS h FROM zone)",
+            """SELECT share, count(*) AS n FROM hashed, (SELECT unnest([0.0, 0.5, 0.99999, 1.0])::double AS share)
+            WHERE h < ceil(share * 4294967296) GROUP BY share""",
+        ),
         "exact_split": _with(
             _CLEAN,
             """SELECT sku, row_number() OVER (PARTITION BY colonia ORDER BY md5(sku))
@@ -536,8 +547,9 @@ def sql() -> dict[str, str]:
         ),
         "ols_by_segment": _with(
             _ZONE,
-            """SELECT colonia, count(*) AS n, round(regr_slope(price, m2_const), 4) AS slope,
-            round(regr_intercept(price, m2_const), 2) AS intercept FROM zone GROUP BY colonia HAVING count(*) > 2""",
+            """SELECT colonia, count(*) AS n, CASE WHEN count(*) > 2 THEN round(regr_slope(price, m2_const), 4) END AS slope,
+            CASE WHEN count(*) > 2 THEN round(regr_intercept(price, m2_const), 2) END AS intercept
+            FROM zone GROUP BY colonia""",
         ),
         "ols_report": _with(
             _OLS + ", train AS (SELECT * FROM parts WHERE NOT is_test)," + _cv(5, "0, 1", "train"),
@@ -564,9 +576,11 @@ def sql() -> dict[str, str]:
         ),
         "segment_quality": _with(_QUALITY, quality),
         "read_result_table": _with(_QUALITY, quality),
-        "good_segments": _with(_QUALITY, f"SELECT * FROM ({quality}) WHERE \"Good\""),
+        "good_segments": _with(
+            _QUALITY, f"SELECT * REPLACE (true AS \"Good\") FROM ({quality}) WHERE score >= 0.02"
+        ),
         "good_share": _with(
-            _QUALITY, "SELECT round(avg(CASE WHEN score >= 0.7 THEN 1.0 ELSE 0.0 END), 6) AS good_share FROM quality"
+            _QUALITY, "SELECT round(avg(CASE WHEN score >= 0.02 THEN 1.0 ELSE 0.0 END), 6) AS good_share FROM quality"
         ),
         "first_results": _with(_QUALITY, f"SELECT * FROM ({quality}) ORDER BY colonia LIMIT 5"),
         "segment_error": _with(
@@ -600,7 +614,7 @@ def sql() -> dict[str, str]:
             """SELECT sku, colonia, round(sa + sb * m2_const, 2) AS pred_single, round(p_ols, 2) AS pred_general,
             round(abs((sa + sb * m2_const - price) / price) * 100, 4) AS err_single,
             round(abs((p_ols - price) / price) * 100, 4) AS err_general
-            FROM scored JOIN own USING (colonia) WHERE is_test""",
+            FROM scored LEFT JOIN own USING (colonia) WHERE is_test""",
         ),
         "dbscan_geo": _dbscan(),
     }

@@ -14,9 +14,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# An ordered single-partition window is used only up to this many rows.
-SINGLE_TASK_ROWS = 1_000_000
-
 
 _local_folder: str | None = None
 

@@ -162,11 +162,10 @@ def test_scaling_equals_numpy(sample):
     assert (spread["same"] == 0).all()
 
 
-@pytest.mark.parametrize("single_task_rows", [10**6, 10])
-def test_codes_are_sorted_and_dense(spark, single_task_rows):
+def test_codes_are_sorted_and_dense(spark):
     values = [f"c{i * 37 % 101}" for i in range(101)] * 3 + [None]
     df = spark.createDataFrame([(v,) for v in values], "colonia string")
-    encoder = codes.fit_encoder(df, single_task_rows=single_task_rows)
+    encoder = codes.fit_encoder(df)
     assert [r.colonia for r in encoder.orderBy("endocer_colonia").collect()] == sorted(set(values) - {None})
     assert sorted(r.endocer_colonia for r in encoder.collect()) == list(range(101))
     unseen = spark.createDataFrame([("c5",), ("new",), (None,)], "colonia string")
@@ -211,3 +210,46 @@ def test_folds_of_fewer_rows_than_folds(spark):
 def test_hash_split_does_not_shuffle(sample):
     plan = splits.hash_split(sample[1], 0.3)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_splits_at_the_edges_and_without_keys(spark):
+    df = spark.createDataFrame([(f"s{i}" if i % 3 else None, i) for i in range(300)], "sku string, i int")
+    for share, least, most in ((0, 0, 0), (0.3, 40, 220), (0.99999, 299, 300), (1, 300, 300)):
+        n = splits.hash_split(df, share).filter("is_test").count()
+        assert least <= n <= most
+    split = splits.hash_split(df, 0.3).toPandas()
+    assert split.is_test.notna().all() and split[split.sku.isna()].is_test.nunique() == 1
+    assert splits.hash_folds(df, 5).filter("fold is null").count() == 0
+    exact = splits.exact_split(df.filter("sku is not null"), 0.3).filter("is_test").count()
+    assert exact == 60 and splits.exact_split(df, 0.3).filter("is_test is null").count() == 0
+    for wrong in (-0.1, 1.1):
+        with pytest.raises(ValueError):
+            splits.hash_split(df, wrong)
+
+
+def test_amenity_names_that_spark_takes_for_one(spark):
+    from predio.operators import categories
+
+    df = spark.createDataFrame([(["Pool"], 1.0), (["pool", "gym"], 2.0), (None, 3.0), (["gym"], 4.0)], "amenidades array<string>, price double")
+    rows, names = categories.with_amenities(df)
+    assert names == ["Pool", "gym"]
+    assert [(r["Pool"], r["gym"]) for r in rows.orderBy("price").collect()] == [(True, False), (True, True), (False, False), (False, True)]
+    clash = spark.createDataFrame([(["Price"], 1.0)], "amenidades array<string>, price double")
+    with pytest.raises(ValueError):
+        categories.with_amenities(clash)
+
+
+def test_constant_folds_and_missing_places(spark):
+    from predio.operators import clusters, linear
+
+    rows = [(f"s{i}", float(i), float(i * 2 % 7) if i < 40 else 5.0, i // 20) for i in range(60)]
+    df = spark.createDataFrame(rows, "sku string, x double, price double, fold int")
+    scores = linear.cross_validate(df, ["x"], "price", (0.0, 1.0))
+    assert all(np.isfinite(v) for v in scores.values())
+    with pytest.raises(ValueError):
+        linear.cross_validate(df.filter("fold = 2").withColumn("fold", (df.x % 2).cast("int")), ["x"], "price")
+    places = [(f"p{i}", 20.0 + i / 1000, -103.0) for i in range(8)] + [("n", float("nan"), -103.0), ("m", None, -103.0)]
+    found = clusters.dbscan_clusters(spark.createDataFrame(places, "sku string, lat double, lng double")).toPandas().set_index("sku")
+    assert found.cluster[["n", "m"]].isna().all() and (found.cluster.drop(["n", "m"]) == 0).all()
+    means = clusters.kmeans_clusters(spark.createDataFrame(places, "sku string, lat double, lng double"), k=2).toPandas().set_index("sku")
+    assert means.cluster[["n", "m"]].isna().all() and means.cluster.drop(["n", "m"]).notna().all()
