@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from predio.functions.nulls import unless
 from predio.functions.stats import g1_skew
-from predio.operators.quantiles import MAX_ROWS, exact_quantiles
+from predio.operators.quantiles import exact_quantiles
 from predio.scale import settle
 from predio.schema import KEY, OUTLIER_COLUMNS, SEGMENT, require_columns
 
@@ -46,9 +46,7 @@ def skew_global(df: DataFrame, columns) -> DataFrame:
     return df.agg(*[g1_skew(c).alias(c) for c in columns]).unpivot([], columns, "column", "skew")
 
 
-def trim_bounds(
-    df: DataFrame, columns: list[str], segment: str = SEGMENT, max_rows: int = MAX_ROWS
-) -> DataFrame:
+def trim_bounds(df: DataFrame, columns: list[str], segment: str = SEGMENT) -> DataFrame:
     """Per skewed segment, the bounds ``lo_<c>, hi_<c>`` of its skewed columns (else NULL)."""
     narrow = df.select(segment, *columns).filter(F.col(segment).isNotNull())
     stats = settle(
@@ -66,14 +64,7 @@ def trim_bounds(
     candidates = narrow.join(flagged.drop("n"), [segment]).select(
         segment, *[F.when(_is_skewed(f"s_{c}"), F.col(c)).alias(c) for c in columns]
     )
-    quantiles = exact_quantiles(
-        candidates,
-        columns,
-        [*RIGHT_CUT, *LEFT_CUT],
-        [segment],
-        max_rows,
-        sizes=flagged.select(segment, "n"),
-    )
+    quantiles = exact_quantiles(candidates, columns, [*RIGHT_CUT, *LEFT_CUT], [segment])
 
     def bound(c: str, side: int) -> Column:
         return F.when(F.col(f"s_{c}") > SKEW_LIMIT, F.col(f"q_{c}")[side]).when(
@@ -95,7 +86,6 @@ def trim_by_segment(
     columns=None,
     segment: str = SEGMENT,
     key: str = KEY,
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Remove the rows at or beyond a segment's bounds; missing values stay.  Drops ``key``.
 
@@ -103,7 +93,7 @@ def trim_by_segment(
     trimmed in one filter.  ``df`` is scanned several times: pass a stored table.
     """
     columns = require_columns(df, columns or OUTLIER_COLUMNS)
-    bounds = trim_bounds(df, columns, segment, max_rows)
+    bounds = trim_bounds(df, columns, segment)
     outside = F.lit(False)
     for c in columns:
         beyond = (F.col(c) <= F.col(f"lo_{c}")) | (F.col(c) >= F.col(f"hi_{c}"))
@@ -113,9 +103,7 @@ def trim_by_segment(
     )
 
 
-def trim_global(
-    df: DataFrame, columns, trim_negative: bool = False, max_rows: int = MAX_ROWS
-) -> DataFrame:
+def trim_global(df: DataFrame, columns, trim_negative: bool = False) -> DataFrame:
     """Trim skewed columns one after the other over the whole table.
 
     Skewness is taken once, up front.  Each right-skewed column then keeps the rows
@@ -135,6 +123,6 @@ def trim_global(
     kept = F.lit(True)
     for c, cut in todo:
         left = narrow.filter(kept).select(c)
-        low, high = exact_quantiles(left, [c], list(cut), max_rows=max_rows).first()[0] or (None, None)
+        low, high = exact_quantiles(left, [c], list(cut)).first()[0] or (None, None)
         kept = kept & (F.col(c) > F.lit(low)) & (F.col(c) < F.lit(high))
     return df.filter(kept)

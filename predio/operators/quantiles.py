@@ -1,12 +1,9 @@
 """Exact quantiles with linear interpolation, per group or over the whole table.
 
-Spark's ``percentile`` is exact too, but its final step holds every distinct value of a
-group in one task.  Groups of at most ``max_rows`` rows use it.  Larger groups (or the
-whole table) are narrowed instead: count the rows of equal-width buckets between the
-group's smallest and largest value, keep the bucket that holds each wanted rank, take
-that bucket's own smallest and largest value as the next bracket, and repeat until the
-bracket is one value.  Every pass is one partially aggregated scan whose result has at
-most ``BUCKETS`` rows per bracket, and no rows are gathered or approximated.
+Equal values of a group are counted first.  The counted values are range-partitioned by group
+and value and stored in order; each partition adds up its own counts, the counts of a group's
+earlier partitions are added, and the values at the wanted ranks are read off.  A group of any
+size is spread over partitions, and no rows are gathered or approximated.
 """
 
 from __future__ import annotations
@@ -15,126 +12,71 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from predio.scale import settle
 
-BUCKETS = 4096
-MAX_ROWS = 1_000_000
 
+def _at_ranks(points: DataFrame, group: list[str], probs: list[float]) -> DataFrame:
+    """``(*group, _pos, _q)``: the quantile of each group at each place of ``probs``."""
+    counted = points.groupBy(*group, "_v").agg(F.count("*").alias("_c"))
+    ordered = counted.repartitionByRange(*group, "_v").sortWithinPartitions(*group, "_v")
+    ordered = settle(ordered.withColumn("_part", F.spark_partition_id()), "ordered")
+    # One row per group and partition.
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy(*group, "_part").agg(F.sum("_c").alias("_rows"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    parts = settle(parts, "parts")
 
-def _direct(df: DataFrame, keys: list[str], columns: list[str], probs: list[float]) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return df.groupBy(*keys).agg(
-        *[F.percentile(F.col(c).cast("double"), wanted).alias(f"q_{c}") for c in columns]
-    )
-
-
-def _narrowed(df: DataFrame, keys: list[str], columns: list[str], probs: list[float]) -> DataFrame:
-    """Quantiles of large groups; keys must not be NULL."""
-    group = [*keys, "_column"]
-    points = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        keys, columns, "_column", "_v"
-    ).filter("_v is not null")
-
-    # One row per wanted rank, with the bracket [lo, hi] known to hold it and the
-    # number of values below the bracket.
     quantile = F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_pos", "_p")
     ranks = (
-        points.groupBy(*group)
-        .agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .select(*group, "_n", "_lo", "_hi", quantile)
+        parts.groupBy(*group)
+        .agg(F.sum("_rows").alias("_n"))
+        .select(*group, "_n", quantile)
         .withColumn("_at", (F.col("_n") - 1) * F.col("_p"))
-        .withColumn(
-            "_rank",
-            F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))),
-        )
-        .select(*group, "_pos", "_at", "_rank", F.lit(0).cast("bigint").alias("_base"), "_lo", "_hi")
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
     )
-    ranks = settle(ranks, "ranks")
-
-    bracket = [*group, "_base", "_lo", "_hi"]
-    while not ranks.filter("_lo < _hi").isEmpty():
-        open_brackets = settle(
-            ranks.filter("_lo < _hi").select(*bracket).distinct(), "brackets"
-        )
-        in_bracket = points.join(open_brackets, group).filter(
-            "_v >= _lo and _v <= _hi"
-        )
-        # The smallest value falls in the first bucket and the largest in the last one, so
-        # every pass splits its bracket.  NaN arises from a bracket that starts at -inf.
-        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-        bucket = (
-            F.when(F.col("_v") == F.col("_lo"), 0)
-            .when(F.col("_v") == F.col("_hi"), BUCKETS - 1)
-            .when(F.isnan(share), 1)
-            .otherwise(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)))
-        )
-        so_far = Window.partitionBy(*bracket).orderBy("_bucket")
-        buckets = (
-            in_bracket.groupBy(*bracket, bucket.alias("_bucket"))
-            .agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-            .withColumn("_until", F.col("_base") + F.sum("_c").over(so_far))
-            .withColumn("_from", F.col("_until") - F.col("_c"))
-        )
-        narrower = (
-            ranks.filter("_lo < _hi")
-            .join(buckets.drop("_bucket", "_c"), bracket)
-            .filter("_rank >= _from and _rank < _until")
-            .select(
-                *group, "_pos", "_at", "_rank",
-                F.col("_from").alias("_base"),
-                F.col("_min").alias("_lo"),
-                F.col("_max").alias("_hi"),
-            )
-        )
-        ranks = settle(ranks.filter("_lo = _hi").unionByName(narrower), "ranks")
+    # Only the partition that holds a rank is asked for it.
+    ranks = ranks.join(parts, group).filter("_rank >= _before and _rank < _before + _rows")
+    ranks = settle(ranks.select(*group, "_part", "_pos", "_at", "_rank", "_before"), "ranks")
+    so_far = Window.partitionBy(*group, "_part").orderBy("_v")
+    running = ordered.withColumn("_until", F.sum("_c").over(so_far))
+    held = (F.col("_rank") < F.col("_before") + F.col("_until")) & (
+        F.col("_rank") >= F.col("_before") + F.col("_until") - F.col("_c")
+    )
+    found = running.join(ranks, [*group, "_part"]).filter(held)
 
-    low, high = F.min("_lo"), F.max("_lo")
+    low, high = F.min("_v"), F.max("_v")
     below, above = F.floor("_at"), F.ceil("_at")
     # High and low values weighted by the distance to the other rank, as percentile does.
     value = F.when(low == high, low).otherwise(
         (above - F.col("_at")) * low + (F.col("_at") - below) * high
     )
-    each = ranks.groupBy(*group, "_pos", "_at").agg(value.alias("_q"))
-    listed = each.groupBy(*keys).agg(
-        *[
-            F.transform(
-                F.sort_array(
-                    F.collect_list(F.when(F.col("_column") == c, F.struct("_pos", "_q")))
-                ),
-                lambda s: s["_q"],
-            ).alias(c)
-            for c in columns
-        ]
-    )
-    return listed.select(*keys, *[F.when(F.size(c) > 0, F.col(c)).alias(f"q_{c}") for c in columns])
+    return found.groupBy(*group, "_pos", "_at").agg(value.alias("_q"))
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probs: list[float],
-    keys: list[str] | None = None,
-    max_rows: int = MAX_ROWS,
-    sizes: DataFrame | None = None,
+    df: DataFrame, columns: list[str], probs: list[float], keys: list[str] | None = None
 ) -> DataFrame:
     """``keys`` plus one array ``q_<column>`` of quantiles per column.
 
-    Missing values are ignored, and so are rows without a key.
-    ``sizes`` may pass a settled table ``(*keys, n)`` of group sizes if it is known
-    already.  ``df`` is scanned more than once, so pass a stored or settled table.
+    Missing values are ignored, and so are rows without a key; a column without values gives
+    NULL.
     """
     keys = keys or []
     if keys:
         df = df.na.drop(subset=keys)
-    if sizes is None:
-        sizes = settle(df.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
-    large = sizes.filter(F.col("n") > max_rows)
-    if large.isEmpty():
-        return _direct(df, keys, columns, probs)
-    if not keys:
-        return _narrowed(df, keys, columns, probs)
-
-    # At most (rows / max_rows) groups are large, so this lookup stays small.
-    marked = df.join(settle(large.select(*keys, F.lit(True).alias("_large")), "large"), keys, "left")
-    small = marked.filter("_large is null").drop("_large")
-    return _direct(small, keys, columns, probs).unionByName(
-        _narrowed(marked.filter("_large").drop("_large"), keys, columns, probs)
+    points = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        keys, columns, "_column", "_v"
     )
+    each = _at_ranks(points.filter("_v is not null"), [*keys, "_column"], probs)
+    listed = [
+        F.transform(
+            F.sort_array(F.collect_list(F.when(F.col("_column") == c, F.struct("_pos", "_q")))),
+            lambda s: s["_q"],
+        ).alias(c)
+        for c in columns
+    ]
+    wide = each.groupBy(*keys).agg(*listed)
+    filled = [F.when(F.size(c) > 0, F.col(c)).alias(f"q_{c}") for c in columns]
+    if not keys:
+        return wide.select(*filled)
+    # Keys whose values are all missing.
+    every = df.select(*keys).distinct()
+    return every.join(wide, keys, "left").select(*keys, *filled)

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from predio.functions.nulls import is_floating, is_missing
-from predio.operators.quantiles import MAX_ROWS, exact_quantiles
+from predio.operators.quantiles import exact_quantiles
 from predio.scale import settle
 from predio.schema import OUTLIER_COLUMNS, SEGMENT, column_role, require_columns
 
@@ -71,7 +71,7 @@ def small_segments(df: DataFrame, at_most: int = 50, segment: str = SEGMENT) ->
     return segment_sizes(df, segment).filter(F.col("n") <= at_most)
 
 
-def describe(df: DataFrame, columns, max_rows: int = MAX_ROWS) -> DataFrame:
+def describe(df: DataFrame, columns) -> DataFrame:
     """Count, mean, sample deviation and five-number summary, rounded half-even.
 
     One row per column.  Quartiles are exact at any size (see ``exact_quantiles``).
@@ -90,7 +90,7 @@ def describe(df: DataFrame, columns, max_rows: int = MAX_ROWS) -> DataFrame:
             for c in columns
         ]
     )
-    quartiles = exact_quantiles(narrow, columns, [0.25, 0.5, 0.75], max_rows=max_rows)
+    quartiles = exact_quantiles(narrow, columns, [0.25, 0.5, 0.75])
     # Both sides are global aggregates, hence exactly one row each.
     both = moments.withColumn("_one", F.lit(1)).join(quartiles.withColumn("_one", F.lit(1)), "_one")
 
