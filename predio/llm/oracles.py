@@ -50,4 +50,23 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (p * 24 // n)::INT AS shard,
 FROM p
 """
 
-SQL = {"op6_quality_rules": OP6, "op10_sharding": OP10}
+OP7 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
+                        lambda i: array_to_string(w[i:i + 4], chr(10))))
+                      WHEN len(w) > 0 THEN [array_to_string(w, chr(10))] ELSE [] END AS sh FROM d),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+sides AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc, sides.b FROM r JOIN sides ON r.other = sides.a),
+c AS (SELECT doc, min(other) AS component_id FROM r GROUP BY doc)
+SELECT doc_id, len(sh) AS n_shingles, component_id FROM s JOIN c ON s.doc_id = c.doc
+"""
+
+SQL = {"op6_quality_rules": OP6, "op7_ngram_jaccard": OP7, "op10_sharding": OP10}
