@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from predio.llm.frames import add_columns
 from predio.llm.words import LOWER, SPACE, cut, range_hashes, text_buffers
 
-CACHED = 1 << 20
+#: Bytes of text encoded at once, and units whose ids a Python worker keeps.
+BLOCK = 1 << 21
+CACHED = 1 << 18
 _NEVER = np.int64(1) << 40
 
 
@@ -479,7 +481,7 @@ def encode(
 
         return run
 
-    return add_columns(df, fields, work, text)
+    return add_columns(df, fields, work, text, BLOCK)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -176,7 +176,7 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     like the new one is replaced.
     """
     fields = [T.StructField(name, T.DoubleType(), False)]
-    return add_columns(df, fields, lambda: lambda column: [pa.array(model.scores(column))], text, 1 << 21)
+    return add_columns(df, fields, lambda: lambda column: [pa.array(model.scores(column))], text, 1 << 20)
 
 
 def held_out(key: str = "doc_id") -> Column:

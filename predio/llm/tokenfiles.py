@@ -76,7 +76,7 @@ def write(
                 column = column.fill_null("")
             data, at = text_buffers(column)
             keys = batch.column(0).to_pylist()
-            for a, b in row_blocks(at, 1 << 22):
+            for a, b in row_blocks(at, 1 << 21):
                 ids, row = own.encode(data, at, a, b)
                 if out is None:
                     store.create_dir(folder, recursive=True)
