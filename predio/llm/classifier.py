@@ -98,7 +98,7 @@ def _bags(sample: DataFrame, text: str) -> DataFrame:
         return [pa.array(ids, pa.binary()), pa.array(counts, pa.binary())]
 
     fields = [T.StructField("_ids", T.BinaryType(), False), T.StructField("_counts", T.BinaryType(), False)]
-    return add_columns(sample, fields, lambda: run, text)
+    return add_columns(sample, fields, lambda: run, text, 1 << 20)
 
 
 def train(
