@@ -10,8 +10,8 @@ band and in the next one.
   signatures with one element deleted.  Empty segments are never signatures.
 * Allocation: a set that fills F segments agrees with a similar one in at least F - H of
   them.  Signatures that no other set has cost nothing and use up H; a set whose shared
-  signatures are too few is dropped.  In the next band only the fullest segments, the
-  least likely to be shared by chance, are looked up.  Where F <= H, agreement up to one
+  signatures are too few is dropped, which counts on its partners offering all their filled
+  segments, in the next band too.  Where F <= H, agreement up to one
   element in a filled one of the first two segments makes up for it; a set that even that
   leaves uncovered is compared with every set that shares a shingle.
 * Verification: the sets of the remaining candidates are intersected.
@@ -133,23 +133,14 @@ class Signatures:
         segment = part[begin] - base[line]
         salt = segment.astype(_U) * _U(_PLACE) + target[line].astype(_U) * _U(0xD1B54A32D192ED03)
         filled = np.bincount(line, minlength=len(rows))
-        chosen = np.ones(len(begin), bool)
-        if role:
-            # The fullest segments first.
-            wanted = np.minimum(filled, -(-115 * (limit + 1) // 100) + 4)
-            by = np.lexsort((segment, -count, line))
-            rank = np.empty(len(by), np.int64)
-            rank[by] = np.arange(len(by)) - np.repeat(np.cumsum(filled) - filled, filled)
-            chosen = rank < wanted[line]
-            filled = wanted
+        # In the next band too: the larger set counts on every segment it may share.
         need = np.maximum(filled - limit, 1)
         promoted = segment < PROMOTED
         covered = filled + np.bincount(line[promoted], minlength=len(rows)) > limit
-        some = np.flatnonzero(chosen)
-        out[0].append(mix(total[some] + salt[some]))
-        out[1].append(rows[line[some]])
-        out[2].append(np.full(len(some), role))
-        out[3].append(need[line[some]])
+        out[0].append(mix(total + salt))
+        out[1].append(rows[line])
+        out[2].append(np.full(len(begin), role))
+        out[3].append(need[line])
         # One element deleted; in the next band only where the filled segments do not suffice.
         near = promoted & (count > 1) & ((role == 0) | (filled <= limit)[line])
         which = np.repeat(np.arange(len(begin)), np.where(near, count, 0))

@@ -97,3 +97,19 @@ def test_keep_one_of_each_component(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = {key for key, n, least in brute_force(rows) if n == 0 or key == least}
     assert sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect()) == sorted(want)
+
+
+def test_isolated_pairs_astride_the_band_borders(spark):
+    """Pairs with no other near partner, just similar enough and in neighbouring bands, all link."""
+    rng, rows, word = random.Random(7), [], 0
+    for _, border, _ in jaccard.bands(80, 300):
+        for _ in range(150):
+            a, b = border - rng.randint(0, 2), border + 1 + rng.randint(0, 2)
+            both = -(-80 * (a + b) // 180)
+            assert 100 * both >= 80 * (a + b - both)
+            names = [f"w{word + i}" for i in range(a + b - both)]
+            word += len(names)
+            rows += [" ".join(names[:a]), " ".join(names[a - both :])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, k=1).collect()}
+    assert [i for i in got if got[i] != i - i % 2] == []
