@@ -12,19 +12,20 @@ leaves with several lines and to cut the lines out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from predio.llm.frames import maybe_broadcast, without
 from predio.scale import settle
 
-#: Leading words that lead to a leaf, share of the others that must agree, and least words of a template.
-DEPTH, AGREE, LEAST = 3, 0.5, 3
+#: Leading words that lead to a leaf, and least constant words of a template.
+DEPTH, LEAST = 3, 3
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``_key, _print, _pos, _line`` of every line of every document.
 
-    Lines have single spaces, none at their ends, and ``<*>`` for words with a digit.
+    Lines have single spaces, none at their ends, and ``<*>`` for words with a digit; a line with too
+    few words without a digit stays as it is, so that rows of numbers are equal only if their numbers are.
     """
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.col(text).alias("_text"))
     # (Outer: else Spark splits a second time to see whether there are lines.)
@@ -32,7 +33,28 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     line = F.col("_line")
     spaced = F.when(line.rlike("[\t\r\x0b\x0c]|  "), F.regexp_replace(line, "[\t\r\x0b\x0c ]+", " ")).otherwise(line)
     rows = rows.withColumn("_line", F.trim(spaced))
-    return rows.withColumn("_line", F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line))
+    masked = rows.withColumn("_mask", F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")))
+    words = F.split("_mask", " ")
+    enough = _constant(F.size(F.filter(words, lambda x: x != "<*>")), F.size(words))
+    return masked.withColumn("_line", F.when(F.col("_mask").isNotNull() & enough, F.col("_mask")).otherwise(line)).drop("_mask")
+
+
+def _constant(n: Column, words: Column) -> Column:
+    """Are ``n`` constant words enough to generalise a line of ``words``?  Three, and half of all."""
+    return (n >= LEAST) & (2 * n >= words)
+
+
+def _alike(same: Column) -> Column:
+    """Are lines one template, by their words after the leading ones, null where they differ?
+
+    Half of the words and one more must agree, and enough of all words must be equal and constant;
+    leading words are equal, and count unless they hold digits.
+    """
+    others = F.size(same)
+    equal = F.size(F.filter(same, lambda x: x.isNotNull()))
+    constant = F.size(F.filter(same, lambda x: x.isNotNull() & (x != "<*>")))
+    lead = F.size(F.filter(F.slice(F.split("_line", " "), 1, DEPTH), lambda x: x != "<*>"))
+    return (others > 0) & (2 * equal >= others + 2) & _constant(lead + constant, others + DEPTH)
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,9 +88,8 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     read = settle(read.join(wanted, "_hash", "left_semi").groupBy("_hash").agg(F.first("_line").alias("_line")), "texts")
     both = several.join(read, "_hash").join(read.toDF("_template", "_other"), "_template")
     rest = lambda c: F.slice(F.split(c, " "), DEPTH + 1, 1 << 30)
-    equal = F.size(F.filter(F.zip_with(rest("_line"), rest("_other"), lambda x, y: (x == y) | (x == "<*>") | (y == "<*>")), lambda x: x))
-    others = F.size(rest("_line"))
-    alike = F.when((others > 0) & (equal >= F.ceil(others * AGREE)), F.col("_template")).otherwise(F.col("_hash"))
+    same = F.zip_with(rest("_line"), rest("_other"), lambda x, y: F.when(x == y, x))
+    alike = F.when(_alike(same), F.col("_template")).otherwise(F.col("_hash"))
     named = both.select("_leaf", "_hash", alike.alias("_name"))
     single = alive.filter("_variants = 1").select("_leaf", "_hash", F.col("_hash").alias("_name"))
     names = settle(single.unionByName(named), "names")

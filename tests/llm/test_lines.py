@@ -46,3 +46,13 @@ def test_generalised_variables_and_clean_lines(spark):
     twice = spark.createDataFrame([(1, base[0]), (1, base[0])], "doc_id long, text string")
     assert [r["n_dropped"] for r in lines.dedup_lines(twice).collect()] == [0, 0]
     assert lines.dedup_lines(docs.filter("false")).count() == 0
+
+
+def test_rows_of_numbers_and_short_lines_stay(spark):
+    rows = [
+        (1, "2021 12 5\nred apples are very cheap"), (2, "1999 3 7\nred apples are not cheap"), (3, "2021 12 5"),
+        (4, "Total 17 18 19"), (5, "Total 20 21 22"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs, drop_empty=True).collect()}
+    assert got == {k: t for k, t in rows if k != 3}
