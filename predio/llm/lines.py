@@ -1,9 +1,9 @@
 """Line deduplication by log templates, with SQL functions only.
 
 A line is parsed to a fixed depth: words with a digit become ``<*>``, and the number of words
-and the leading words lead to a leaf.  The most frequent line of a leaf is its template;
-lines of the leaf that agree with it in enough of the other words are the same template with
-``<*>`` where they differ, and every other line is a template of its own.  A template found in
+and the leading words lead to a leaf.  A leaf has as many templates as it needs: a line with
+which no more frequent line agrees is one, lines that agree with it in enough of the other words
+are the same template with ``<*>`` where they differ, and the rest is looked at again.  A template found in
 several documents recurs: its lines stay in the first of them only.
 
 Lines are told apart by 64-bit hashes in narrow stored tables; texts are read again only for
@@ -12,13 +12,15 @@ leaves with several lines and to cut the lines out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from predio.llm.frames import maybe_broadcast, without
 from predio.scale import settle
 
 #: Leading words that lead to a leaf, and least constant words of a template.
 DEPTH, LEAST = 3, 3
+#: Most frequent lines of a pair of words that a turn compares with.
+PIVOTS = 16
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,6 +59,53 @@ def _alike(same: Column) -> Column:
     return (others > 0) & (2 * equal >= others + 2) & _constant(lead + constant, others + DEPTH)
 
 
+def _rest(line: str) -> Column:
+    """The words after the leading ones."""
+    return F.slice(F.split(line, " "), DEPTH + 1, 1 << 30)
+
+
+def _templates(rows: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """``(_hash, _template)`` of the lines that join another one of their leaf (``_leaf, _hash, _n, _line``).
+
+    Lines of a leaf that are one template differ in fewer places than it has pairs of words after the
+    leading ones, so they agree in some pair.  A line with which no more frequent line of its pairs
+    agrees is a template and takes the lines that agree with it; the rest is looked at again.
+    Each turn compares lines with the ``PIVOTS`` most frequent ones of each of their pairs.
+    """
+    rest = _rest("_line")
+    pairs = F.floor(F.size(rest) / 2).cast("int")
+    # The last pair has a third word if their number is odd.
+    pair = F.transform(
+        F.sequence(F.lit(0), pairs - 1),
+        lambda i: F.xxhash64("_leaf", i, F.slice(rest, 2 * i + 1, F.when(i == pairs - 1, 3).otherwise(2))),
+    )
+    rank = F.struct("_n", "_hash").alias("_rank")
+    open_rows = settle(rows.filter(pairs > 1).select("_hash", rank, F.explode(pair).alias("_pair")), "pairs")
+    assigned = None
+    while True:
+        # A pair left to one line joins nothing.
+        alive = open_rows.groupBy("_pair").agg(F.min("_rank").alias("_low"), F.max("_rank").alias("_high")).filter("_low <> _high")
+        open_rows = settle(open_rows.join(alive.select("_pair"), "_pair", "left_semi"), "open")
+        if open_rows.isEmpty():
+            return assigned
+        place = F.row_number().over(Window.partitionBy("_pair").orderBy(F.col("_rank").desc()))
+        pivots = open_rows.withColumn("_place", place).filter(F.col("_place") <= PIVOTS)
+        pivots = settle(pivots.select("_pair", F.col("_rank").alias("_pivot"), "_place"), "pivots")
+        both = open_rows.join(pivots, "_pair").filter("_rank < _pivot").select("_hash", "_rank", "_pivot").distinct()
+        both = both.join(texts, "_hash").join(texts.toDF("_of", "_other"), F.col("_pivot._hash") == F.col("_of"))
+        same = F.zip_with(_rest("_line"), _rest("_other"), lambda x, y: F.when(x == y, x))
+        agree = settle(both.filter(_alike(same)).select("_hash", "_pivot"), "agree")
+        # A template is a pivot of all its pairs and agrees with none above it.
+        every = open_rows.join(pivots.withColumnRenamed("_pivot", "_rank"), ["_pair", "_rank"], "left")
+        top = every.groupBy("_hash").agg(F.count_if(F.col("_place").isNull()).alias("_below")).filter("_below = 0").select("_hash")
+        top = settle(top.join(agree, "_hash", "left_anti"), "top")
+        taken = agree.join(top.select(F.col("_hash").alias("_of")), F.col("_pivot._hash") == F.col("_of"), "left_semi")
+        taken = settle(taken.groupBy("_hash").agg(F.max("_pivot")["_hash"].alias("_template")), "taken")
+        assigned = taken if assigned is None else assigned.unionByName(taken)
+        done = top.unionByName(taken.select("_hash"))
+        open_rows = settle(open_rows.join(done, "_hash", "left_anti"), "left")
+
+
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``_key, _print, _pos``: the lines that go, each a repeat of a template that an earlier document has.
 
@@ -74,23 +123,21 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.count("*").alias("_n"), F.min(doc).alias("_first"), F.max(doc).alias("_last")
     )
     variants = settle(variants, "variants")
-    leaves = variants.groupBy("_leaf").agg(
-        F.min("_first").alias("_a"), F.max("_last").alias("_z"), F.count("*").alias("_variants"),
-        F.max(F.struct("_n", "_hash")).alias("_top"),
-    )
-    leaves = settle(leaves.filter("_a <> _z").select("_leaf", "_variants", F.col("_top._hash").alias("_template")), "leaves")
+    leaves = variants.groupBy("_leaf").agg(F.min("_first").alias("_a"), F.max("_last").alias("_z"), F.count("*").alias("_variants"))
+    leaves = settle(leaves.filter("_a <> _z").select("_leaf", "_variants"), "leaves")
     alive = variants.join(leaves, "_leaf")
 
-    # The lines of leaves with several of them, once each, next to their leaf's template.
-    several = settle(alive.filter("_variants > 1").select("_leaf", "_hash", "_template"), "several")
+    # The lines of leaves with several of them, once each.
+    several = settle(alive.filter("_variants > 1").select("_leaf", "_hash", "_n"), "several")
     wanted = maybe_broadcast(settle(several.select("_hash").distinct(), "wanted"))
     read = _lines(docs, key, text).select(F.xxhash64("_line").alias("_hash"), "_line")
     read = settle(read.join(wanted, "_hash", "left_semi").groupBy("_hash").agg(F.first("_line").alias("_line")), "texts")
-    both = several.join(read, "_hash").join(read.toDF("_template", "_other"), "_template")
-    rest = lambda c: F.slice(F.split(c, " "), DEPTH + 1, 1 << 30)
-    same = F.zip_with(rest("_line"), rest("_other"), lambda x, y: F.when(x == y, x))
-    alike = F.when(_alike(same), F.col("_template")).otherwise(F.col("_hash"))
-    named = both.select("_leaf", "_hash", alike.alias("_name"))
+    assigned = _templates(several.join(read, "_hash"), read)
+    named = several.select("_leaf", "_hash")
+    if assigned is not None:
+        named = named.join(assigned, "_hash", "left").select("_leaf", "_hash", F.coalesce("_template", "_hash").alias("_name"))
+    else:
+        named = named.withColumn("_name", F.col("_hash"))
     single = alive.filter("_variants = 1").select("_leaf", "_hash", F.col("_hash").alias("_name"))
     names = settle(single.unionByName(named), "names")
 

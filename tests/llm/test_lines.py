@@ -56,3 +56,14 @@ def test_rows_of_numbers_and_short_lines_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs, drop_empty=True).collect()}
     assert got == {k: t for k, t in rows if k != 3}
+
+
+def test_several_templates_in_a_leaf(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PIVOTS", 2)  # several turns
+    names = ["ada", "bob", "cy", "dee", "eve", "fay"]
+    families = ["the new server {} was started without any error", "the new server has lost its link to {}"]
+    families += [f"the new server w{c} x{c} y{c} z{c} v{c} {{}}".replace("{c}", c) for c in "abcdefgh"]
+    rows = [f.format(n) for f in families for n in names[: 6 if f is families[0] else 4]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"] for r in lines.dedup_lines(docs).filter("n_dropped > 0").collect()}
+    assert len(rows) - len(got) == len(families)
