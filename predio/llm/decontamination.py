@@ -18,9 +18,23 @@ from predio.llm.frames import maybe_broadcast
 from predio.llm.words import KEEP_CASE, PLACES, mix, row_blocks, text_buffers, words
 from predio.scale import settle
 
-#: Ones are compared, zeros ignored; all of one length.
-MASKS = ("111010010111", "110011101011", "101101110101")
-SPAN = len(MASKS[0])
+#: Ones are compared, zeros ignored, by words of the item (16 stands for more): the masks of a length hit
+#: every way to change as many words as ``PERCENT`` allows.
+MASKS = {
+    5: ["11101", "1111", "11011", "10111"],
+    6: ["11111", "11101", "100111"],
+    7: ["11111", "1100111", "1111001"],
+    8: ["1111101", "11101111", "10110111", "1011111"],
+    9: ["1111101", "11101111", "110110011"],
+    10: ["1111101", "110110011", "11101111", "1010010111", "1101001111", "1100011011", "1110001101"],
+    11: ["11101111", "110110011", "1111101", "1101001111", "1010010111"],
+    12: ["11101111", "1101001111", "1011110101", "111100100101", "101010011011", "110001110101"],
+    13: ["11101111", "1101001111", "1101100010011", "1011110101"],
+    14: ["11101111", "101010011011", "111010010111"],
+    15: ["11101111", "1101100010011", "1101001111", "110001010010011", "111100100101", "101010011011"],
+    16: ["110011101011", "111010010111", "11101111", "1101100010011", "1101001111", "110001010010011"],
+}
+SPAN = max(len(m) for masks in MASKS.values() for m in masks)
 #: Words on either side of a hit that verification sees.
 AROUND = 16
 #: Length of the stretch that must agree, and the share of its words that must be equal.
@@ -53,9 +67,10 @@ def _windows(hashes: np.ndarray, row: np.ndarray, offsets: list[int], salt: int)
     return mix(total[at]), at
 
 
-def _seeds(short: list[int]) -> list[list[int]]:
-    """Offsets compared by each mask; whole stretches of ``short`` lengths for short benchmark texts."""
-    return [[j for j, c in enumerate(m) if c == "1"] for m in MASKS] + [list(range(n)) for n in short]
+def _seeds(lengths: list[int]) -> dict[str, list[int]]:
+    """Offsets compared by each mask that items of these lengths need."""
+    masks = sorted({m for n in lengths for m in MASKS[n]})
+    return {m: [j for j, c in enumerate(m) if c == "1"] for m in masks}
 
 
 def _around(hashes: np.ndarray, row: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -84,13 +99,15 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, n
             yield batch.slice(a, b - a), np.where(hashes == 0, _U(1), hashes), row
 
 
-def _short_lengths(benchmark: DataFrame) -> list[int]:
+def _lengths(benchmark: DataFrame) -> list[int]:
+    """Numbers of words that items have, none above ``STRETCH``."""
+
     def run(batches):
         for batch, _, row in _rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.diff(row))], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(np.diff(row), STRETCH))], names=["n"])
 
-    lengths = benchmark.mapInArrow(run, "n bigint").filter(F.col("n").between(LEAST, SPAN - 1)).distinct()
-    return sorted(r["n"] for r in lengths.collect())  # at most SPAN values
+    lengths = benchmark.mapInArrow(run, "n bigint").filter(F.col("n") >= LEAST).distinct()
+    return sorted(r["n"] for r in lengths.collect())  # at most STRETCH values
 
 
 def overlaps(
@@ -102,22 +119,22 @@ def overlaps(
     Columns: ``key``, ``_print`` (a hash of the text, so that texts sharing a key stay apart), ``item``,
     ``words`` and ``equal`` (length of the stretch and equal words in it) and ``hits``.  Words are runs of
     letters and digits, in lower case (ASCII marks separate).  A stretch of 16 words, or the whole item if that is
-    shorter, must agree in at least 80 % of its words; items of fewer than 12 words are hit by equal texts
-    only, items of fewer than 5 words (or null or empty ones) by none.  Null and empty texts overlap with
+    shorter, must agree in at least 80 % of its words; items of fewer than 5 words (or null or empty ones)
+    are hit by none.  Null and empty texts overlap with
     nothing; a missing key is kept as such; repeated rows give one row; an empty table on either side gives
     an empty table.  Other columns are not looked at.
     """
     items = benchmark.select(F.col(item).alias("_item"), F.lower(F.coalesce(F.col(item_text), F.lit(""))).alias("_text")).distinct()
-    seeds = _seeds(_short_lengths(items.select("_text")))
+    seeds = _seeds(_lengths(items.select("_text")))
 
     def seed_items(batches):
         for batch, hashes, row in _rows(batches):
             size = np.diff(row)
-            for k, offsets in enumerate(seeds):
+            for k, (mask, offsets) in enumerate(seeds.items()):
                 found, at = _windows(hashes, row, offsets, k)
                 owner = np.searchsorted(row, at, "right") - 1
-                # Whole stretches are for items of that length only.
-                own = size[owner] >= SPAN if k < len(MASKS) else size[owner] == len(offsets)
+                # Each mask is for items of some lengths only.
+                own = np.isin(np.minimum(size[owner], STRETCH), [n for n in MASKS if mask in MASKS[n]])
                 found, at, owner = found[own], at[own], owner[own]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -145,7 +162,7 @@ def overlaps(
     def seed_texts(batches):
         known = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         for batch, hashes, row in _rows(batches):
-            for k, offsets in enumerate(seeds):
+            for k, offsets in enumerate(seeds.values()):
                 found, at = _windows(hashes, row, offsets, k)
                 slots = _slots(found)
                 hit = known[slots[0]]
@@ -191,7 +208,7 @@ def overlaps(
                     whole = own & (real[:, a + size] - real[:, a] == size)
                     agree = sums[:, a + size] - sums[:, a]
                     best = np.where(whole & (agree > best), agree, best)
-            good = np.flatnonzero((100 * best >= PERCENT * least) & ((least >= STRETCH) | (best == least) | (least >= SPAN)))
+            good = np.flatnonzero(100 * best >= PERCENT * least)
             take = pa.array(good)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i).take(take) for i in range(4)], pa.array(best[good].astype(np.int32))],

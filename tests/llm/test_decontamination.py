@@ -1,5 +1,6 @@
 """Overlaps with benchmark items against a plain search."""
 
+import itertools
 import random
 
 from helpers import prose
@@ -59,3 +60,17 @@ def test_empty_tables(spark):
     assert d.decontaminate(docs, items.filter("false")).count() == len(rows)
 
 
+def test_every_placement_of_changed_words(spark):
+    rng, items, docs, want = random.Random(5), [], [], set()
+    for n in range(d.LEAST, d.STRETCH + 1):
+        words = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        changed = n - -(-n * d.PERCENT // 100)
+        ways = list(itertools.combinations(range(n), changed))
+        for way in [*ways, *rng.sample(list(itertools.combinations(range(n), changed + 1)), 3)]:
+            text = " ".join("zz" if i in way else w for i, w in enumerate(words))
+            if len(way) == changed:
+                want.add((len(docs), n))
+            docs.append((len(docs), f"before it {text} after it"))
+    found = d.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
