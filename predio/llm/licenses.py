@@ -89,7 +89,7 @@ def _minima(hashes: Column) -> list[Column]:
 def _template_table(known: DataFrame) -> DataFrame:
     """Stored templates with distinct shingles; those without a word are left out."""
     rows = known.select("template", "license", _words(F.coalesce("text", F.lit(""))).alias("_words"))
-    rows = _shingles(rows).filter(F.size("_h") > 0)
+    rows = _shingles(rows.withColumn("_few", F.size(F.split("_words", " ")))).filter(F.size("_h") > 0)
     return settle(rows.withColumn("_set", F.array_distinct("_h")), "templates")
 
 
@@ -117,8 +117,8 @@ def find_licenses(
     ``share`` is the largest part of the template's distinct shingles (at least ``contained``) in a
     stretch as long as the template, ``at`` the first shingle of that stretch; where several templates
     stand, the one with most shingles found (or the shortest of them) is returned.  Words are letters and
-    digits, case and marks aside; a template of fewer than 5 words is one shingle and is found where a
-    line is exactly that.  Null and empty texts hold no license; rows that repeat key and text give each
+    digits, case and marks aside; a template of fewer than 5 words is found wherever its words
+    stand, next to longer ones too, and ``at`` is the first of them.  Null and empty texts hold no license; rows that repeat key and text give each
     find once; a missing key is passed on; an empty table gives an empty table; other columns are not
     looked at.  ``known`` has ``template``, ``license`` and ``text``.
     """
@@ -141,12 +141,19 @@ def find_licenses(
     wide = wide.filter(F.size("_win") > 0).select("_key", "_print", "_at", F.posexplode(F.array(*_minima(F.col("_win")))).alias("_band", "_min"))
     long = wide.join(bands.filter("_band >= 0"), ["_band", "_min"])
     hits = hits.unionByName(long.select("_key", "_print", "template", (F.col("_at") - F.col("_place")).alias("_from")))
-    # Whole short lines, which are no 5-word shingle inside a longer text.
-    lines = rows.filter(F.contains("_text", F.lit("\n"))).select("_key", "_print", F.explode_outer(F.split("_text", "\n")).alias("_line"))
-    lines = lines.filter(F.length("_line") <= 64).select("_key", "_print", _words(F.col("_line")).alias("_line"))
-    tiny = F.xxhash64("_line", F.lit("whole")).alias("_min")
-    exact = lines.select("_key", "_print", tiny).join(small, "_min").select("_key", "_print", "template")
-    exact = exact.withColumn("share", F.lit(1.0)).withColumn("at", F.lit(-1))
+    # Windows of as many words as the templates that are shorter than a shingle have.
+    few = [r["_few"] for r in table.filter(F.col("_few") < SHINGLE).select("_few").distinct().collect()]
+
+    def short_windows(w: Column) -> Column:
+        of = lambda n: F.transform(
+            F.sequence(F.lit(0), F.size(w) - n),
+            lambda i: F.struct(i.alias("at"), F.xxhash64(F.array_join(F.slice(w, i + 1, n), " "), F.lit("whole")).alias("_min")),
+        )
+        none = F.array().cast("array<struct<at:int,_min:bigint>>")
+        return F.concat(none, *[F.when(F.size(w) >= n, of(n)).otherwise(none) for n in few])
+
+    tiny = rows.select("_key", "_print", F.explode_outer(_bound(F.split(_words(F.col("_text")), " "), short_windows)).alias("_x"))
+    exact = tiny.select("_key", "_print", "_x.*").join(small, "_min").select("_key", "_print", "template", F.lit(1.0).alias("share"), "at")
 
     found = settle(hits.distinct(), "license_hits")
     wanted = settle(found.groupBy("_key", "_print").agg(F.collect_set(F.struct("template", "_from")).alias("_hits")), "license_docs")
@@ -164,10 +171,10 @@ def find_licenses(
     verified = verified.filter(F.col("share") >= contained).unionByName(exact)
     best = verified.groupBy("_key", "_print", "template").agg(F.max(F.struct("share", (-F.col("at")).alias("m"))).alias("b"))
     # Of templates that stand at the same words the one with most shingles found; a list has a template at most once.
-    names = table.select("template", "license", n.alias("_n"))
+    names = table.select("template", "license", n.alias("_n"), (F.col("_few") < SHINGLE).alias("_tiny"))
     best = best.join(names, "template").select(
         "_key", "_print",
-        F.struct("template", "license", F.col("b.share").alias("share"), (-F.col("b.m")).alias("at"), "_n").alias("_find"),
+        F.struct("template", "license", F.col("b.share").alias("share"), (-F.col("b.m")).alias("at"), "_n", "_tiny").alias("_find"),
     )
     finds = best.groupBy("_key", "_print").agg(F.collect_list("_find").alias("_finds"))
 
@@ -175,7 +182,7 @@ def find_licenses(
         meet = (x["at"] < y["at"] + y["_n"]) & (y["at"] < x["at"] + x["_n"])
         found = lambda t: F.round(t["share"] * t["_n"])
         more = (found(y) > found(x)) | ((found(y) == found(x)) & (y["_n"] < x["_n"]))
-        return meet & (x["at"] >= 0) & (y["at"] >= 0) & more
+        return meet & ~x["_tiny"] & ~y["_tiny"] & more
 
     finds = finds.withColumn("_finds", F.filter("_finds", lambda x: ~F.exists("_finds", lambda y: worse(x, y))))
     return finds.select(F.col("_key").alias(key), "_print", F.explode("_finds").alias("_find")).select(

@@ -48,3 +48,13 @@ def test_own_templates(spark):
     known = spark.createDataFrame([(0, "own", "free for all readers of this book"), (1, "none", None), (2, "none", "")], "template int, license string, text string")
     docs = spark.createDataFrame([(1, "it is free for all readers of this book today")], "doc_id long, text string")
     assert [r["license"] for r in licenses.find_licenses(docs, known).collect()] == ["own"]
+
+
+def test_short_notices_inside_a_line(spark):
+    rows = [
+        (1, "Copyright 2020 Acme. All rights reserved."), (2, "A long paragraph about nothing that ends here, all rights\nreserved by them and others"),
+        (3, "all the rights are reserved"), (4, "All rights reserved"), (5, None), (6, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["license"], r["at"]) for r in licenses.find_licenses(docs).collect()}
+    assert found == {(1, "All rights reserved", 3), (2, "All rights reserved", 8), (4, "All rights reserved", 0)}
