@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from predio.llm.frames import add_columns
 from predio.llm.words import PLACES, mix, text_buffers, words
+from predio.scale import settle
 
 #: Labelled documents learnt from at most, per label.
 SAMPLE = 1200
@@ -116,7 +117,7 @@ def train(
     """Fit on at most ``sample`` documents of each label (0 and 1), those first by a hash of the key.
 
     Labels other than 0 and 1, labels without a document and documents without a label are passed
-    over; a document labelled both ways counts as 0.  Without documents of both labels the model
+    over; a document labelled both ways counts as 0.  Shares and sample count labels of ``documents`` only.  Without documents of both labels the model
     scores every text by the share of label 1 (1 if there is no label at all).
     """
     spark = documents.sparkSession
@@ -125,6 +126,9 @@ def train(
         .groupBy(F.col(key).alias("_key"))
         .agg(F.min(label).cast("int").alias("_label"))
     )
+    # Only labels of the documents count, for the shares as for the sample.
+    own = documents.select(F.col(key).alias("_key")).distinct()
+    labelled = settle(labelled.join(own, "_key", "left_semi"), "labelled")
     shares = {r["_label"]: r["n"] for r in labelled.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = shares.get(0, 0), shares.get(1, 0)
     flat = Model(np.zeros(1 << BITS, np.float32), float(np.clip(np.log((n1 + 1e-9) / (n0 + 1e-9)), -30, 30)) if n0 + n1 else 30.0)

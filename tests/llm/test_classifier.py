@@ -45,3 +45,18 @@ def test_labels_that_do_not_help(spark):
         model = classifier.train(docs, spark.createDataFrame(rows, schema))
         assert classifier.score(docs, model).count() == 3
     assert classifier.score(docs.filter("false"), model).count() == 0
+
+
+def test_labels_without_a_document_count_for_nothing(spark):
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        text = prose(rng, 40)
+        rows.append((i, junk(rng, text) if i % 2 else text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, 1 - i % 2) for i in range(60)]
+    other = [(1000 + i, int(i % 10 > 0)) for i in range(3000)]
+    few = classifier.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"), sample=20)
+    many = classifier.train(docs, spark.createDataFrame(labels + other, "doc_id long, quality int"), sample=20)
+    texts = pa.array([t for _, t in rows])
+    assert (few.scores(texts) == many.scores(texts)).all()
+    assert abs(many.scores(pa.array([""]))[0] - 0.5) < 1e-6
