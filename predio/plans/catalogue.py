@@ -532,7 +532,7 @@ def compare_models(spark, folder):
         {
             "linear": lambda t: linear.fit_linear(t, LAND_FEATURES),
             "ridge": lambda t: linear.search_ridge(t, LAND_FEATURES).model,
-            "forest": lambda t: forest.search_forest(t, LAND_FEATURES, depths=(6,)),
+            "forest": lambda t: forest.search_forest(t, LAND_FEATURES),
         },
     )
     return table
@@ -641,16 +641,14 @@ def rf_search(spark, folder):
 @_query
 def rf_importances(spark, folder):
     train, _ = train_test(spark, folder)
-    return forest.search_forest(train, LAND_FEATURES, depths=(6,)).importances(spark)
+    return forest.search_forest(train, LAND_FEATURES).importances(spark)
 
 
 @_query
 def rf_segments(spark, folder):
     """A random forest per large colonia, searched over trees and depth."""
     stored = stored_zone(spark, folder, ["sku", "colonia", "price", *LAND_FEATURES])
-    quality, _ = segment_forest.qualify_segments_forest(
-        stored, LAND_FEATURES, trees=(5, 10), depths=(2, 4)
-    )
+    quality, _ = segment_forest.qualify_segments_forest(stored, LAND_FEATURES)
     return quality
 
 

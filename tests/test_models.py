@@ -278,3 +278,12 @@ def test_dummies(listing):
     assert [(r.venta, r.casa, r.dummie_Oficina) for r in rows] == [(1, 1, 0), (0, 0, 0), (1, 0, 1)]
     fixed = categories.with_dummies(df, offers=["Renta", "Venta"], types=["Casa", "Departamento", "Villa"])
     assert {"venta", "casa", "dummie_Villa"} <= set(fixed.columns) and "dummie_Oficina" not in fixed.columns
+
+
+def test_forest_queries_search_the_operators_grids():
+    import inspect
+
+    from predio.plans import catalogue
+
+    source = inspect.getsource(catalogue)
+    assert "depths=" not in source and "trees=" not in source
