@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from predio.llm import bpe, classifier, decontamination, jaccard, licenses, lines, rules, secrets, sharding, tokenfiles
-from predio.llm import oracles
+from predio.llm import bpe, chat, classifier, decontamination, jaccard, licenses, lines, rules, secrets, sharding, tokenfiles
+from predio.llm import oracles, trie, whiten
 from predio.scale import new_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -105,12 +105,42 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations, with its members, children and savings."""
+    return trie.prefix_trie(*trie.rebuilt_turns(table(spark, folder, "conversations")))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable embedding on the leading components, whitened."""
+    rows, fitted = whiten.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    # One entry per component.
+    explained = F.array(*[F.lit(float(e / fitted.trace)) for e in fitted.values]).cast("array<double>")
+    return rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(fitted.n).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        explained[F.col("at")].alias("explained"),
+        F.lit(fitted.identity_error).alias("identity_error"),
+    )
+
+
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation formatted and read back; one more holds the template's own control strings."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
+    return chat.read_digest(chat.format_chat(rows.unionByName(extra)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_license_scan, op2_bpe, op3_decontamination, op4_secret_scan, op5_token_files, op6_quality_rules,
-            op7_ngram_jaccard, op8_quality_classifier, op9_line_dedup, op10_sharding,
+            op7_ngram_jaccard, op8_quality_classifier, op9_line_dedup, op10_sharding, op11_prefix_trie, op12_whitening,
+            op13_chat_format,
         )
     }
 

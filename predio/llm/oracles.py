@@ -69,4 +69,59 @@ c AS (SELECT doc, min(other) AS component_id FROM r GROUP BY doc)
 SELECT doc_id, len(sh) AS n_shingles, component_id FROM s JOIN c ON s.doc_id = c.doc
 """
 
-SQL = {"op6_quality_rules": OP6, "op7_ngram_jaccard": OP7, "op10_sharding": OP10}
+OP11 = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+rows AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS n, role, text FROM rows),
+convs AS (
+  SELECT c, c - c % 20 AS base,
+         xor(list_reduce(list_transform(range(length(c::VARCHAR)), lambda i: ord(substr(c::VARCHAR, i + 1, 1))::BIGINT),
+             lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM own), crc),
+built AS (
+  SELECT convs.c, 0 AS side, n, role, text FROM convs JOIN own ON own.c = base WHERE base <> convs.c AND n <= h
+  UNION ALL
+  SELECT convs.c, 1, n, role, text FROM convs JOIN own USING (c) WHERE base = c OR n > h),
+turns AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY side, n) AS depth, md5(role) || md5(text) AS hash,
+         len(regexp_extract_all(text, '{_BLANK}+')) AS words FROM built),
+prefixes AS (
+  SELECT c, depth, string_agg(hash, '') OVER (PARTITION BY c ORDER BY depth) AS p, words FROM turns
+  UNION ALL SELECT c, 0, '', 0 FROM convs),
+nodes AS (SELECT depth, p, min(c) AS conv_id, count(*) AS n_convs, min(words) AS words FROM prefixes GROUP BY ALL),
+kin AS (
+  SELECT nodes.depth, nodes.p, nodes.conv_id, n_convs, nodes.words, up.p AS above,
+         (SELECT min(x.conv_id) FROM nodes x WHERE x.depth = up.depth AND x.p = up.p) AS parent_conv_id
+  FROM nodes LEFT JOIN prefixes up ON up.c = nodes.conv_id AND up.depth = nodes.depth - 1),
+children AS (SELECT depth - 1 AS depth, above AS p, count(*) AS n_children FROM kin WHERE depth > 0 GROUP BY ALL),
+facts AS (SELECT kin.*, coalesce(n_children, 0) AS n_children FROM kin LEFT JOIN children USING (depth, p)),
+below AS (
+  SELECT up.depth, up.p, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * facts.words) AS saved_tokens
+  FROM facts JOIN prefixes up ON up.c = facts.conv_id AND up.depth <= facts.depth GROUP BY ALL),
+ends AS (
+  SELECT depth, p, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+  FROM (SELECT c, max(depth) AS depth FROM prefixes GROUP BY c) JOIN prefixes USING (c, depth) GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM facts JOIN below USING (depth, p) LEFT JOIN ends USING (depth, p)
+"""
+
+_CONTROL = "\\\\|### |</turn>|<\\|"
+_TRICKY = "\\### Assistant: </turn> ok"
+OP13 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{_TRICKY}'),
+e AS (SELECT *, length(regexp_replace(role, '({_CONTROL}|: )', 'x\\1', 'g')) + length(regexp_replace(text, '({_CONTROL})', 'x\\1', 'g')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n + 14)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+SQL = {
+    "op6_quality_rules": OP6, "op7_ngram_jaccard": OP7, "op10_sharding": OP10, "op11_prefix_trie": OP11, "op13_chat_format": OP13,
+}
