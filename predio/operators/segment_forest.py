@@ -1,73 +1,145 @@
-"""Random forests for all segments at once, grown level by level with grouped aggregates.
-
-A fit per segment would be thousands of small Spark jobs.  Here every level of every tree
-of every segment (and of every cross-validation fold) is one aggregate: rows carry the
-node they are in, and ``(count, sum of label)`` per node, feature and bin is all a split
-needs.  Rows of one segment are never gathered, and the partial sums are combined before
-the shuffle, so a segment with a third of all rows is no problem.
-
-A tree cut off at depth d, and the first m trees of a forest, are themselves what a search
-over ``max_depth`` and ``n_estimators`` asks for: the whole grid is scored from one growth.
-
-Features are binned at per-segment quantiles and rows are bootstrapped with Poisson(1)
-weights from a hash of the row key, so that results do not depend on the partitioning.
+"""Random forests for all segments at once, searched over a whole grid.
+
+A fit per segment and combination would be thousands of small Spark jobs.  Two trees with the same
+``max_features`` and leaf size differ only in where they stop: a tree cut off at depth d, the first m
+trees of a forest, and a tree whose nodes below a minimum size stay whole are all read off one
+unpruned growth while rows descend.  So a grid of trees x depths x minimum splits x features x leaf
+sizes costs one growth per (features, leaf size) and cross-validation run.
+
+A segment of up to ``LOCAL_ROWS`` rows is grown in one task per growth and run.  A larger one is cut
+into chunks: every chunk adds up the histograms of the nodes that still hold more rows (one row per
+node and chunk, whatever the number of rows), the summed histograms decide the split, and nodes that
+have become small are finished in one task each.  No task ever holds more than that many rows.
+
+Features are binned at per-segment quantiles and rows are bootstrapped with Poisson(1) weights from
+a hash of the row key, so that results do not depend on the partitioning.  Row counts of nodes are
+sums of these weights.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from predio.functions.nulls import holds
-from predio.functions.stats import percent_error, r2
+from predio.functions.stats import r2
+from predio.operators import tree_growth
 from predio.operators.moments import complete_rows
 from predio.operators.scores import GOOD_SCORE
 from predio.operators.segments import MORE_THAN, TEST_SHARE, modelled_rows, split_rows
 from predio.operators.splits import hash_folds
+from predio.operators.tree_growth import Growth, Held
 from predio.scale import settle
 from predio.schema import KEY, SEGMENT, TARGET, require_columns
 
-DEPTHS = (4, 6, 8)  # fixed values: the searched depths of a segment's forest
+# --- fixed values: the full grids searched for one table and for a segment -----
+FULL_TREES = (10, 17, 25, 33, 41, 48, 56, 64, 72, 80)
+FULL_DEPTHS = (10, 12, 14, 16)
+SEGMENT_DEPTHS = (4, 6, 8)
+FULL_FEATURES = ("all", "log2")
+FULL_MIN_SPLITS = (2, 4)
+FULL_LEAF_ROWS = (1, 2, 3)
+# -------------------------------------------------------------------------------
+DEPTHS = SEGMENT_DEPTHS
 TREES = (10, 20)
+FEATURES = ("all",)
+MIN_SPLITS = (2,)
+LEAF_ROWS = (1,)
 FOLDS = 3
 BINS = 32
-# Cumulative Poisson(1) probabilities: a bootstrap weight is the number of them below u.
-_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-            0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
-_NODE = ["_segment", "_run", "_tree", "_node"]
+LOCAL_ROWS = 50_000
+SLICE = 16  # trees grown at once
+_DECIDE, _FINISH, _LEAF = -3, -2, -1  # instead of a feature: what a node without a split waits for
+
+
+def features_per_node(rule: str | int, features: int) -> int:
+    """``all``, ``log2`` or a number."""
+    if rule == "all":
+        return features
+    if rule == "log2":
+        return max(1, features.bit_length() - 1)
+    if isinstance(rule, int) and 1 <= rule <= features:
+        return rule
+    raise ValueError(f"features per node are 'all', 'log2' or a number up to {features}, not {rule!r}")
+
+
+@dataclass(frozen=True)
+class Grid:
+    """The searched values; the first best combination wins, in the order of the fields."""
+
+    trees: tuple[int, ...] = TREES
+    depths: tuple[int, ...] = DEPTHS
+    features: tuple[str | int, ...] = FEATURES
+    leaf_rows: tuple[int, ...] = LEAF_ROWS
+    min_splits: tuple[int, ...] = MIN_SPLITS
+
+    def growths(self, features: int, bins: int) -> list[Growth]:
+        return [
+            Growth(max(self.depths), leaf, features_per_node(rule, features), min(self.min_splits), bins)
+            for rule in self.features
+            for leaf in self.leaf_rows
+        ]
+
+    def __len__(self) -> int:
+        """The number of combinations."""
+        return len(self.trees) * len(self.depths) * len(self.features) * len(self.leaf_rows) * len(self.min_splits)
+
+
+FULL_GRID = Grid(FULL_TREES, FULL_DEPTHS, FULL_FEATURES, FULL_LEAF_ROWS, FULL_MIN_SPLITS)
+FULL_SEGMENT_GRID = Grid(FULL_TREES, SEGMENT_DEPTHS, FULL_FEATURES, FULL_LEAF_ROWS, FULL_MIN_SPLITS)
 
 
 @dataclass(frozen=True)
 class SegmentForest:
-    """``edges`` bins the features; ``levels[d]`` holds the nodes at depth d.
+    """One row per segment: its chosen forest as flat arrays.
 
-    ``choice`` has the searched number of trees and depth of each segment.
+    ``packed`` has ``roots`` (a place per tree), and per node ``feature`` (-1: a leaf), ``threshold``
+    (at most it: to the left), ``left`` (the right child is next to it) and ``value``; ``importances``
+    per feature.  A forest has at most trees x 2 ** (depth + 1) nodes, whatever the rows.
     """
 
     segment: str
     features: list[str]
-    run: int
-    edges: DataFrame
-    levels: list[DataFrame]
-    choice: DataFrame
-
-    def transform(self, df: DataFrame, key: str = KEY, prediction: str = "prediction") -> DataFrame:
-        """Score rows (with a unique ``key``) by their segment's forest; NULL without one."""
-        require_columns(df, [key, self.segment, *self.features])
-        chosen = self.choice.withColumnRenamed(self.segment, "_segment")
-        rows = _binned(
-            df.na.drop(subset=self.features), self.edges, self.segment, self.features, [F.col(key).alias("_key")]
-        ).join(chosen, "_segment")
-        members = rows.withColumn("_run", F.lit(self.run)).withColumn(
-            "_tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))
+    packed: DataFrame
+
+    def prediction(self) -> Column:
+        """The forest's value of a row that is joined with its packed forest: one expression, all trees."""
+        x = F.array(*[F.col(c).cast("double") for c in self.features])
+
+        def step(at, _):
+            feature = F.get(F.col("feature"), at)
+            right = (F.get(x, feature) > F.get(F.col("threshold"), at)).cast("int")
+            return F.when(feature < 0, at).otherwise(F.get(F.col("left"), at) + right)
+
+        def leaf(root):
+            return F.get(F.col("value"), F.aggregate(F.col("steps"), root, step))
+
+        total = F.aggregate(F.transform("roots", leaf), F.lit(0.0), lambda a, b: a + b)
+        return F.try_divide(total, F.size("roots"))
+
+    def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
+        """Score rows by their segment's forest; NULL without a forest or with a missing feature."""
+        require_columns(df, [self.segment, *self.features])
+        parts = ["roots", "feature", "threshold", "left", "value", "steps"]
+        clash = [c for c in df.columns if c in parts]
+        if clash:
+            raise ValueError(f"rename the columns {clash} before scoring")
+        there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in self.features])
+        scored = df.join(self.packed.select(self.segment, *parts), self.segment, "left")
+        return scored.withColumn(prediction, F.when(there & F.col("roots").isNotNull(), self.prediction())).select(
+            *[c for c in df.columns if c != prediction], prediction
         )
-        depth = F.lit(None).cast("double")
-        found = _descend(members, self.levels)
-        for d in range(len(self.levels)):
-            depth = F.when(F.col("depth") == d, F.col(f"_p{d}")).otherwise(depth)
-        scored = found.groupBy("_key").agg(F.avg(depth).alias(prediction))
-        return df.join(scored.withColumnRenamed("_key", key), key, "left")
+
+    def importances(self) -> DataFrame:
+        """``(segment, feature, importance)``: each tree's gains as shares, averaged over the trees."""
+        names = F.array(*[F.lit(c) for c in self.features])
+        return self.packed.select(
+            self.segment, F.explode(F.arrays_zip(names.alias("feature"), F.col("importances").alias("importance"))).alias("x")
+        ).select(self.segment, "x.feature", "x.importance")
 
 
 def _bin_edges(train: DataFrame, segment: str, features: list[str], bins: int) -> DataFrame:
@@ -96,161 +168,570 @@ def _binned(df: DataFrame, edges: DataFrame, segment: str, features: list[str],
     return rows.select(*kept, bins.alias("_bins"))
 
 
-def _descend(members: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Follow the grown levels; ``_p<d>`` is the mean of the node reached at depth d."""
-    state = members.withColumn("_node", F.lit(1).cast("bigint")).withColumn(
-        "_p", F.lit(None).cast("double")
-    )
-    for d, level in enumerate(levels):
-        right = F.element_at("_bins", F.col("_feature") + 1) > F.col("_bin")
-        child = F.col("_node") * 2 + right.cast("int")
-        state = (
-            state.join(level, _NODE, "left")
-            .withColumn("_p", F.coalesce("_mean", "_p"))
-            .withColumn(f"_p{d}", F.col("_p"))
-            # A leaf's number stays behind and matches no node of a deeper level.
-            .withColumn("_node", F.when(F.col("_feature").isNotNull(), child).otherwise(F.col("_node")))
-            .drop("_mean", "_feature", "_bin")
+def _weight(run: Column, tree: Column) -> Column:
+    """The bootstrap weight of a row with ``_key``, as ``tree_growth.weights`` computes it."""
+    u = F.shiftrightunsigned(F.xxhash64("_key", run, tree), 11) / F.lit(float(1 << 53))
+    return sum((u > p).cast("int") for p in tree_growth.POISSON[1:]) + (u > tree_growth.POISSON[0]).cast("int")
+
+
+# --- rows in tasks --------------------------------------------------------------
+
+
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal groups that take long to work on, though their rows are few, to all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(4 * cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+class Rows:
+    """Rows of one segment as arrays; the row order does not matter but is made definite."""
+
+    def __init__(self, table: pa.Table, features: int):
+        table = table.combine_chunks()
+        column = lambda name: table.column(name).to_numpy()
+        order = np.lexsort((column("_y"), column("_k")))
+        self.k, self.y = column("_k")[order], column("_y")[order]
+        self.test, self.fold = column("is_test").astype(bool)[order], column("fold")[order]
+        flat = table.column("_bins").combine_chunks()
+        flat = pa.concat_arrays([c.flatten() for c in flat.chunks]) if isinstance(flat, pa.ChunkedArray) else flat.flatten()
+        self.bins = flat.to_numpy(zero_copy_only=False).reshape(-1, features).astype(np.int64)[order]
+        self.seed = int(table.column("_seed")[0].as_py()) if len(order) else 0
+
+    def sides(self, run: int, folds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows a run trains on and holds out; run ``folds`` holds out the test rows."""
+        if run == folds:
+            return ~self.test, self.test
+        return ~self.test & (self.fold != run), ~self.test & (self.fold == run)
+
+
+_ROW = ["_segment", "_seed", "_k", "_y", "is_test", "fold", "_bins"]
+
+
+def _metrics(y: np.ndarray, predicted: np.ndarray) -> tuple[float | None, float | None]:
+    """R² and mean absolute error in percent, as the column functions define them."""
+    if not len(y) or np.isnan(predicted).any():
+        return None, None
+    spread = float(((y - y.mean()) ** 2).sum())
+    nonzero = y != 0
+    error = float(np.abs((predicted[nonzero] - y[nonzero]) / y[nonzero]).mean() * 100) if nonzero.any() else None
+    return (float(1 - ((y - predicted) ** 2).sum() / spread) if spread > 0 else None), error
+
+
+def _score_local(rows: DataFrame, grid: Grid, growths: list[Growth], features: int, folds: int) -> DataFrame:
+    """``(_segment, _unit, scores, errors)`` of segments whose rows fit one task; a unit is a growth and run."""
+    units = len(growths) * (folds + 1)
+    segment_type = rows.schema["_segment"].dataType.simpleString()
+
+    def score(key, table):
+        unit = key[1].as_py()
+        growth, run = growths[unit // (folds + 1)], unit % (folds + 1)
+        data = Rows(table, features)
+        train, held = data.sides(run, folds)
+        y_held, held_bins = data.y[held], data.bins[held]
+        total = np.zeros((len(grid.depths), len(grid.min_splits), len(y_held)))
+        known = np.zeros_like(total)
+        scores = np.full((len(grid.trees), len(grid.depths), len(grid.min_splits)), None)
+        errors = scores.copy()
+        done = 0
+        for stop in sorted({*range(SLICE, max(grid.trees), SLICE), *grid.trees}):
+            _, values = tree_growth.grow_slice(
+                data.bins[train], data.y[train], data.k[train], range(done, stop), growth, data.seed, run,
+                held_bins, grid.depths, grid.min_splits,
+            )
+            total += np.nansum(values, axis=2)
+            known += (~np.isnan(values)).sum(axis=2)
+            done = stop
+            for i in (i for i, m in enumerate(grid.trees) if m == stop):
+                with np.errstate(invalid="ignore"):
+                    mean = total / known
+                for j in range(len(grid.depths)):
+                    for k in range(len(grid.min_splits)):
+                        scores[i, j, k], errors[i, j, k] = _metrics(y_held, mean[j, k])
+        kind = pa.list_(pa.float64())
+        return pa.table(
+            [pa.array([key[0].as_py()], key[0].type), pa.array([unit], pa.int32()), pa.array([scores.ravel().tolist()], kind), pa.array([errors.ravel().tolist()], kind)],
+            names=["_segment", "_unit", "scores", "errors"],
         )
-    return state
-
-
-def _level_nodes(
-    state: DataFrame, depth: int, last: bool, n_features: int, subset: int, leaf_rows: int
-) -> DataFrame:
-    """Mean and best split ``(_feature, _bin)`` of the nodes at ``depth``; a leaf has no split."""
-    inside = state.filter(F.col("_node") >= (1 << depth))
-    if last:
-        means = inside.groupBy(*_NODE).agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_mean"))
-        return means.withColumns(
-            {"_feature": F.lit(None).cast("int"), "_bin": F.lit(None).cast("tinyint")}
+
+    run = F.col("_unit") % (folds + 1)
+    dealt = rows.select(*_ROW, F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("_unit")).filter((run == folds) | ~F.col("is_test"))
+    return _spread(dealt, "_segment", "_unit").groupBy("_segment", "_unit").applyInArrow(score, f"_segment {segment_type}, _unit int, scores array<double>, errors array<double>")
+
+
+_NODE = "tree int, node bigint, n double, mean double, feature int, cut int, gain double"
+
+
+def _node_table(key, unit: int, levels: list[tree_growth.Nodes]) -> pa.Table:
+    parts = {c: [getattr(x, c) for x in levels] for c in ("tree", "node", "n", "mean", "feature", "cut", "gain")}
+    joined = {c: np.concatenate(v) if v else np.empty(0) for c, v in parts.items()}
+    size = len(joined["tree"])
+    kinds = {"tree": pa.int32(), "node": pa.int64(), "feature": pa.int32(), "cut": pa.int32()}
+    columns = [pa.array([key.as_py()] * size, key.type), pa.array(np.full(size, unit), pa.int32())]
+    columns += [pa.array(joined[c], kinds.get(c, pa.float64())) for c in parts]
+    return pa.table(columns, names=["_segment", "_unit", *parts])
+
+
+def _nodes_local(rows: DataFrame, choice: DataFrame, growths: list[Growth], features: int, folds: int) -> DataFrame:
+    """The nodes of the chosen forests of segments whose rows fit one task, a slice of trees per task."""
+    segment_type = rows.schema["_segment"].dataType.simpleString()
+
+    def build(key, table):
+        begin = key[1].as_py() * SLICE
+        unit, trees, depth, least = (table.column(c)[0].as_py() for c in ("_unit", "trees", "depth", "min_split"))
+        data = Rows(table, features)
+        g = growths[unit // (folds + 1)]
+        g = Growth(depth, g.leaf_rows, g.subset, least, g.bins)
+        levels, _ = tree_growth.grow_slice(
+            data.bins, data.y, data.k, range(begin, min(begin + SLICE, trees)), g, data.seed, folds, keep=True
         )
-    cells = (
-        inside.select(*_NODE, "_w", "_y", F.posexplode("_bins").alias("_feature", "_bin"))
-        .groupBy(*_NODE, "_feature", "_bin")
-        .agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_y")).alias("_s"))
-        .repartition(*_NODE)  # one shuffle for the windows and the choice of the split
+        return _node_table(key[0], unit, levels)
+
+    dealt = rows.filter("NOT is_test").join(choice, "_segment").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), F.floor((F.col("trees") - 1) / SLICE).cast("int")))
     )
-    whole = Window.partitionBy(*_NODE, "_feature")
-    left = whole.orderBy("_bin")
-    sums = cells.select(
-        *_NODE, "_feature", "_bin",
-        F.sum("_n").over(left).alias("_nl"), F.sum("_s").over(left).alias("_sl"),
-        F.sum("_n").over(whole).alias("_n"), F.sum("_s").over(whole).alias("_s"),
+    return _spread(dealt, "_segment", "_slice").groupBy("_segment", "_slice").applyInArrow(build, f"_segment {segment_type}, _unit int, {_NODE}")
+
+
+# --- segments of many chunks ------------------------------------------------------
+
+
+class Descent:
+    """The decided nodes of one unit's trees, to send rows down."""
+
+    def __init__(self, table: pa.Table):
+        self.tree = table.column("tree").to_numpy()
+        order = np.lexsort((table.column("node").to_numpy(), self.tree))
+        self.tree = self.tree[order]
+        self.node, self.feature, self.cut = (table.column(c).to_numpy()[order] for c in ("node", "feature", "cut"))
+        self.n, self.mean = table.column("n").to_numpy()[order], table.column("mean").to_numpy()[order]
+
+    def follow(self, tree: int, bins: np.ndarray, held: Held | None = None) -> np.ndarray:
+        """Where each row ends among this object's nodes: at one without a split; -1 without any."""
+        low, high = np.searchsorted(self.tree, [tree, tree + 1])
+        if low == high:
+            return np.full(len(bins), -1)
+        nodes = self.node[low:high]
+        at = np.full(len(bins), low)
+        going, depth = np.arange(len(bins)), 0
+        while len(going):
+            here = at[going]
+            if held is not None:  # only nodes whose mean is known
+                known = self.feature[here] >= _LEAF
+                held.visit(depth, going[known], self.mean[here[known]], self.n[here[known]])
+            split = self.feature[here] >= 0
+            going, here = going[split], here[split]
+            right = bins[going, self.feature[here]] > self.cut[here]
+            at[going] = low + np.searchsorted(nodes, self.node[here] * 2 + right)
+            depth += 1
+        return at
+
+
+def _by_chunk(rows: DataFrame, nodes: DataFrame, chunks: DataFrame, work, schema: str) -> DataFrame:
+    """``work(segment, rows, {unit: (Descent, max_depth, min_split)})`` for every chunk of the large segments."""
+    dealt = nodes.join(chunks, "_segment").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+
+    def both(key, left, right):
+        units = {}
+        numbers = right.column("_unit").to_numpy()
+        for unit in np.unique(numbers).tolist():
+            own = right.filter(pa.array(numbers == unit))
+            units[unit] = (Descent(own), own.column("max_depth")[0].as_py(), own.column("min_split")[0].as_py())
+        return work(key[0], left, units)
+
+    return rows.groupBy("_segment", "_chunk").cogroup(dealt.groupBy("_segment", "_chunk")).applyInArrow(both, schema)
+
+
+def _decide(sums: DataFrame, growths: list[Growth], features: int, bins: int, folds: int, local_rows: int) -> DataFrame:
+    """The splits of nodes from the histograms of all chunks, and their children."""
+    segment_type = sums.schema["_segment"].dataType.simpleString()
+
+    def decide(key, table):
+        segment, unit, tree, node = key[0], *(k.as_py() for k in key[1:4])
+        depth, least, seed = (table.column(c)[0].as_py() for c in ("max_depth", "min_split", "seed"))
+        total = np.zeros(features * bins * 2)
+        for part in table.column("sums").to_pylist():
+            total += part
+        hn, hs = total.reshape(2, features, 1, bins)
+        g = growths[unit // (folds + 1)]
+        g = Growth(depth, g.leaf_rows, g.subset, least, bins)
+        best = tree_growth.BestSplit(hn[0].sum(axis=1), hs[0].sum(axis=1), g)
+        own = np.array([tree]), np.array([node])
+        if node.bit_length() - 1 < depth:
+            allowed = tree_growth.drawn(g, features, seed, unit % (folds + 1), *own)
+            for f in range(features):
+                best.offer(f, hn[f], hs[f], allowed)
+        feature, cut = int(best.feature[0]), int(best.cut[0])
+        out = [(node, best.n[0], best.s[0] / best.n[0], feature, cut, float(best.gain[0]) if feature >= 0 else 0.0)]
+        if feature >= 0:
+            left = hn[feature, 0, : cut + 1].sum()
+            for child, n in ((2 * node, left), (2 * node + 1, best.n[0] - left)):
+                out.append((child, 0.0, 0.0, _DECIDE if n > local_rows else _FINISH, 0, 0.0))
+        size = len(out)
+        columns = [pa.array([segment.as_py()] * size, segment.type), pa.array([unit] * size, pa.int32()), pa.array([tree] * size, pa.int32())]
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64())
+        columns += [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+        columns += [pa.array([v] * size, pa.int32()) for v in (depth, least)]
+        return pa.table(columns, names=["_segment", "_unit", "tree", "node", "n", "mean", "feature", "cut", "gain", "max_depth", "min_split"])
+
+    return sums.groupBy("_segment", "_unit", "tree", "node").applyInArrow(
+        decide, f"_segment {segment_type}, _unit int, {_NODE}, max_depth int, min_split int"
     )
-    nr, sr = F.col("_n") - F.col("_nl"), F.col("_s") - F.col("_sl")
-    parent = F.col("_s") * F.col("_s") / F.col("_n")
-    gain = F.col("_sl") * F.col("_sl") / F.col("_nl") + F.try_divide(sr * sr, nr) - parent
-    usable = (F.col("_nl") >= leaf_rows) & (nr >= leaf_rows) & (gain > parent * 1e-12)
-    if subset < n_features:  # a random few features per node
-        order = F.array_sort(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(n_features - 1)),
-                lambda f: F.struct(F.xxhash64(*_NODE, f).alias("h"), f.alias("f")),
-            )
+
+
+def _top_nodes(rows, chunks, roots, growths, features, bins, folds, local_rows) -> DataFrame:
+    """The upper nodes of all trees of large segments, down to those with at most ``local_rows`` rows."""
+    segment_type = rows.schema["_segment"].dataType.simpleString()
+    schema = f"_segment {segment_type}, _unit int, tree int, node bigint, sums array<double>, max_depth int, min_split int, seed bigint"
+
+    def histograms(segment, table: pa.Table, units) -> pa.Table:
+        data = Rows(table, features)
+        out = []
+        for unit, (descent, depth, least) in units.items():
+            run = unit % (folds + 1)
+            train, _ = data.sides(run, folds)
+            own_bins, y, k = data.bins[train], data.y[train], data.k[train]
+            for tree in np.unique(descent.tree[descent.feature == _DECIDE]).tolist():
+                w = tree_growth.weights(k, run, tree)
+                at = np.where(w > 0, descent.follow(tree, own_bins), -1)
+                asked = np.flatnonzero((descent.tree == tree) & (descent.feature == _DECIDE))
+                slot = np.searchsorted(asked, at)
+                mine = (at >= 0) & (slot < len(asked))
+                mine[mine] = asked[slot[mine]] == at[mine]
+                slot, w, bin_rows = slot[mine], w[mine], own_bins[mine]
+                wy = w * y[mine]
+                sums = np.empty((len(asked), 2, features, bins))
+                for f in range(features):
+                    cell, size = slot * bins + bin_rows[:, f], len(asked) * bins
+                    sums[:, 0, f] = np.bincount(cell, w, size).reshape(-1, bins)
+                    sums[:, 1, f] = np.bincount(cell, wy, size).reshape(-1, bins)
+                for i in np.unique(slot).tolist():
+                    out.append((unit, tree, int(descent.node[asked[i]]), sums[i].ravel(), depth, least, data.seed))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.int64())
+        columns = [pa.array([segment.as_py()] * len(out), segment.type)]
+        columns += [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+        return pa.table(columns, names=["_segment", "_unit", "tree", "node", "sums", "max_depth", "min_split", "seed"])
+
+    nodes = settle(roots, "top_nodes")
+    while not nodes.filter(F.col("feature") == _DECIDE).isEmpty():  # at most one turn per depth
+        sums = _by_chunk(rows, nodes, chunks, histograms, schema)
+        decided = _decide(sums, growths, features, bins, folds, local_rows)
+        nodes = settle(nodes.filter(F.col("feature") != _DECIDE).unionByName(decided), "top_nodes")
+    return nodes
+
+
+def _entries(rows, nodes, chunks, grid: Grid, features: int, folds: int, held_out: bool) -> DataFrame:
+    """Rows in trees, with the upper node they end at: all that finishing a node needs.
+
+    Held-out rows carry what they met so far: ``value`` and ``going`` per minimum split, ``met`` per
+    depth and minimum split (NaN below the node).
+    """
+    segment_type = rows.schema["_segment"].dataType.simpleString()
+    schema = (
+        f"_segment {segment_type}, _unit int, tree int, node bigint, feature int, max_depth int, min_split int, seed bigint, k bigint, y double, w double,"
+        " bins array<tinyint>, value array<double>, going array<boolean>, met array<double>"
+    )
+    names = ["_segment", "_unit", "tree", "node", "feature", "max_depth", "min_split", "seed", "k", "y", "w", "bins", "value", "going", "met"]
+
+    def emit(segment, table: pa.Table, units) -> pa.Table:
+        data, out = Rows(table, features), []
+        lists = lambda m, kind: pa.ListArray.from_arrays(
+            pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel(), kind)
         )
-        drawn = F.transform(F.slice(order, 1, subset), lambda s: s["f"])
-        usable = usable & F.array_contains(drawn, F.col("_feature"))
-    split = F.struct(gain.alias("gain"), (-F.col("_feature")).alias("f"), (-F.col("_bin")).alias("b"))
-    return (
-        sums.groupBy(*_NODE)
-        .agg(
-            (F.max("_s") / F.max("_n")).alias("_mean"),
-            F.max(F.when(usable, split)).alias("_best"),
+        for unit, (descent, depth, least) in units.items():
+            run = unit % (folds + 1)
+            train, held = data.sides(run, folds)
+            for tree in np.unique(descent.tree).tolist():
+                w = np.where(train, tree_growth.weights(data.k, run, tree), 0.0)
+                at = descent.follow(tree, data.bins)
+                mine = (at >= 0) & (w > 0) & (descent.feature[np.maximum(at, 0)] == _FINISH)
+                state = None
+                if held_out:
+                    at_held = np.flatnonzero(held & (at >= 0))
+                    state = Held(len(at_held), grid.depths, grid.min_splits)
+                    descent.follow(tree, data.bins[at_held], state)
+                for which, is_held in ((np.flatnonzero(mine), False), (at_held if held_out else np.empty(0, int), True)):
+                    size = len(which)
+                    if not size:
+                        continue
+                    nothing = np.zeros((size, 0))
+                    value = state.value.T if is_held else nothing
+                    going = state.going.T if is_held else nothing.astype(bool)
+                    met = (
+                        np.stack([state.at.get(d, np.full_like(state.value, np.nan)) for d in grid.depths]).reshape(-1, size).T
+                        if is_held else nothing
+                    )
+                    out.append(
+                        pa.table(
+                            [
+                                pa.array([segment.as_py()] * size, segment.type), pa.array(np.full(size, unit), pa.int32()),
+                                pa.array(np.full(size, tree), pa.int32()), pa.array(descent.node[at[which]], pa.int64()),
+                                pa.array(descent.feature[at[which]], pa.int32()), pa.array(np.full(size, depth), pa.int32()),
+                                pa.array(np.full(size, least), pa.int32()), pa.array(np.full(size, data.seed), pa.int64()),
+                                pa.array(data.k[which]), pa.array(data.y[which]), pa.array(np.full(size, -1.0) if is_held else w[which]),
+                                lists(data.bins[which].astype(np.int8), pa.int8()), lists(np.ascontiguousarray(value), pa.float64()),
+                                lists(np.ascontiguousarray(going), pa.bool_()), lists(np.ascontiguousarray(met), pa.float64()),
+                            ],
+                            names=names,
+                        )
+                    )
+        if out:
+            return pa.concat_tables(out)
+        empty = lists(np.zeros((0, 1)), pa.float64())
+        kinds = [segment.type, *[pa.int32()] * 2, pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([*[pa.array([], t) for t in kinds], pa.array([], pa.list_(pa.int8())), empty, pa.array([], pa.list_(pa.bool_())), empty], names=names)
+
+    return _by_chunk(rows, nodes, chunks, emit, schema)
+
+
+def _finish(entries: DataFrame, grid: Grid, growths: list[Growth], features: int, folds: int, held_out: bool) -> DataFrame:
+    """Grow the small nodes on; held-out rows give their values, otherwise the nodes are returned."""
+    segment_type = entries.schema["_segment"].dataType.simpleString()
+    wide = len(grid.depths) * len(grid.min_splits)
+
+    def matrix(table, name, size):
+        column = table.column(name).combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+    def finish(key, table):
+        segment, unit, tree, node = key[0], *(k.as_py() for k in key[1:4])
+        w = table.column("w").to_numpy()
+        order = np.lexsort((table.column("y").to_numpy(), table.column("k").to_numpy(), w))
+        table, w = table.take(pa.array(order)), w[order]
+        depth, least, seed = (table.column(c)[0].as_py() for c in ("max_depth", "min_split", "seed"))
+        g = growths[unit // (folds + 1)]
+        g = Growth(depth, g.leaf_rows, g.subset, least, g.bins)
+        bins, y = matrix(table, "bins", features).astype(np.int64), table.column("y").to_numpy()
+        train = np.flatnonzero(w > 0)
+        own = (np.array([tree]), np.array([node])) if len(train) else (np.empty(0, np.int64),) * 2
+        state, held = None, np.flatnonzero(w < 0)
+        if held_out:
+            state = Held(len(held), grid.depths, grid.min_splits)
+            part = table.take(pa.array(held))
+            if len(held):
+                state.value, state.going = (matrix(part, c, len(grid.min_splits)).T.copy() for c in ("value", "going"))
+                met = matrix(part, "met", wide).T.reshape(len(grid.depths), len(grid.min_splits), -1)
+                state.at = {d: met[i] for i, d in enumerate(grid.depths) if not np.isnan(met[i]).all()}
+        zero = np.zeros(len(train), np.int64)
+        levels = tree_growth.grow(
+            bins[train], y[train], zero, np.arange(len(train)), w[train], *own, g, seed, unit % (folds + 1),
+            state, bins[held], np.zeros(len(held), np.int64), np.arange(len(held)), keep=not held_out,
         )
-        .select(
-            *_NODE, "_mean",
-            (-F.col("_best.f")).cast("int").alias("_feature"),
-            (-F.col("_best.b")).cast("tinyint").alias("_bin"),
+        if not held_out:
+            return _node_table(segment, unit, levels)
+        values = state.finish().reshape(wide, -1).T
+        size = len(held)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * wide), pa.array(np.ascontiguousarray(values).ravel()))
+        return pa.table(
+            [
+                pa.array([segment.as_py()] * size, segment.type), pa.array(np.full(size, unit), pa.int32()), pa.array(np.full(size, tree), pa.int32()),
+                part.column("k").combine_chunks(), part.column("y").combine_chunks(), flat,
+            ],
+            names=["_segment", "_unit", "tree", "k", "y", "values"],
         )
+
+    schema = f"_segment {segment_type}, _unit int, " + ("tree int, k bigint, y double, values array<double>" if held_out else _NODE)
+    return entries.groupBy("_segment", "_unit", "tree", "node").applyInArrow(finish, schema)
+
+
+def _score_large(rows, chunks, roots, grid: Grid, growths, features, bins, folds, local_rows) -> DataFrame:
+    """As ``_score_local``, of segments in several chunks."""
+    tops = _top_nodes(rows, chunks, roots, growths, features, bins, folds, local_rows)
+    entries = settle(_entries(rows, tops, chunks, grid, features, folds, True), "entries")
+    # A held-out row may end at a decided leaf, where nothing is left to grow; those need no task of their own.
+    values = _finish(entries.filter(F.col("feature") == _FINISH), grid, growths, features, folds, True)
+    wide = len(grid.depths) * len(grid.min_splits)
+    met = F.transform("met", lambda x, i: F.when(F.isnan(x), F.get(F.col("value"), i % len(grid.min_splits))).otherwise(x))
+    ended = entries.filter((F.col("feature") != _FINISH) & (F.col("w") < 0))
+    values = values.unionByName(ended.select("_segment", "_unit", "tree", "k", "y", met.alias("values")))
+    places = [(m, at) for m in grid.trees for at in range(wide)]
+    means = values.groupBy("_segment", "_unit", "k", "y").agg(
+        *[F.avg(F.when(F.col("tree") < m, F.get(F.col("values"), F.lit(at)))).alias(f"p{i}") for i, (m, at) in enumerate(places)]
+    )
+    error = lambda p: F.avg(F.abs(F.try_divide(F.col(p) - F.col("y"), F.col("y"))) * 100)
+    return means.groupBy("_segment", "_unit").agg(
+        F.array(*[r2("y", f"p{i}") for i in range(len(places))]).alias("scores"),
+        F.array(*[error(f"p{i}") for i in range(len(places))]).alias("errors"),
     )
 
 
-def _weight(run: Column, tree: Column) -> Column:
-    u = F.shiftrightunsigned(F.xxhash64("_key", run, tree), 11) / F.lit(float(1 << 53))
-    return sum((u > p).cast("int") for p in _POISSON[1:]) + (u > _POISSON[0]).cast("int")
+# --- packing ------------------------------------------------------------------------
+
+
+def _pack(nodes: DataFrame, edges: DataFrame, segment: str, features: int) -> DataFrame:
+    """One row per segment with its trees as flat arrays."""
+    segment_type = nodes.schema["_segment"].dataType.simpleString()
+
+    def pack(key, table):
+        tree, node = table.column("tree").to_numpy(), table.column("node").to_numpy()
+        order = np.lexsort((node, tree))
+        tree, node = tree[order], node[order]
+        feature, cut, value, gain = (table.column(c).to_numpy()[order] for c in ("feature", "cut", "mean", "gain"))
+        edge = table.column("_edges")[0].as_py()
+        roots = np.flatnonzero(node == 1)
+        first = roots[np.searchsorted(tree[roots], tree)]
+        left = np.full(len(node), -1)
+        # Siblings stand side by side in the order of tree and node.
+        which = {(t, k): i for i, (t, k) in enumerate(zip(tree.tolist(), node.tolist()))}
+        for i in np.flatnonzero(feature >= 0).tolist():
+            left[i] = which[tree[i], 2 * node[i]]
+        threshold = [edge[f][c] if f >= 0 else 0.0 for f, c in zip(feature.tolist(), cut.tolist())]
+        split = feature >= 0
+        gains = np.zeros((len(roots), features))
+        np.add.at(gains, (np.searchsorted(roots, first[split]), feature[split]), gain[split])
+        whole = gains.sum(axis=1, keepdims=True)
+        shares = np.divide(gains, whole, out=np.zeros_like(gains), where=whole > 0).sum(axis=0)
+        importances = shares / shares.sum() if shares.sum() > 0 else shares
+        deepest = int(node.max()).bit_length() - 1
+        ints, doubles = pa.list_(pa.int32()), pa.list_(pa.float64())
+        return pa.table(
+            [
+                pa.array([key[0].as_py()], key[0].type), pa.array([roots.tolist()], ints), pa.array([feature.tolist()], ints),
+                pa.array([threshold], doubles), pa.array([left.tolist()], ints), pa.array([value.tolist()], doubles),
+                pa.array([list(range(deepest))], ints), pa.array([importances.tolist()], doubles),
+            ],
+            names=[segment, "roots", "feature", "threshold", "left", "value", "steps", "importances"],
+        )
+
+    schema = (
+        f"`{segment}` {segment_type}, roots array<int>, feature array<int>, threshold array<double>, left array<int>,"
+        " value array<double>, steps array<int>, importances array<double>"
+    )
+    return nodes.join(edges, "_segment").groupBy("_segment").applyInArrow(pack, schema)
+
+
+# --- the search ---------------------------------------------------------------------
 
 
 def qualify_segments_forest(
     df: DataFrame, features: list[str], label: str = TARGET, segment: str = SEGMENT,
     more_than: int = MORE_THAN, share: float = TEST_SHARE, trees=TREES, depths=DEPTHS,
-    folds: int = FOLDS, leaf_rows: int = 1, feature_subset: int | None = None, bins: int = BINS,
-    key: str = KEY, exact: bool = True,
+    folds: int = FOLDS, leaf_rows=LEAF_ROWS, features_at=FEATURES, min_splits=MIN_SPLITS, bins: int = BINS,
+    key: str = KEY, exact: bool = True, local_rows: int = LOCAL_ROWS,
 ) -> tuple[DataFrame, SegmentForest]:
     """Quality of a searched random forest per large segment, and the forests.
 
-    The number of trees and the depth are chosen per segment by cross-validated R² (the
-    first best in the order of ``trees``, then ``depths``), and scored on the test share.
+    Trees, depth, features per node, leaf size and minimum split are chosen per segment by
+    cross-validated R² (the first best in that order) and scored on the test share.
     """
+    if bins > 127:
+        raise ValueError("at most 127 bins")
+    grid = Grid(tuple(trees), tuple(depths), tuple(features_at), tuple(leaf_rows), tuple(min_splits))
+    growths = grid.growths(len(features), bins)
     rows = split_rows(modelled_rows(df, features, label, segment, more_than, key), share, segment, key, exact)
     rows = settle(hash_folds(complete_rows(rows, features, label), folds, key, seed=1), "forest_rows")
     edges = _bin_edges(rows.filter(~F.col("is_test")), segment, features, bins)
-    # Every row becomes (folds + 1) * trees * features rows below, so even small tables are
-    # spread over all cores first.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    extra = [F.col(key).alias("_key"), F.col(label).alias("_y"), "is_test", "fold"]
-    binned = settle(_binned(rows, edges, segment, features, extra).repartition(cores, "_key"), "binned")
-
-    # Runs 0..folds-1 hold out one fold of the training rows; run ``folds`` the test rows.
-    run, tree = F.col("_run"), F.col("_tree")
-    runs = binned.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(folds))))
-    held = F.when(run == folds, F.col("is_test")).otherwise(~F.col("is_test") & (F.col("fold") == run))
-    planted = (
-        runs.withColumn("_held", held)
-        .filter(F.col("_held") | ~F.col("is_test"))
-        .drop("is_test", "fold")
-        .withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(max(trees) - 1))))
+    extra = [
+        F.xxhash64(segment).alias("_seed"), F.xxhash64(key).alias("_k"), F.col(label).alias("_y"), "is_test",
+        F.col("fold").cast("int").alias("fold"),
+    ]
+    binned = settle(_binned(rows, edges, segment, features, extra), "binned")
+    sizes = settle(
+        binned.groupBy("_segment").agg(F.ceil(F.count("*") / local_rows).cast("int").alias("_chunks")), "sizes"
     )
-    growing = (
-        planted.filter(~F.col("_held"))
-        .withColumn("_w", _weight(run, tree).cast("double"))
-        .filter("_w > 0")
-        .drop("_held", "_key")
+    small = binned.join(sizes.filter("_chunks = 1"), "_segment", "left_semi").select(*_ROW)
+    chunks = sizes.filter("_chunks > 1")
+    any_large = not chunks.isEmpty()
+    large = None
+    if any_large:
+        spot = F.pmod(F.xxhash64("_k", F.lit("chunk")), F.col("_chunks")).cast("int")
+        large = settle(binned.join(chunks, "_segment").withColumn("_chunk", spot).select(*_ROW, "_chunk"), "large")
+
+    scored = _score_local(small, grid, growths, len(features), folds)
+    if any_large:
+        units = F.explode(F.sequence(F.lit(0), F.lit(len(growths) * (folds + 1) - 1)))
+        start = chunks.select("_segment", units.alias("_unit"), F.lit(max(grid.trees)).alias("trees"), F.lit(max(grid.depths)).alias("max_depth"), F.lit(min(grid.min_splits)).alias("min_split"))
+        scored = scored.unionByName(
+            _score_large(large, chunks, _roots(start), grid, growths, len(features), bins, folds, local_rows)
+        )
+    scored = settle(scored, "scored")
+    searched = settle(_searched(scored, grid, folds), "searched")
+    quality = searched.select(
+        F.col("_segment").alias(segment), "best.score", "best.error", (100 - F.col("best.error")).alias("diff_score"),
+        holds(F.col("best.score") >= GOOD_SCORE).alias("Good"), "best.trees", "best.depth", "best.features",
+        "best.leaf_rows", "best.min_split", "best.cv_score",
     )
-    subset = len(features) if feature_subset is None else feature_subset
-    levels: list[DataFrame] = []
-    for depth in range(max(depths) + 1):
-        state = _descend(growing, levels).select(*_NODE, "_w", "_y", "_bins")
-        nodes = _level_nodes(state, depth, depth == max(depths), len(features), subset, leaf_rows)
-        levels.append(settle(nodes, "nodes"))
-
-    grid = [(m, d) for m in trees for d in depths]
-    per_row = (
-        _descend(planted.filter("_held"), levels)
-        .groupBy("_segment", "_run", "_key", "_y")
-        .agg(*[F.avg(F.when(tree < m, F.col(f"_p{d}"))).alias(f"p_{m}_{d}") for m, d in grid])
+
+    unit = (F.col("best.growth") * (folds + 1) + folds).cast("int")
+    choice = settle(searched.select("_segment", unit.alias("_unit"), "best.trees", "best.depth", "best.min_split"), "choice")
+    nodes = _nodes_local(small, choice, growths, len(features), folds)
+    if any_large:
+        start = chunks.join(choice, "_segment").select("_segment", "_unit", "trees", F.col("depth").alias("max_depth"), "min_split")
+        tops = _top_nodes(large, chunks, _roots(start), growths, len(features), bins, folds, local_rows)
+        entries = _entries(large, tops, chunks, grid, len(features), folds, False)
+        below = _finish(entries, grid, growths, len(features), folds, False)
+        nodes = nodes.unionByName(below).unionByName(tops.filter(F.col("feature") >= _LEAF).drop("max_depth", "min_split"))
+    packed = settle(_pack(settle(nodes, "nodes"), edges, segment, len(features)), "packed")
+    return quality, SegmentForest(segment, list(features), packed)
+
+
+def _roots(start: DataFrame) -> DataFrame:
+    """The roots of all trees, to be decided."""
+    zero = F.lit(0.0)
+    return start.select(
+        "_segment", "_unit", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"),
+        F.lit(1).cast("bigint").alias("node"), zero.alias("n"), zero.alias("mean"), F.lit(_DECIDE).alias("feature"),
+        F.lit(0).alias("cut"), zero.alias("gain"), "max_depth", "min_split",
     )
-    metrics = per_row.groupBy("_segment", "_run").agg(
-        *[
-            F.struct(r2("_y", f"p_{m}_{d}").alias("score"), percent_error_mean(f"p_{m}_{d}")).alias(f"m_{m}_{d}")
-            for m, d in grid
-        ]
+
+
+def _searched(scored: DataFrame, grid: Grid, folds: int) -> DataFrame:
+    """``(_segment, best)``: the combination with the best mean score over the folds, and its test scores.
+
+    The grid is one array per segment, so its size is that of the search, not of the data.
+    """
+    kinds = [(str(rule), leaf) for rule in grid.features for leaf in grid.leaf_rows]
+    sizes = (len(grid.trees), len(grid.depths), len(kinds), len(grid.min_splits))
+
+    def value(values, at):
+        return F.get(F.array(*[F.lit(v) for v in values]), at)
+
+    run, growth = F.col("_unit") % (folds + 1), F.floor(F.col("_unit") / (folds + 1)).cast("int")
+    by_growth = scored.groupBy("_segment", growth.alias("_growth")).agg(
+        F.collect_list(F.when(run < folds, F.col("scores"))).alias("cv"),
+        F.max(F.when(run == folds, F.struct("scores", "errors"))).alias("test"),
     )
-    searched = settle(
-        metrics.groupBy("_segment").agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.avg(F.when(run < folds, F.col(f"m_{m}_{d}.score"))).alias("cv_score"),
-                        F.lit(-i).alias("order"),
-                        F.lit(m).alias("trees"),
-                        F.lit(d).alias("depth"),
-                        F.max(F.when(run == folds, F.col(f"m_{m}_{d}.score"))).alias("score"),
-                        F.max(F.when(run == folds, F.col(f"m_{m}_{d}.error"))).alias("error"),
-                    )
-                    for i, (m, d) in enumerate(grid)
-                ]
-            ).alias("grid")
-        ).select(F.col("_segment").alias(segment), F.array_max("grid").alias("best")),
-        "searched",
+    per_segment = by_growth.groupBy("_segment").agg(
+        F.map_from_entries(F.collect_list(F.struct("_growth", F.struct("cv", "test")))).alias("runs")
     )
-    quality = searched.select(
-        segment, "best.score", "best.error", (100 - F.col("best.error")).alias("diff_score"),
-        holds(F.col("best.score") >= GOOD_SCORE).alias("Good"), "best.trees", "best.depth", "best.cv_score",
+
+    def judged(i):
+        """Combination i, counted up in the order of the grid's fields."""
+        whole = lambda x: F.floor(x).cast("int")
+        split, rest = i % sizes[3], whole(i / sizes[3])
+        kind, rest = rest % sizes[2], whole(rest / sizes[2])
+        depth, tree = rest % sizes[1], whole(rest / sizes[1])
+        at = (tree * sizes[1] + depth) * sizes[3] + split
+        own = F.element_at("runs", kind)
+        values = F.filter(F.transform(own["cv"], lambda s: F.get(s, at)), lambda v: v.isNotNull())
+        mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, b: a + b), F.size(values))
+        return F.struct(
+            mean.alias("cv_score"), (-i).alias("order"), value(grid.trees, tree).alias("trees"),
+            value(grid.depths, depth).alias("depth"), value([k[0] for k in kinds], kind).alias("features"),
+            value([k[1] for k in kinds], kind).alias("leaf_rows"), value(grid.min_splits, split).alias("min_split"),
+            kind.alias("growth"), F.get(own["test"]["scores"], at).alias("score"),
+            F.get(own["test"]["errors"], at).alias("error"),
+        )
+
+    every = F.sequence(F.lit(0), F.lit(sizes[0] * sizes[1] * sizes[2] * sizes[3] - 1))
+    return per_segment.select("_segment", F.array_max(F.transform(every, judged)).alias("best"))
+
+
+def search_forest_grid(
+    df: DataFrame, features: list[str], label: str = TARGET, key: str = KEY, grid: Grid = FULL_GRID,
+    share: float = TEST_SHARE, folds: int = FOLDS, bins: int = BINS, local_rows: int = LOCAL_ROWS,
+) -> tuple[DataFrame, SegmentForest]:
+    """The full search over one table: its quality in one row, and the forest, under segment ``all``."""
+    rows = df.select(key, label, *features).withColumn("_all", F.lit("all"))
+    return qualify_segments_forest(
+        rows, features, label, "_all", 0, share, grid.trees, grid.depths, folds, grid.leaf_rows, grid.features,
+        grid.min_splits, bins, key, False, local_rows,
     )
-    choice = searched.select(segment, "best.trees", "best.depth")
-    return quality, SegmentForest(segment, list(features), folds, edges, levels, choice)
 
 
-def percent_error_mean(predicted: str) -> Column:
-    return F.avg(percent_error("_y", predicted)).alias("error")
+def search_segments_grid(df: DataFrame, features: list[str], grid: Grid = FULL_SEGMENT_GRID, **options) -> tuple[DataFrame, SegmentForest]:
+    """``qualify_segments_forest`` over the full grid of a segment."""
+    return qualify_segments_forest(
+        df, features, trees=grid.trees, depths=grid.depths, leaf_rows=grid.leaf_rows, features_at=grid.features,
+        min_splits=grid.min_splits, **options,
+    )

@@ -505,7 +505,7 @@ def ensemble_mean(spark, folder):
 def _score_digits(table):
     return table.select(
         "position", "model", *rounded(6, "train_score"), *rounded(4, "train_error"),
-        *rounded(6, "test_score"), *rounded(4, "test_error"),
+        *rounded(6, "test_score"), *rounded(4, "test_error"), "best",
     )
 
 
@@ -652,6 +652,58 @@ def rf_segments(spark, folder):
     return quality
 
 
+@_query
+def rf_segments_full_grid(spark, folder):
+    """The full grid of a segment: 360 combinations, read off six growths."""
+    stored = stored_zone(spark, folder, ["sku", "colonia", "price", *LAND_FEATURES])
+    return segment_forest.search_segments_grid(stored, LAND_FEATURES)[0]
+
+
+@_query
+def rf_search_full_grid(spark, folder):
+    """The full grid of one table: 480 combinations, read off six growths."""
+    stored = stored_zone(spark, folder, ["sku", "colonia", "price", *LAND_FEATURES])
+    return segment_forest.search_forest_grid(stored, LAND_FEATURES)[0].drop("_all")
+
+
+def _segment_forest(spark, folder):
+    stored = stored_zone(spark, folder, ["sku", "colonia", "price", *LAND_FEATURES])
+    return stored, segment_forest.qualify_segments_forest(stored, LAND_FEATURES)[1]
+
+
+@_query
+def forest_scoring(spark, folder):
+    """Every listing of the zone, scored by its colonia's forest."""
+    stored, forests = _segment_forest(spark, folder)
+    return forests.transform(stored).select("sku", "colonia", *rounded(2, "price", "prediction"))
+
+
+@_query
+def forest_scoring_bounds(spark, folder):
+    """What holds for any forest: all listings of its colonias are scored, within their prices."""
+    stored, forests = _segment_forest(spark, folder)
+    scored = settle(forests.transform(stored).select("colonia", "price", "prediction"), "scored")
+    ranges = scored.groupBy("colonia").agg(F.min("price").alias("low"), F.max("price").alias("high"))
+    outside = ~F.col("prediction").between(F.col("low"), F.col("high"))
+    judged = scored.filter("prediction IS NOT NULL").join(ranges, "colonia").groupBy("colonia").agg(
+        F.count("prediction").alias("n_scored"), F.sum(outside.cast("long")).alias("n_outside")
+    )
+    sizes = scored.groupBy("colonia").agg(F.count("*").alias("n"))
+    return sizes.join(judged, "colonia").select("colonia", "n", "n_scored", "n_outside")
+
+
+@_query
+def segment_importances(spark, folder):
+    """Feature importances of every colonia's forest."""
+    return _segment_forest(spark, folder)[1].importances()
+
+
+@_query
+def forest_importance_totals(spark, folder):
+    totals = _segment_forest(spark, folder)[1].importances().groupBy("colonia")
+    return totals.agg(F.count("*").cast("int").alias("n"), F.round(F.sum("importance"), 6).alias("total"))
+
+
 # --- clusters -----------------------------------------------------------------------------------
 
 

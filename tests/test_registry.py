@@ -1,6 +1,8 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -36,3 +38,17 @@ def test_query_equals_sql(spark, db, name):
 def test_entry_and_names(spark):
     assert registry.entry(spark).columns == ["tipo_oferta", "sector_inmo", "n"]
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "predio.llm", "corpus_pipeline"])
+def test_registry_without_an_optional_package(missing):
+    """A package that cannot be imported costs only the queries that need it."""
+    code = (
+        f"import sys; sys.modules[{missing!r}] = None\n"
+        "import __spark_entry__ as r\n"
+        "assert 'clean_listings' in r.queries() and set(r.oracle_sql()) <= set(r.queries())\n"
+        "assert 'pipeline' not in r.queries()\n"
+        "assert not any(name.startswith('op') for name in r.queries()) or r.llm"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
