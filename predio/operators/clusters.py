@@ -20,13 +20,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from predio.functions.geo import EARTH_KM, box_haversine, haversine
 from predio.operators.codes import dense_codes
 from predio.operators.components import connected_components
+from predio.operators.kmeans import CLUSTERS, RESTARTS, KMeansModel, fit_kmeans
 from predio.operators.scaling import scale_standard
 from predio.scale import settle
 from predio.schema import KEY, require_columns
@@ -38,24 +37,31 @@ SALT_POINTS = 100_000
 MAX_LEVEL = 28
 
 
-def kmeans_clusters(
-    df: DataFrame, k: int = 100, scale: bool = False, lat: str = "lat", lng: str = "lng",
-    seed: int = 42,
-) -> DataFrame:
-    """Add ``cluster`` in 0..k-1 by k-means on the coordinates; NULL without a location."""
+def kmeans_fit(
+    df: DataFrame, k: int = CLUSTERS, scale: bool = False, lat: str = "lat", lng: str = "lng", seed: int = 42,
+    restarts: int = RESTARTS,
+) -> tuple[DataFrame, KMeansModel | None]:
+    """``df`` with ``cluster`` (0..k-1, the nearest centre; NULL without a location), and the model.
+
+    ``scale`` standardises the coordinates first; the centres are then on that scale.
+    """
     require_columns(df, [lat, lng])
     scaled = df.withColumns({"_x": F.col(lat).cast("double"), "_y": F.col(lng).cast("double")})
     if scale:
         scaled = scale_standard(scaled, ["_x", "_y"])
     located = F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y")
-    point = array_to_vector(F.array(F.coalesce("_x", F.lit(0.0)), F.coalesce("_y", F.lit(0.0))))
-    scaled = scaled.withColumn("_point", point)
-    model = KMeans(k=k, seed=seed, featuresCol="_point", predictionCol="_cluster").fit(
-        scaled.filter(located).select("_point")
-    )
-    return model.transform(scaled).select(
-        *df.columns, F.when(located, F.col("_cluster")).alias("cluster")
-    )
+    points = settle(scaled.filter(located).groupBy("_x", "_y").agg(F.count("*").cast("double").alias("w")), "points")
+    model = fit_kmeans(points, ["_x", "_y"], k, restarts, seed)
+    cluster = F.when(located, model.nearest(["_x", "_y"])) if model else F.lit(None).cast("int")
+    return scaled.withColumn("_cluster", cluster).select(*df.columns, F.col("_cluster").alias("cluster")), model
+
+
+def kmeans_clusters(
+    df: DataFrame, k: int = CLUSTERS, scale: bool = False, lat: str = "lat", lng: str = "lng",
+    seed: int = 42, restarts: int = RESTARTS,
+) -> DataFrame:
+    """Add ``cluster`` in 0..k-1 by the best of ``restarts`` k-means runs; NULL without a location."""
+    return kmeans_fit(df, k, scale, lat, lng, seed, restarts)[0]
 
 
 class _Grid:

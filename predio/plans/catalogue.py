@@ -719,6 +719,40 @@ def kmeans_geo_scaled(spark, folder):
     return clusters.kmeans_clusters(stored, scale=True).select("sku", "cluster")
 
 
+@_query
+def kmeans_geo_check(spark, folder):
+    """What holds for any run: every located listing is with its nearest centre and no restart is better."""
+    stored = settle(clean(spark, folder).select("sku", "lat", "lng"), "clean")
+    rows, model = clusters.kmeans_fit(stored)
+    rows = settle(rows, "clustered")
+    centres = spark.createDataFrame(
+        [(i, float(x), float(y)) for i, (x, y) in enumerate(model.centres)], "cluster int, cx double, cy double"
+    )
+    own = rows.join(centres, "cluster").select(
+        ((F.col("lat") - F.col("cx")) ** 2 + (F.col("lng") - F.col("cy")) ** 2).alias("own"), "lat", "lng"
+    )
+    far = [(F.col("lat") - float(x)) ** 2 + (F.col("lng") - float(y)) ** 2 for x, y in model.centres]
+    least = F.array_min(F.array(*far))
+    return own.agg(
+        F.count("*").alias("n"),
+        F.lit(len(model.centres)).alias("centres"),
+        F.count_if(F.col("own") > least).alias("not_nearest"),
+        F.round(F.coalesce(F.try_divide(F.sum("own"), F.lit(model.inertia)) - 1, F.lit(0.0)), 6).alias("inertia_off"),
+        F.lit(sum(x < model.inertia for x in model.restarts)).cast("long").alias("better_restarts"),
+    )
+
+
+@_query
+def kmeans_one_centre(spark, folder):
+    """One cluster: its centre is the mean and its inertia the variance times the rows."""
+    stored = settle(clean(spark, folder).select("sku", "lat", "lng"), "clean")
+    rows, model = clusters.kmeans_fit(stored, k=1, restarts=3)
+    (lat, lng), inertia = model.centres[0].tolist(), model.inertia
+    return rows.agg(F.count("cluster").alias("n")).select(
+        "n", F.round(F.lit(lat), 6).alias("lat"), F.round(F.lit(lng), 6).alias("lng"), F.round(F.lit(inertia), 2).alias("inertia")
+    )
+
+
 @_query
 def dbscan_geo(spark, folder):
     stored = settle(clean(spark, folder).select("sku", "lat", "lng"), "clean")

@@ -487,6 +487,16 @@ def sql() -> dict[str, str]:
         "forest_importance_totals": _with(
             _ZONE, "SELECT colonia, 5 AS n, 1.0::double AS total FROM zone GROUP BY colonia HAVING count(*) > 50"
         ),
+        "kmeans_geo_check": _with(
+            _CLEAN,
+            """SELECT count(*) AS n, least(100, count(DISTINCT (lat, lng)))::int AS centres, 0::bigint AS not_nearest,
+            0.0::double AS inertia_off, 0::bigint AS better_restarts FROM clean""",
+        ),
+        "kmeans_one_centre": _with(
+            _CLEAN,
+            """SELECT count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng,
+            round((var_pop(lat) + var_pop(lng)) * count(*), 2) AS inertia FROM clean""",
+        ),
         "describe_zone": _describe(),
         "corr_matrix": _corr(),
         "encode_colonia": _with(_CLEAN, "SELECT sku, colonia, cast(dense_rank() OVER (ORDER BY colonia) - 1 AS int)"
