@@ -26,5 +26,5 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def is_missing(field: T.StructField) -> Column:
-    missing = F.col(field.name).isNull()
-    return missing | F.isnan(field.name) if is_floating(field) else missing
+    value = F.col(f"`{field.name}`")
+    return value.isNull() | F.isnan(value) if is_floating(field) else value.isNull()

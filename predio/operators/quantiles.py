@@ -1,9 +1,11 @@
 """Exact quantiles with linear interpolation, per group or over the whole table.
 
-Equal values of a group are counted first.  The counted values are range-partitioned by group
-and value and stored in order; each partition adds up its own counts, the counts of a group's
-earlier partitions are added, and the values at the wanted ranks are read off.  A group of any
-size is spread over partitions, and no rows are gathered or approximated.
+Mergeable sketches first enclose every wanted rank between two values; then one pass counts the
+values below each bracket and, by value, those inside it.  Only the counted values inside, a small
+share of the rows, are shuffled and put in order.  Should a bracket miss its ranks, which the counts
+tell, that group and column are selected from all their values.  A bracket with many values is
+range-partitioned by group and value: each partition adds up its own counts, and the counts of a
+group's earlier partitions are added.  No rows are gathered or approximated.
 """
 
 from __future__ import annotations
@@ -12,60 +14,112 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from predio.scale import settle
 
+ACCURACY = 2000  # a sketch's ranks are off by at most 1 / ACCURACY of the rows
+WINDOW_VALUES = 1_000_000  # brackets with more distinct values are ordered over several tasks
 
-def _at_ranks(points: DataFrame, group: list[str], probs: list[float]) -> DataFrame:
-    """``(*group, _pos, _q)``: the quantile of each group at each place of ``probs``."""
-    counted = points.groupBy(*group, "_v").agg(F.count("*").alias("_c"))
+
+def _between_ranks(low, high):
+    """High and low values weighted by the distance to the other rank, as percentile does."""
+    below, above = F.floor("_at"), F.ceil("_at")
+    return F.when(low == high, low).otherwise((above - F.col("_at")) * low + (F.col("_at") - below) * high)
+
+
+def _of_small(counted: DataFrame, ranks: DataFrame, group: list[str]) -> DataFrame:
+    """The values at the ranks of groups with a bounded number of counted values."""
+    until = F.sum("_c").over(Window.partitionBy(*group).orderBy("_v"))
+    running = counted.withColumn("_until", until)
+    held = (F.col("_rank") < F.col("_until")) & (F.col("_rank") >= F.col("_until") - F.col("_c"))
+    return running.join(ranks, group).filter(held)
+
+
+def _of_large(counted: DataFrame, ranks: DataFrame, group: list[str]) -> DataFrame:
+    """The values at the ranks of groups of any size, over range partitions."""
     ordered = counted.repartitionByRange(*group, "_v").sortWithinPartitions(*group, "_v")
     ordered = settle(ordered.withColumn("_part", F.spark_partition_id()), "ordered")
     # One row per group and partition.
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = ordered.groupBy(*group, "_part").agg(F.sum("_c").alias("_rows"))
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    parts = settle(parts, "parts")
-
-    quantile = F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_pos", "_p")
-    ranks = (
-        parts.groupBy(*group)
-        .agg(F.sum("_rows").alias("_n"))
-        .select(*group, "_n", quantile)
-        .withColumn("_at", (F.col("_n") - 1) * F.col("_p"))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
-    )
+    parts = settle(parts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))), "parts")
     # Only the partition that holds a rank is asked for it.
-    ranks = ranks.join(parts, group).filter("_rank >= _before and _rank < _before + _rows")
-    ranks = settle(ranks.select(*group, "_part", "_pos", "_at", "_rank", "_before"), "ranks")
+    asked = ranks.join(parts, group).filter("_rank >= _before and _rank < _before + _rows")
+    asked = settle(asked.drop("_rows"), "ranks")
     so_far = Window.partitionBy(*group, "_part").orderBy("_v")
     running = ordered.withColumn("_until", F.sum("_c").over(so_far))
     held = (F.col("_rank") < F.col("_before") + F.col("_until")) & (
         F.col("_rank") >= F.col("_before") + F.col("_until") - F.col("_c")
     )
-    found = running.join(ranks, [*group, "_part"]).filter(held)
+    return running.join(asked, [*group, "_part"]).filter(held)
 
-    low, high = F.min("_v"), F.max("_v")
-    below, above = F.floor("_at"), F.ceil("_at")
-    # High and low values weighted by the distance to the other rank, as percentile does.
-    value = F.when(low == high, low).otherwise(
-        (above - F.col("_at")) * low + (F.col("_at") - below) * high
-    )
-    return found.groupBy(*group, "_pos", "_at").agg(value.alias("_q"))
+
+def _selected(counted: DataFrame, ranks: DataFrame, group: list[str], most: int) -> DataFrame:
+    """``(*group, _at, _q)`` for the 0-based ``_rank`` around ``_at`` among the counted values."""
+    found = (_of_small if most <= WINDOW_VALUES else _of_large)(counted, ranks, group)
+    return found.groupBy(*group, "_at").agg(_between_ranks(F.min("_v"), F.max("_v")).alias("_q"))
+
+
+def _sketches(df: DataFrame, keys: list[str], columns: list[str], probs: list[float], accuracy: int) -> DataFrame:
+    """Per group and column a struct ``_s<i>``: the number of values and the ends of every bracket."""
+    slack = 2.0 / accuracy
+    ends = [min(max(p + side * slack, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    sketch = [F.struct(F.count(c).alias("n"), F.percentile_approx(c, ends, accuracy).alias("v")) for c in columns]
+    return settle(df.groupBy(*keys).agg(*[x.alias(f"_s{i}") for i, x in enumerate(sketch)]), "sketches")
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], keys: list[str] | None = None
+    df: DataFrame, columns: list[str], probs: list[float], keys: list[str] | None = None, accuracy: int = ACCURACY,
 ) -> DataFrame:
     """``keys`` plus one array ``q_<column>`` of quantiles per column.
 
     Missing values are ignored, and so are rows without a key; a column without values gives
-    NULL.
+    NULL.  ``df`` is read three times: pass a stored table.
     """
     keys = keys or []
     if keys:
         df = df.na.drop(subset=keys)
-    points = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        keys, columns, "_column", "_v"
+    narrow = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    sketches = _sketches(narrow, keys, columns, probs, accuracy)
+    if keys:
+        joined = narrow.join(sketches, keys)
+    else:  # the sketches of the whole table are one row
+        joined = narrow.withColumn("_one", F.lit(1)).join(F.broadcast(sketches.withColumn("_one", F.lit(1))), "_one")
+    places = [(i, c, j, float(p)) for i, c in enumerate(columns) for j, p in enumerate(probs)]
+
+    def end(i, j, side):
+        return F.col(f"_s{i}")["v"][2 * j + side]
+
+    def place(c, j, *more):
+        return F.struct(F.lit(c).alias("_column"), F.lit(j).alias("_pos"), *more)
+
+    wanted = F.array(
+        *[place(c, j, F.col(f"_s{i}")["n"].alias("_n"), ((F.col(f"_s{i}")["n"] - 1) * p).alias("_at")) for i, c, j, p in places]
+    )
+    brackets = sketches.select(*keys, F.inline(wanted)).filter("_n > 0")
+    below = F.array(*[place(c, j, F.count_if(F.col(c) < end(i, j, 0)).alias("_below")) for i, c, j, _ in places])
+    counted_below = joined.groupBy(*keys).agg(below.alias("b")).select(*keys, F.inline("b"))
+    hits = F.array(
+        *[F.when((F.col(c) >= end(i, j, 0)) & (F.col(c) <= end(i, j, 1)), place(c, j, F.col(c).alias("_v"))) for i, c, j, _ in places]
     )
-    each = _at_ranks(points.filter("_v is not null"), [*keys, "_column"], probs)
+    values = joined.select(*keys, F.inline(F.filter(hits, lambda x: x.isNotNull())))
+
+    group = [*keys, "_column", "_pos"]
+    counted = settle(values.groupBy(*group, "_v").agg(F.count("*").alias("_c")), "inside")
+    sizes = counted.groupBy(*group).agg(F.sum("_c").alias("_inside"), F.count("*").alias("_distinct"))
+    checked = settle(
+        brackets.join(counted_below, group).join(sizes, group, "left")
+        .withColumn("_hit", (F.col("_below") <= F.floor("_at")) & (F.ceil("_at") < F.col("_below") + F.coalesce("_inside", F.lit(0)))),
+        "ranks",
+    )
+    both = F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))
+    most, missed = checked.agg(F.max(F.when(F.col("_hit"), F.col("_distinct"))), F.count_if(~F.col("_hit"))).first()
+    ranks = checked.filter("_hit").select(*group, "_at", both.alias("_rank"), "_below")
+    ranks = ranks.select(*group, "_at", (F.col("_rank") - F.col("_below")).alias("_rank"))
+    each = _selected(counted, ranks, group, most or 0)
+    if missed:
+        again = checked.filter("NOT _hit")
+        points = narrow.unpivot(keys, columns, "_column", "_v").filter("_v is not null")
+        all_values = points.join(again.select(*group), [*keys, "_column"]).groupBy(*group, "_v").agg(F.count("*").alias("_c"))
+        each = each.unionByName(_selected(all_values, again.select(*group, "_at", both.alias("_rank")), group, WINDOW_VALUES + 1))
+
     listed = [
         F.transform(
             F.sort_array(F.collect_list(F.when(F.col("_column") == c, F.struct("_pos", "_q")))),
@@ -73,10 +127,10 @@ def exact_quantiles(
         ).alias(c)
         for c in columns
     ]
-    wide = each.groupBy(*keys).agg(*listed)
+    answers = each.groupBy(*keys).agg(*listed)
     filled = [F.when(F.size(c) > 0, F.col(c)).alias(f"q_{c}") for c in columns]
     if not keys:
-        return wide.select(*filled)
+        return answers.select(*filled)
     # Keys whose values are all missing.
     every = df.select(*keys).distinct()
-    return every.join(wide, keys, "left").select(*keys, *filled)
+    return every.join(answers, keys, "left").select(*keys, *filled)

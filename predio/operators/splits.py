@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from predio.operators.numbering import number_rows
 from predio.scale import settle
 from predio.schema import KEY
 
@@ -131,3 +132,22 @@ def exact_folds(
     cut = _with_cuts(df, segment, key, seed, block_ends)
     fold = F.size(F.filter("_cuts", lambda c: c < F.col("_h")))
     return cut.select(*df.columns, F.when(F.col("_cuts").isNotNull(), fold).alias("fold"))
+
+
+def ordered_folds(df: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """Add ``fold`` in 0..k-1: contiguous blocks of the rows in the order of ``order``, unshuffled.
+
+    Sizes differ by one at most, the larger blocks first.  Rows that tie in ``order`` may fall to
+    either side of a block's end.  An empty table gives an empty table.
+    """
+    if k < 1:
+        raise ValueError("at least one fold is needed")
+    numbered = number_rows(df, order, "_number")
+    n = numbered.count()
+    small, larger = n // k, n % k
+    edge = larger * (small + 1)  # the rows of the larger blocks
+    number = F.col("_number")
+    fold = F.when(number < edge, F.floor(number / (small + 1))).otherwise(
+        larger + F.floor((number - edge) / max(small, 1))
+    )
+    return numbered.withColumn("fold", fold.cast("int")).drop("_number")

@@ -396,6 +396,13 @@ def fold_counts(spark, folder):
     return _count_and_total(splits.hash_folds(clean(spark, folder), linear.SEARCH_FOLDS), "fold")
 
 
+@_query
+def ordered_folds(spark, folder):
+    """Contiguous folds in the row order of the snapshots."""
+    first = dedup.keep_first(star.read_listings(spark, folder), star.SNAPSHOT_ORDER).select("sku", *star.SNAPSHOT_ORDER)
+    return splits.ordered_folds(first, 3, [*star.SNAPSHOT_ORDER, "sku"]).select("sku", "fold")
+
+
 @_query
 def exact_folds(spark, folder):
     return splits.exact_folds(settle(clean(spark, folder).select("sku"), "clean"), linear.SEARCH_FOLDS)

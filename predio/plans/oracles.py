@@ -497,6 +497,8 @@ def sql() -> dict[str, str]:
             """SELECT count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng,
             round((var_pop(lat) + var_pop(lng)) * count(*), 2) AS inertia FROM clean""",
         ),
+        "ordered_folds": "WITH " + _LISTINGS.replace("* EXCLUDE (rn, snapshot_id, ord1, ord2, ord3)", "*") + """
+            SELECT sku, (ntile(3) OVER (ORDER BY snapshot_id, ord1, ord2, ord3, sku) - 1)::int AS fold FROM dedup""",
         "describe_zone": _describe(),
         "corr_matrix": _corr(),
         "encode_colonia": _with(_CLEAN, "SELECT sku, colonia, cast(dense_rank() OVER (ORDER BY colonia) - 1 AS int)"

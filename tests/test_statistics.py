@@ -47,6 +47,42 @@ def test_global_quantiles(sample, spark):
     assert quantiles.exact_quantiles(empty, ["x"], PROBS).first().q_x is None
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_bracket_selection_at_every_accuracy(sample, spark, monkeypatch, small):
+    """Rough sketches, brackets over several tasks, and brackets that miss all give the same quantiles."""
+    pdf, df = sample
+    if not small:
+        monkeypatch.setattr(quantiles, "WINDOW_VALUES", 0)
+    for accuracy in (3, 50):
+        found = quantiles.exact_quantiles(df, ["x", "z"], PROBS, ["colonia"], accuracy).toPandas().set_index("colonia")
+        for colonia, group in pdf.dropna(subset=["colonia"]).groupby("colonia"):
+            for c in ("x", "z"):
+                np.testing.assert_allclose(found.loc[colonia, f"q_{c}"], group[c].quantile(PROBS), rtol=1e-12)
+    # A sketch that is wrong is noticed by its counts.
+    whole = quantiles._sketches
+    monkeypatch.setattr(
+        quantiles, "_sketches",
+        lambda *a: whole(*a).withColumn("_s0", F.struct(F.col("_s0")["n"].alias("n"), F.transform(F.col("_s0")["v"], lambda v: v + 0.5).alias("v"))),
+    )
+    row = quantiles.exact_quantiles(df, ["x", "z"], PROBS).first()
+    np.testing.assert_allclose(row.q_x, pdf.x.quantile(PROBS), rtol=1e-12)
+    np.testing.assert_allclose(row.q_z, pdf.z.quantile(PROBS), rtol=1e-12)
+
+
+def test_only_the_brackets_are_shuffled(spark):
+    """Of 200 000 rows a few per cent are ordered."""
+    df = quantiles.settle(spark.range(200_000).select(F.rand(3).alias("x")), "many")
+    seen = []
+    real = quantiles.settle
+    quantiles.settle = lambda d, label="table": seen.append((label, real(d, label))) or seen[-1][1]
+    try:
+        quantiles.exact_quantiles(df, ["x"], [0.01, 0.5, 0.95]).collect()
+    finally:
+        quantiles.settle = real
+    inside = dict(seen)["inside"]
+    assert inside.count() < 0.05 * 200_000
+
+
 def test_quantiles_with_infinities_and_neighbouring_doubles(spark):
     inf = float("inf")
     values = [-inf, -1e300, 0.0, 5e-3, np.nextafter(5e-3, 1), 1e300, inf, inf]
@@ -248,3 +284,27 @@ def test_constant_folds_and_missing_places(spark):
     assert found.cluster[["n", "m"]].isna().all() and (found.cluster.drop(["n", "m"]) == 0).all()
     means = clusters.kmeans_clusters(spark.createDataFrame(places, "sku string, lat double, lng double"), k=2).toPandas().set_index("sku")
     assert means.cluster[["n", "m"]].isna().all() and means.cluster.drop(["n", "m"]).notna().all()
+
+
+@pytest.mark.parametrize("n, k", [(0, 3), (2, 5), (10, 3), (1000, 7), (9, 3)])
+def test_ordered_folds_are_contiguous_blocks(spark, n, k):
+    df = spark.range(n).select((F.col("id") * 37 % max(n, 1)).alias("place")).repartition(4)
+    df = df.filter("place IS NOT NULL").dropDuplicates(["place"]) if n else df
+    rows = splits.ordered_folds(df, k, ["place"]).orderBy("place").collect()
+    want = [f for f, block in enumerate(np.array_split(np.arange(len(rows)), k)) for _ in block]
+    assert [r.fold for r in rows] == want
+    with pytest.raises(ValueError):
+        splits.ordered_folds(df, 0, ["place"])
+
+
+def test_exact_profile_shuffles_no_text(spark):
+    df = spark.createDataFrame(
+        [("a", 0.0, ["x"], None), ("b", -0.0, ["x"], None), ("a", float("nan"), None, None), (None, 1.0, ["x", "y"], None)],
+        "t string, `a.b` double, l array<string>, n string",
+    )
+    profile = reports.column_profile(df, exact=True)
+    assert {r.column: (r.n_missing, r.n_distinct) for r in profile.collect()} == {"t": (1, 2), "a.b": (1, 2), "l": (1, 2), "n": (4, 0)}
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    rough = {r.column: r.n_distinct for r in reports.column_profile(df).collect()}
+    assert rough == {"t": 2, "a.b": 2, "l": 2, "n": 0}
