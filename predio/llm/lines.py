@@ -1,26 +1,27 @@
 """Line deduplication by log templates, with SQL functions only.
 
 A line is parsed to a fixed depth: words with a digit become ``<*>``, and the number of words
-and the leading words lead to a leaf.  A leaf has as many templates as it needs: a line with
-which no more frequent line agrees is one, lines that agree with it in enough of the other words
-are the same template with ``<*>`` where they differ, and the rest is looked at again.  A template found in
-several documents recurs: its lines stay in the first of them only.
-
-Lines are told apart by 64-bit hashes in narrow stored tables; texts are read again only for
-leaves with several lines and to cut the lines out.
+and the leading words lead to a leaf.  A leaf has several templates: lines look at the most frequent
+line that shares a pair of words with them, for each of their pairs; one that agrees with no such line
+is a template, lines that agree with it in enough of the other words are the same template with ``<*>``
+where they differ, and the rest is looked at again, in a fixed number of passes whatever the leaf
+holds.  A template found in several documents recurs: its lines stay in the first of them only.
+
+Texts are split once, into a stored table of lines; lines are told apart by 64-bit hashes, and their
+words are compared only in leaves with several lines.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from predio.llm.frames import maybe_broadcast, without
+from predio.llm.frames import without
 from predio.scale import settle
 
 #: Leading words that lead to a leaf, and least constant words of a template.
 DEPTH, LEAST = 3, 3
-#: Most frequent lines of a pair of words that a turn compares with.
-PIVOTS = 16
+#: Passes over the lines of a leaf.
+PASSES = 4
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -33,7 +34,8 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     # (Outer: else Spark splits a second time to see whether there are lines.)
     rows = rows.select("_key", "_print", F.posexplode_outer(F.split("_text", "\n", -1)).alias("_pos", "_line"))
     line = F.col("_line")
-    spaced = F.when(line.rlike("[\t\r\x0b\x0c]|  "), F.regexp_replace(line, "[\t\r\x0b\x0c ]+", " ")).otherwise(line)
+    blank = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    spaced = F.when(blank, F.regexp_replace(line, "[\t\r\x0b\x0c ]+", " ")).otherwise(line)
     rows = rows.withColumn("_line", F.trim(spaced))
     masked = rows.withColumn("_mask", F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")))
     words = F.split("_mask", " ")
@@ -65,45 +67,48 @@ def _rest(line: str) -> Column:
 
 
 def _templates(rows: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """``(_hash, _template)`` of the lines that join another one of their leaf (``_leaf, _hash, _n, _line``).
+    """``(_hash, _template)`` of the lines that join another one of their leaf (``_leaf, _hash, _n, _words, _line``).
 
     Lines of a leaf that are one template differ in fewer places than it has pairs of words after the
-    leading ones, so they agree in some pair.  A line with which no more frequent line of its pairs
-    agrees is a template and takes the lines that agree with it; the rest is looked at again.
-    Each turn compares lines with the ``PIVOTS`` most frequent ones of each of their pairs.
+    leading ones, so they agree in some pair.  In a pass every line is compared with the most frequent
+    line of each of its pairs (of equally frequent ones that with the largest hash).  A line that others
+    look at and that agrees with none it looks at is a template and takes the lines that agree with it, each
+    the most frequent one it can have; both are done, and the next pass looks at the rest.  After
+    ``PASSES`` passes the lines left are templates of their own.
     """
-    rest = _rest("_line")
-    pairs = F.floor(F.size(rest) / 2).cast("int")
-    # The last pair has a third word if their number is odd.
-    pair = F.transform(
-        F.sequence(F.lit(0), pairs - 1),
-        lambda i: F.xxhash64("_leaf", i, F.slice(rest, 2 * i + 1, F.when(i == pairs - 1, 3).otherwise(2))),
-    )
+    pairs = F.floor((F.col("_words") - DEPTH) / 2).cast("int")
+
+    def hashed(rest, i):
+        # The last pair has a third word if their number is odd.
+        return F.xxhash64("_leaf", i, F.slice(rest, 2 * i + 1, F.when(i == pairs - 1, 3).otherwise(2)))
+
+    # The outer transform splits the line once.
+    pair = F.get(F.transform(F.array(_rest("_line")), lambda rest: F.transform(F.sequence(F.lit(0), pairs - 1), lambda i: hashed(rest, i))), 0)
     rank = F.struct("_n", "_hash").alias("_rank")
     open_rows = settle(rows.filter(pairs > 1).select("_hash", rank, F.explode(pair).alias("_pair")), "pairs")
     assigned = None
-    while True:
+    for turn in range(PASSES):
         # A pair left to one line joins nothing.
-        alive = open_rows.groupBy("_pair").agg(F.min("_rank").alias("_low"), F.max("_rank").alias("_high")).filter("_low <> _high")
-        open_rows = settle(open_rows.join(alive.select("_pair"), "_pair", "left_semi"), "open")
-        if open_rows.isEmpty():
-            return assigned
-        place = F.row_number().over(Window.partitionBy("_pair").orderBy(F.col("_rank").desc()))
-        pivots = open_rows.withColumn("_place", place).filter(F.col("_place") <= PIVOTS)
-        pivots = settle(pivots.select("_pair", F.col("_rank").alias("_pivot"), "_place"), "pivots")
-        both = open_rows.join(pivots, "_pair").filter("_rank < _pivot").select("_hash", "_rank", "_pivot").distinct()
+        pivots = open_rows.groupBy("_pair").agg(F.max("_rank").alias("_pivot"), F.min("_rank").alias("_low"))
+        pivots = settle(pivots.filter("_low <> _pivot").select("_pair", "_pivot"), "pivots")
+        if pivots.isEmpty():
+            break
+        both = open_rows.join(pivots, "_pair").filter("_rank < _pivot").select("_hash", "_pivot").distinct()
         both = both.join(texts, "_hash").join(texts.toDF("_of", "_other"), F.col("_pivot._hash") == F.col("_of"))
         same = F.zip_with(_rest("_line"), _rest("_other"), lambda x, y: F.when(x == y, x))
-        agree = settle(both.filter(_alike(same)).select("_hash", "_pivot"), "agree")
-        # A template is a pivot of all its pairs and agrees with none above it.
-        every = open_rows.join(pivots.withColumnRenamed("_pivot", "_rank"), ["_pair", "_rank"], "left")
-        top = every.groupBy("_hash").agg(F.count_if(F.col("_place").isNull()).alias("_below")).filter("_below = 0").select("_hash")
-        top = settle(top.join(agree, "_hash", "left_anti"), "top")
+        agree = settle(
+            both.select("_hash", "_pivot", "_line", same.alias("_same")).filter(_alike(F.col("_same"))).select("_hash", "_pivot"), "agree"
+        )
+        joined = agree.select("_hash").distinct()
+        looked_at = pivots.select(F.col("_pivot._hash").alias("_hash")).distinct()
+        top = settle(looked_at.join(joined, "_hash", "left_anti"), "top")
         taken = agree.join(top.select(F.col("_hash").alias("_of")), F.col("_pivot._hash") == F.col("_of"), "left_semi")
         taken = settle(taken.groupBy("_hash").agg(F.max("_pivot")["_hash"].alias("_template")), "taken")
         assigned = taken if assigned is None else assigned.unionByName(taken)
-        done = top.unionByName(taken.select("_hash"))
-        open_rows = settle(open_rows.join(done, "_hash", "left_anti"), "left")
+        if turn + 1 < PASSES:
+            done = top.unionByName(taken.select("_hash"))
+            open_rows = settle(open_rows.join(pivots.select("_pair"), "_pair", "left_semi").join(done, "_hash", "left_anti"), "left")
+    return assigned
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,16 +116,17 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Documents are ordered by key (a missing one first), then by a hash of the text.
     """
-    words = (F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1).cast("int")
-    parsed = _lines(docs, key, text).withColumn("_words", words)
-    parsed = parsed.filter((F.col("_words") >= LEAST) & (F.col("_line") != ""))
+    parsed = _lines(docs, key, text).withColumn("_words", F.size(F.split("_line", " ")))
     leaf = F.xxhash64("_words", F.substring_index("_line", " ", DEPTH))
-    narrow = settle(
-        parsed.select("_key", "_print", "_pos", leaf.alias("_leaf"), F.xxhash64("_line").alias("_hash")), "lines"
+    stored = settle(
+        parsed.select("_key", "_print", "_pos", leaf.alias("_leaf"), F.xxhash64("_line").alias("_hash"), "_words", "_line"), "lines"
     )
+    # (Filtered here, not before storing: Spark would parse every line a second time for the filter.)
+    stored = stored.filter(F.col("_words") >= LEAST)
+    narrow = stored.drop("_line")
     doc = F.struct("_key", "_print")
     variants = narrow.groupBy("_leaf", "_hash").agg(
-        F.count("*").alias("_n"), F.min(doc).alias("_first"), F.max(doc).alias("_last")
+        F.first("_words").alias("_words"), F.count("*").alias("_n"), F.min(doc).alias("_first"), F.max(doc).alias("_last")
     )
     variants = settle(variants, "variants")
     leaves = variants.groupBy("_leaf").agg(F.min("_first").alias("_a"), F.max("_last").alias("_z"), F.count("*").alias("_variants"))
@@ -128,14 +134,14 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     alive = variants.join(leaves, "_leaf")
 
     # The lines of leaves with several of them, once each.
-    several = settle(alive.filter("_variants > 1").select("_leaf", "_hash", "_n"), "several")
-    wanted = maybe_broadcast(settle(several.select("_hash").distinct(), "wanted"))
-    read = _lines(docs, key, text).select(F.xxhash64("_line").alias("_hash"), "_line")
-    read = settle(read.join(wanted, "_hash", "left_semi").groupBy("_hash").agg(F.first("_line").alias("_line")), "texts")
+    several = settle(alive.filter("_variants > 1").select("_leaf", "_hash", "_n", "_words"), "several")
+    wanted = settle(several.filter(F.col("_words") >= DEPTH + 4).select("_hash").distinct(), "wanted")
+    read = stored.select("_hash", "_line").join(wanted, "_hash", "left_semi")
+    read = settle(read.groupBy("_hash").agg(F.first("_line").alias("_line")), "texts")
     assigned = _templates(several.join(read, "_hash"), read)
     named = several.select("_leaf", "_hash")
     if assigned is not None:
-        named = named.join(assigned, "_hash", "left").select("_leaf", "_hash", F.coalesce("_template", "_hash").alias("_name"))
+        named = named.join(settle(assigned, "assigned"), "_hash", "left").select("_leaf", "_hash", F.coalesce("_template", "_hash").alias("_name"))
     else:
         named = named.withColumn("_name", F.col("_hash"))
     single = alive.filter("_variants = 1").select("_leaf", "_hash", F.col("_hash").alias("_name"))
@@ -148,7 +154,8 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .filter("_a <> _z")
         .drop("_z")
     )
-    recurring = settle(names.join(templates, ["_leaf", "_name"]).select("_leaf", "_hash", "_a"), "recurring")
+    # Stored, its size is known: sent to all tasks if it is small, else joined with hot names split.
+    recurring = settle(names.join(settle(templates, "templates"), ["_leaf", "_name"]).select("_leaf", "_hash", "_a"), "recurring")
     return narrow.join(recurring, ["_leaf", "_hash"]).filter(doc != F.col("_a")).select("_key", "_print", "_pos")
 
 
@@ -168,13 +175,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_e
     rows = docs.withColumn("_own", F.xxhash64(text))
     joined = rows.join(gone, rows[key].eqNullSafe(gone["_key"]) & (F.col("_own") == F.col("_print")), "left")
     lines = F.split(F.col(text), "\n", -1)
+    line_ends = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     # The outer transform splits the text once.
     kept = F.transform(F.array(lines), lambda all_lines: F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
     cut = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.get(kept, 0))
     out = joined.select(
         *[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
+        F.when(F.col(text).isNull(), 0).otherwise(line_ends + 1).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
     if drop_empty:

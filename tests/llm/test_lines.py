@@ -2,7 +2,12 @@
 
 import random
 
+import re
+from collections import Counter, defaultdict
+
+import pytest
 from helpers import prose
+from pyspark.sql import functions as F
 
 from predio.llm import lines
 
@@ -58,8 +63,7 @@ def test_rows_of_numbers_and_short_lines_stay(spark):
     assert got == {k: t for k, t in rows if k != 3}
 
 
-def test_several_templates_in_a_leaf(spark, monkeypatch):
-    monkeypatch.setattr(lines, "PIVOTS", 2)  # several turns
+def test_several_templates_in_a_leaf(spark):
     names = ["ada", "bob", "cy", "dee", "eve", "fay"]
     families = ["the new server {} was started without any error", "the new server has lost its link to {}"]
     families += [f"the new server w{c} x{c} y{c} z{c} v{c} {{}}".replace("{c}", c) for c in "abcdefgh"]
@@ -67,3 +71,94 @@ def test_several_templates_in_a_leaf(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r["doc_id"] for r in lines.dedup_lines(docs).filter("n_dropped > 0").collect()}
     assert len(rows) - len(got) == len(families)
+
+
+def parsed(line):
+    """A line as the tree sees it."""
+    line = re.sub("[\t\r\x0b\x0c ]+", " ", line).strip(" ")
+    masked = [("<*>" if re.search("[0-9]", w) else w) for w in line.split(" ")]
+    constant = sum(w != "<*>" for w in masked)
+    return " ".join(masked) if constant >= 3 and 2 * constant >= len(masked) else line
+
+
+def alike(a, b):
+    lead = sum(w != "<*>" for w in a[:3])
+    same = [x for x, y in zip(a[3:], b[3:]) if x == y]
+    constant = lead + sum(w != "<*>" for w in same)
+    return len(a) > 3 and 2 * len(same) >= len(a) - 3 + 2 and constant >= 3 and 2 * constant >= len(a)
+
+
+def template_tree(rows, hashes):
+    """Which lines of which documents go, by the passes in plain Python."""
+    places = [(key, i, parsed(x)) for key, text in rows for i, x in enumerate(text.split("\n"))]
+    places = [p for p in places if len(p[2].split(" ")) >= 3]
+    n = Counter(p[2] for p in places)
+    rank = {x: (n[x], hashes[x]) for x in n}
+    leaves = defaultdict(list)
+    for x in n:
+        w = x.split(" ")
+        leaves[len(w), tuple(w[:3])].append(x)
+    name = {x: x for x in n}
+    for members in leaves.values():
+        left = set(members)
+        for _ in range(lines.PASSES):
+            pairs = defaultdict(list)
+            for x in left:
+                rest = x.split(" ")[3:]
+                number = len(rest) // 2
+                for i in range(number if number > 1 else 0):
+                    pairs[i, tuple(rest[2 * i : 2 * i + (3 if i == number - 1 else 2)])].append(x)
+            pivots = [max(v, key=rank.get) for v in pairs.values() if len(v) > 1]
+            seen = {x: {p for v in pairs.values() if len(v) > 1 and x in v for p in [max(v, key=rank.get)] if p != x} for x in left}
+            agree = {x: {p for p in ps if alike(x.split(" "), p.split(" "))} for x, ps in seen.items()}
+            top = {p for p in pivots if not agree[p]}
+            taken = {x: max(ps & top, key=rank.get) for x, ps in agree.items() if ps & top}
+            name.update(taken)
+            left -= top | set(taken)
+            left = {x for x in left if any(x in v for v in pairs.values() if len(v) > 1)}
+    docs = defaultdict(set)
+    for key, _, x in places:
+        docs[name[x]].add(key)
+    return {(key, i) for key, i, x in places if len(docs[name[x]]) > 1 and key != min(docs[name[x]])}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_equals_plain(spark, seed):
+    rng = random.Random(seed)
+    words = ["red", "green", "blue", "7", "x9", "oak", "elm", "fir", "ash"]
+    families = [[rng.choice(words) for _ in range(rng.randint(3, 12))] for _ in range(25)]
+
+    def line():
+        if rng.random() < 0.3:
+            return " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))
+        own = ["the", "new", "door", *rng.choice(families)]
+        return "  ".join(rng.choice(words) if i > 2 and rng.random() < 0.25 else w for i, w in enumerate(own))
+
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 8)))) for i in range(120)]
+    every = sorted({parsed(x) for _, t in rows for x in t.split("\n")})
+    frame = spark.createDataFrame([(x,) for x in every], "x string")
+    hashes = {r["x"]: r["h"] for r in frame.select("x", F.xxhash64("x").alias("h")).collect()}
+    gone = lines.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["_key"], r["_pos"]) for r in gone.collect()} == template_tree(rows, hashes)
+
+
+def test_passes_do_not_grow_with_the_leaf(spark, monkeypatch):
+    """Lines that share start, length and a pair but nothing else take a fixed number of tables."""
+    rng = random.Random(4)
+    counts = []
+    for n in (50, 2000):
+        made = []
+        real = lines.settle
+        monkeypatch.setattr(lines, "settle", lambda df, label="table": made.append(label) or real(df, label))
+        rows = [(i, "the new door is open " + " ".join("".join(prose(rng, 4).split()) for _ in range(6))) for i in range(n)]
+        assert lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_dropped > 0").count() == 0
+        monkeypatch.setattr(lines, "settle", real)
+        counts.append(len(made))
+    assert max(counts) <= 10 + 6 * lines.PASSES
+
+
+def test_very_long_texts(spark):
+    one = "\n".join(f"line number {i} of a very long text that recurs" + " word" * (i % 50) for i in range(20000))
+    rows = [(1, one), (2, one), (3, "word " * 400_000), (4, "word " * 400_000)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (20000, 0), 2: (20000, 20000), 3: (1, 0), 4: (1, 1)}
