@@ -22,6 +22,9 @@ from predio.scale import settle
 DEPTH, LEAST = 3, 3
 #: Passes over the lines of a leaf.
 PASSES = 4
+#: The largest bitmap that is sent to all tasks, and its bits per wanted hash.
+FILTER_BYTES, FILTER_BITS = 64 << 20, 8
+_BUCKET = 32768  # bits of one bitmap of Spark's
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,6 +69,23 @@ def _rest(line: str) -> Column:
     return F.slice(F.split(line, " "), DEPTH + 1, 1 << 30)
 
 
+def _may_match(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``_hash`` may be among those of the stored table ``wanted``, before they are joined.
+
+    A bitmap of the wanted hashes, a byte for each, leaves out nearly all other rows where they are
+    read; if it were larger than ``FILTER_BYTES`` all rows go to the join.
+    """
+    buckets = max(1, -(-FILTER_BITS * wanted.count() // _BUCKET))
+    if buckets * _BUCKET // 8 > FILTER_BYTES:
+        return rows
+    place = F.pmod("_hash", F.lit(buckets * _BUCKET))
+    bucket, bit = F.floor(place / _BUCKET).cast("int").alias("_bucket"), (place % _BUCKET).cast("int").alias("_bit")
+    bits = settle(wanted.select(bucket, bit).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "bitmaps")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.col("_bit") % 8 + 1)) != 0
+    return rows.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(bits), "_bucket").filter(set_bit).drop("_bucket", "_bit", "_bits")
+
+
 def _templates(rows: DataFrame, texts: DataFrame) -> DataFrame | None:
     """``(_hash, _template)`` of the lines that join another one of their leaf (``_leaf, _hash, _n, _words, _line``).
 
@@ -136,7 +156,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # The lines of leaves with several of them, once each.
     several = settle(alive.filter("_variants > 1").select("_leaf", "_hash", "_n", "_words"), "several")
     wanted = settle(several.filter(F.col("_words") >= DEPTH + 4).select("_hash").distinct(), "wanted")
-    read = stored.select("_hash", "_line").join(wanted, "_hash", "left_semi")
+    read = _may_match(stored.select("_hash", "_line"), wanted).join(wanted, "_hash", "left_semi")
     read = settle(read.groupBy("_hash").agg(F.first("_line").alias("_line")), "texts")
     assigned = _templates(several.join(read, "_hash"), read)
     named = several.select("_leaf", "_hash")
@@ -156,7 +176,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     # Stored, its size is known: sent to all tasks if it is small, else joined with hot names split.
     recurring = settle(names.join(settle(templates, "templates"), ["_leaf", "_name"]).select("_leaf", "_hash", "_a"), "recurring")
-    return narrow.join(recurring, ["_leaf", "_hash"]).filter(doc != F.col("_a")).select("_key", "_print", "_pos")
+    return _may_match(narrow, recurring).join(recurring, ["_leaf", "_hash"]).filter(doc != F.col("_a")).select("_key", "_print", "_pos")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_empty: bool = False) -> DataFrame:

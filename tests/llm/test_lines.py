@@ -162,3 +162,13 @@ def test_very_long_texts(spark):
     rows = [(1, one), (2, one), (3, "word " * 400_000), (4, "word " * 400_000)]
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (20000, 0), 2: (20000, 20000), 3: (1, 0), 4: (1, 1)}
+
+
+def test_bitmaps_pass_all_wanted_hashes(spark, monkeypatch):
+    rows = spark.range(100_000).select(F.xxhash64("id").alias("_hash"))
+    wanted = rows.filter("_hash % 50 = 0")
+    left = lines._may_match(rows, wanted)
+    assert left.join(wanted, "_hash", "left_semi").count() == wanted.count()
+    assert left.count() < 20_000
+    monkeypatch.setattr(lines, "FILTER_BYTES", 1)
+    assert lines._may_match(rows, wanted).count() == 100_000
