@@ -69,8 +69,8 @@ def _rest(line: str) -> Column:
     return F.slice(F.split(line, " "), DEPTH + 1, 1 << 30)
 
 
-def _may_match(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose ``_hash`` may be among those of the stored table ``wanted``, before they are joined.
+def _may_match(rows: DataFrame, wanted: DataFrame, column: str = "_hash") -> DataFrame:
+    """Rows whose hash may be among those of the stored table ``wanted``, before they are joined.
 
     A bitmap of the wanted hashes, a byte for each, leaves out nearly all other rows where they are
     read; if it were larger than ``FILTER_BYTES`` all rows go to the join.
@@ -78,7 +78,7 @@ def _may_match(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     buckets = max(1, -(-FILTER_BITS * wanted.count() // _BUCKET))
     if buckets * _BUCKET // 8 > FILTER_BYTES:
         return rows
-    place = F.pmod("_hash", F.lit(buckets * _BUCKET))
+    place = F.pmod(column, F.lit(buckets * _BUCKET))
     bucket, bit = F.floor(place / _BUCKET).cast("int").alias("_bucket"), (place % _BUCKET).cast("int").alias("_bit")
     bits = settle(wanted.select(bucket, bit).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "bitmaps")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -143,15 +143,19 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     # (Filtered here, not before storing: Spark would parse every line a second time for the filter.)
     stored = stored.filter(F.col("_words") >= LEAST)
-    narrow = stored.drop("_line")
+    # Most lines stand in a leaf that one document has; only the others go on.
+    own = F.xxhash64("_key", "_print")
+    leaves = stored.groupBy("_leaf").agg(F.min(own).alias("_a"), F.max(own).alias("_z"))
+    leaves = settle(leaves.filter("_a <> _z").select("_leaf"), "leaves")
+    stored = settle(_may_match(stored, leaves, "_leaf").join(leaves, "_leaf", "left_semi"), "shared")
+    narrow = stored.drop("_line", "_words")
     doc = F.struct("_key", "_print")
-    variants = narrow.groupBy("_leaf", "_hash").agg(
+    variants = stored.groupBy("_leaf", "_hash").agg(
         F.first("_words").alias("_words"), F.count("*").alias("_n"), F.min(doc).alias("_first"), F.max(doc).alias("_last")
     )
     variants = settle(variants, "variants")
-    leaves = variants.groupBy("_leaf").agg(F.min("_first").alias("_a"), F.max("_last").alias("_z"), F.count("*").alias("_variants"))
-    leaves = settle(leaves.filter("_a <> _z").select("_leaf", "_variants"), "leaves")
-    alive = variants.join(leaves, "_leaf")
+    sizes = settle(variants.groupBy("_leaf").agg(F.count("*").alias("_variants")), "sizes")
+    alive = variants.join(sizes, "_leaf")
 
     # The lines of leaves with several of them, once each.
     several = settle(alive.filter("_variants > 1").select("_leaf", "_hash", "_n", "_words"), "several")
