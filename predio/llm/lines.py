@@ -73,7 +73,8 @@ def _may_match(rows: DataFrame, wanted: DataFrame, column: str = "_hash") -> Dat
     """Rows whose hash may be among those of the stored table ``wanted``, before they are joined.
 
     A bitmap of the wanted hashes, a byte for each, leaves out nearly all other rows where they are
-    read; if it were larger than ``FILTER_BYTES`` all rows go to the join.
+    read; if it were larger than ``FILTER_BYTES`` all rows go to the join.  (Join the result inner: Spark
+    moves a left semi join in front of the bitmap.)
     """
     buckets = max(1, -(-FILTER_BITS * wanted.count() // _BUCKET))
     if buckets * _BUCKET // 8 > FILTER_BYTES:
@@ -147,7 +148,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     own = F.xxhash64("_key", "_print")
     leaves = stored.groupBy("_leaf").agg(F.min(own).alias("_a"), F.max(own).alias("_z"))
     leaves = settle(leaves.filter("_a <> _z").select("_leaf"), "leaves")
-    stored = settle(_may_match(stored, leaves, "_leaf").join(leaves, "_leaf", "left_semi"), "shared")
+    stored = settle(_may_match(stored, leaves, "_leaf").join(leaves, "_leaf"), "shared")
     narrow = stored.drop("_line", "_words")
     doc = F.struct("_key", "_print")
     variants = stored.groupBy("_leaf", "_hash").agg(
@@ -160,7 +161,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # The lines of leaves with several of them, once each.
     several = settle(alive.filter("_variants > 1").select("_leaf", "_hash", "_n", "_words"), "several")
     wanted = settle(several.filter(F.col("_words") >= DEPTH + 4).select("_hash").distinct(), "wanted")
-    read = _may_match(stored.select("_hash", "_line"), wanted).join(wanted, "_hash", "left_semi")
+    read = _may_match(stored.select("_hash", "_line"), wanted).join(wanted, "_hash")
     read = settle(read.groupBy("_hash").agg(F.first("_line").alias("_line")), "texts")
     assigned = _templates(several.join(read, "_hash"), read)
     named = several.select("_leaf", "_hash")
