@@ -23,7 +23,7 @@ from predio.llm.frames import add_columns
 from predio.llm.words import LOWER, SPACE, cut, range_hashes, text_buffers
 
 #: Bytes of text encoded at once, and units whose ids a Python worker keeps.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 CACHED = 1 << 18
 _NEVER = np.int64(1) << 40
 

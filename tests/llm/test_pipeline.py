@@ -53,7 +53,7 @@ NAMES = [n for n in registry.queries() if n.startswith("op")]
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11)) and "pipeline" in registry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14)) and "pipeline" in registry.queries()
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
