@@ -49,6 +49,7 @@ TEMPLATES = [
 
 SHINGLE, SHORT, WINDOW, BANDS = 5, 8, 12, 6
 CONTAINED = 0.8
+WINDOWS = "array<struct<_band:int,_at:int,_min:bigint>>"
 #: Seeds that turn one shingle hash into six orders.
 SEEDS = [0x1B873593CC9E2D51, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x41C64E6D5851F42D, 0x5BD1E995C4CEB9FE, 0x6C62272E07BB0142]
 
@@ -68,18 +69,26 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _shingles(df: DataFrame) -> DataFrame:
-    """Replace ``_words`` by ``_h``, the hashes of all 5-word shingles (or of the words, if fewer)."""
+def _whole(words: Column, start: Column, n: int) -> Column:
+    """The hash of ``n`` words, fewer than a shingle has."""
+    return F.xxhash64(*[F.get(words, start + j) for j in range(n)], F.lit("whole"))
 
-    def hashes(w: Column) -> Column:
-        n = F.size(w)
-        full = F.transform(
-            F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)])
-        )
-        whole = F.array(F.xxhash64(F.array_join(w, " "), F.lit("whole")))
-        return F.when(n >= SHINGLE, full).when(F.get(w, 0) == "", F.array().cast("array<bigint>")).otherwise(whole)
 
-    return df.withColumn("_h", _bound(F.split("_words", " "), hashes)).drop("_words")
+def _hashes(words: Column) -> Column:
+    """Hashes of all 5-word shingles of an array of words, or of the words as one if they are fewer."""
+    n = F.size(words)
+    full = F.transform(
+        F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)])
+    )
+    found = F.when(n >= SHINGLE, full).when(F.get(words, 0) == "", F.array().cast("array<bigint>"))
+    for few in range(1, SHINGLE):
+        found = found.when(n == few, F.array(_whole(words, F.lit(0), few)))
+    return found
+
+
+def _shingles(df: DataFrame) -> DataFrame:
+    """Replace ``_words`` by ``_h``, the hashes of all 5-word shingles (or of the words, if fewer)."""
+    return df.withColumn("_h", _bound(F.split("_words", " "), _hashes)).drop("_words")
 
 
 def _minima(hashes: Column) -> list[Column]:
@@ -94,13 +103,16 @@ def _template_table(known: DataFrame) -> DataFrame:
 
 
 def _template_bands(table: DataFrame) -> DataFrame:
-    """``_band, _min`` of all template windows, with the template and the window's place in it."""
+    """``_band, _min`` of all template windows, with the template and the window's place in it.
+
+    Band -1 holds single shingles, -2 templates of fewer words than a shingle.
+    """
     size = F.size("_h")
-    short = table.filter(size <= SHORT).select("template", "_h", F.posexplode(F.array(*_minima(F.col("_h")))).alias("_k", "_m"))
+    short = table.filter(size <= SHORT).select("template", "_few", "_h", F.posexplode(F.array(*_minima(F.col("_h")))).alias("_k", "_m"))
     seeds = F.array(*[F.lit(x) for x in SEEDS])
     short = short.withColumn("_min", F.col("_m").bitwiseXOR(F.get(seeds, F.col("_k"))))
     short = short.select(
-        F.lit(-1).alias("_band"), "_min", "template", (F.array_position("_h", F.col("_min")) - 1).cast("int").alias("_place")
+        F.when(F.col("_few") < SHINGLE, -2).otherwise(-1).alias("_band"), "_min", "template", (F.array_position("_h", F.col("_min")) - 1).cast("int").alias("_place")
     )
     steps = F.sequence(F.lit(0), F.greatest(F.size("_h") - WINDOW, F.lit(0)), F.lit(WINDOW // 2))
     long = table.filter(size > SHORT).select("template", "_h", F.explode(steps).alias("_place"))
@@ -119,47 +131,46 @@ def find_licenses(
     stand, the one with most shingles found (or the shortest of them) is returned.  Words are letters and
     digits, case and marks aside; a template of fewer than 5 words is found wherever its words
     stand, next to longer ones too, and ``at`` is the first of them.  Null and empty texts hold no license; rows that repeat key and text give each
-    find once; a missing key is passed on; an empty table gives an empty table; other columns are not
+    find once; very long texts are scanned whole; a missing key is passed on; an empty table gives an empty table; other columns are not
     looked at.  ``known`` has ``template``, ``license`` and ``text``.
     """
     table = _template_table(known if known is not None else templates(docs.sparkSession))
     bands = _template_bands(table)
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.col(text).alias("_text"))
-    hashed = _shingles(rows.select("_key", "_print", _words(F.col("_text")).alias("_words")))
-
-    # Windows of one shingle.
-    # (Outer forms: else Spark computes the arrays a second time to see whether they are empty.)
-    single = hashed.select("_key", "_print", F.posexplode_outer("_h").alias("_at", "_min"))
-    small = bands.filter("_band = -1").drop("_band")
-    hits = single.join(small, "_min").select("_key", "_print", "template", (F.col("_at") - F.col("_place")).alias("_from"))
-    # Windows of several, one row each with the minima as columns.
-    def windows(h: Column) -> Column:
+    few = [r["_few"] for r in table.filter(F.col("_few") < SHINGLE).select("_few").distinct().collect()]  # at most 4
+
+    # All windows of a text in one pass: single shingles, the bands of several, and few words.
+    def windows(x: Column) -> Column:
+        h, w = x["h"], x["w"]
+        window = lambda band, at, value: F.struct(band.alias("_band"), at.alias("_at"), value.alias("_min"))
+        single = F.transform(h, lambda value, i: window(F.lit(-1), i, value))
         steps = F.sequence(F.lit(0), F.greatest(F.size(h) - WINDOW // 2, F.lit(0)), F.lit(WINDOW // 2))
-        return F.transform(steps, lambda i: F.struct(i.alias("_at"), F.slice(h, i + 1, WINDOW).alias("_win")))
-
-    wide = hashed.select("_key", "_print", F.explode_outer(_bound(F.col("_h"), windows)).alias("_x")).select("_key", "_print", "_x._at", "_x._win")
-    wide = wide.filter(F.size("_win") > 0).select("_key", "_print", "_at", F.posexplode(F.array(*_minima(F.col("_win")))).alias("_band", "_min"))
-    long = wide.join(bands.filter("_band >= 0"), ["_band", "_min"])
-    hits = hits.unionByName(long.select("_key", "_print", "template", (F.col("_at") - F.col("_place")).alias("_from")))
-    # Windows of as many words as the templates that are shorter than a shingle have.
-    few = [r["_few"] for r in table.filter(F.col("_few") < SHINGLE).select("_few").distinct().collect()]
-
-    def short_windows(w: Column) -> Column:
-        of = lambda n: F.transform(
-            F.sequence(F.lit(0), F.size(w) - n),
-            lambda i: F.struct(i.alias("at"), F.xxhash64(F.array_join(F.slice(w, i + 1, n), " "), F.lit("whole")).alias("_min")),
+        bands = lambda i: _bound(
+            F.slice(h, i + 1, WINDOW), lambda win: F.array(*[window(F.lit(k), i, m) for k, m in enumerate(_minima(win))])
         )
-        none = F.array().cast("array<struct<at:int,_min:bigint>>")
-        return F.concat(none, *[F.when(F.size(w) >= n, of(n)).otherwise(none) for n in few])
-
-    tiny = rows.select("_key", "_print", F.explode_outer(_bound(F.split(_words(F.col("_text")), " "), short_windows)).alias("_x"))
-    exact = tiny.select("_key", "_print", "_x.*").join(small, "_min").select("_key", "_print", "template", F.lit(1.0).alias("share"), "at")
-
-    found = settle(hits.distinct(), "license_hits")
-    wanted = settle(found.groupBy("_key", "_print").agg(F.collect_set(F.struct("template", "_from")).alias("_hits")), "license_docs")
-    again = hashed.withColumnRenamed("_key", "_k").withColumnRenamed("_print", "_p")
+        wide = F.when(F.size(h) > 0, F.flatten(F.transform(steps, bands))).otherwise(F.array().cast(WINDOWS))
+        words = lambda n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: window(F.lit(-2), i, _whole(w, i, n)))
+        tiny = [F.when(F.size(w) >= n, words(n)).otherwise(F.array().cast(WINDOWS)) for n in few]
+        return F.concat(single, wide, *tiny)
+
+    sequences = _bound(F.split(_words(F.col("_text")), " "), lambda w: F.struct(w.alias("w"), _hashes(w).alias("h")))
+    # (Outer: else Spark computes the array a second time to see whether it is empty.)
+    all_windows = rows.select("_key", "_print", F.explode_outer(_bound(sequences, windows)).alias("_x")).select("_key", "_print", "_x.*")
+    hits = all_windows.join(bands, ["_band", "_min"])
+    tiny_template = F.col("_band") == -2
+    found = settle(
+        hits.select("_key", "_print", "template", (F.col("_at") - F.col("_place")).alias("_from"), tiny_template.alias("_exact")).distinct(),
+        "license_hits",
+    )
+    exact = found.filter("_exact").select("_key", "_print", "template", F.lit(1.0).alias("share"), F.col("_from").alias("at"))
+    wanted = found.filter("not _exact").groupBy("_key", "_print").agg(F.collect_set(F.struct("template", "_from")).alias("_hits"))
+    wanted = settle(wanted, "license_docs")
+    # Only texts with a hit are read as words again; repeated rows once.
+    again = rows.select(F.col("_key").alias("_k"), F.col("_print").alias("_p"), "_text")
     same = again["_k"].eqNullSafe(wanted["_key"]) & (F.col("_p") == wanted["_print"])
-    pairs = again.join(wanted, same).dropDuplicates(["_key", "_print"]).select("_key", "_print", "_h", F.explode("_hits").alias("_hit"))
+    again = again.join(wanted, same).dropDuplicates(["_key", "_print"])
+    again = _shingles(again.select("_key", "_print", "_hits", _words(F.col("_text")).alias("_words")))
+    pairs = again.select("_key", "_print", "_h", F.explode("_hits").alias("_hit"))
     pairs = pairs.select("_key", "_print", "_h", "_hit.*").join(table.drop("_h"), "template")
     # Where the template would stand, and half its length to either side for changed words.
     n = F.size("_set")
