@@ -1,9 +1,10 @@
 """Secrets in whole texts, with SQL functions only: fixed patterns, and random strings by Markov models.
 
-Two character models give the chance of each character after the one before: one of random
-strings, learnt from the values that the patterns find, and one of ordinary identifiers,
-learnt from all words of all documents.  A word that could be a key, and that no pattern
-covers, is a secret if the log-likelihood ratio of the two models exceeds the odds.
+Two character models give the chance of each character, or of the end, after the one before.  The
+ordinary one is learnt from the runs of key characters that recur in the documents, less those that
+stand in labelled secrets; the random one from the labelled secrets, which are the values that the patterns
+find.  Every run of 8 or more key characters that touches no pattern's span is scored by both
+models; it is a secret if their log-likelihood ratio exceeds the odds.
 
 Spans come from splitting a text at its matches: the lengths of pieces and matches add up to
 the offsets, in code points.
@@ -12,6 +13,8 @@ the offsets, in code points.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,13 +30,21 @@ BASE = [
 ]
 RANDOM = "random"
 _KEY = "[A-Za-z0-9+/_=-]"
-#: A whole run of key characters, 16 or more, with a digit and a letter.
-CANDIDATE = f"(?<!{_KEY})(?={_KEY}*[0-9])(?={_KEY}*[A-Za-z]){_KEY}{{16,}}"
-#: Odds against a candidate that the likelihood ratio must exceed.
+_NOT_KEY = "[^A-Za-z0-9+/_=-]+"
+#: Least length of a run of key characters that is scored.
+LEAST = 8
+#: Odds against a run that the likelihood ratio must exceed.
 ODDS = 1e4
 ALPHABET = 128
+#: The sets of characters that keys are drawn from are unions of these.
+CLASSES = ["[0-9]", "[a-z]", "[A-Z]", "[+/_=-]"]
+KEY_CODES = [i for i in range(1, ALPHABET) if chr(i).isalnum() or chr(i) in "+/_=-"]
+#: Stands before the first and after the last character of a run.
+EDGE = 0
 #: Observations that a character's overall frequency counts for.
 BACK_OFF = 10.0
+#: Share of a uniform draw in the random model.
+UNIFORM = 0.5
 
 
 def _may_hold(kind: str, text: Column) -> Column:
@@ -42,7 +53,7 @@ def _may_hold(kind: str, text: Column) -> Column:
         return F.contains(low, F.lit("passw")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("api"))
     if kind == "access":
         return F.contains(text, F.lit("AKIA"))
-    return text.rlike("[0-9a-f]{24}" if kind == "hex" else "[0-9]")
+    return text.rlike("[0-9a-f]{24}")
 
 
 def _matches(kind: str, pattern: str, group: int, text: Column) -> Column:
@@ -61,69 +72,147 @@ def _matches(kind: str, pattern: str, group: int, text: Column) -> Column:
 
 
 def _spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``_key, _print, kind, start, end, value`` of every match that is long enough."""
+    """``_key, _print, kind, start, end, value`` of every match of a pattern that is long enough."""
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.col(text).alias("_text"))
-    patterns = [(kind, pattern, group) for kind, pattern, group, _ in BASE] + [(RANDOM, CANDIDATE, 0)]
     found = []
-    for kind, pattern, group in patterns:
-        found.append(F.coalesce(_matches(kind, pattern, group, F.col("_text")), F.array().cast("array<struct<kind:string,i:int,gap:int,size:int,value:string>>")))
+    for kind, pattern, group, _ in BASE:
+        none = F.array().cast("array<struct<kind:string,i:int,gap:int,size:int,value:string>>")
+        found.append(F.coalesce(_matches(kind, pattern, group, F.col("_text")), none))
     # (Outer: else Spark searches a second time to see whether there are matches.)
     rows = rows.select("_key", "_print", F.explode_outer(F.concat(*found)).alias("m")).select("_key", "_print", "m.*")
-    rows = rows.filter("kind is not null")
-    # Repeated rows find the same; matches of a kind are added up in their order.
-    rows = rows.dropDuplicates(["_key", "_print", "kind", "i"])
-    so_far = Window.partitionBy("_key", "_print", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.col("size")).over(so_far)
-    rows = rows.select("_key", "_print", "kind", (end - F.col("size")).alias("start"), end.alias("end"), "value")
+    rows = _placed(rows.filter("kind is not null"))
     least = F.lit(0)
     for kind, _, _, size in BASE:
         least = F.when(F.col("kind") == kind, size).otherwise(least)
     return rows.filter(F.length("value") >= least)
 
 
-def _pairs(words: DataFrame, word: str, weight: str) -> DataFrame:
-    """Counts ``(_pair, n)`` of neighbouring ASCII characters, a * 128 + b."""
-    places = words.filter(F.length(word) > 1).select(word, weight, F.explode(F.sequence(F.lit(1), F.length(word) - 1)).alias("_at"))
-    code = lambda i: F.ascii(F.substring(F.col(word), F.col("_at") + i, F.lit(1)))
-    a, b = code(F.lit(0)), code(F.lit(1))
-    pairs = places.select(a.alias("_a"), b.alias("_b"), weight).filter((F.col("_a") < ALPHABET) & (F.col("_b") < ALPHABET))
-    return pairs.groupBy((F.col("_a") * ALPHABET + F.col("_b")).alias("_pair")).agg(F.sum(weight).alias("n"))
+def _placed(rows: DataFrame) -> DataFrame:
+    """Offsets of matches ``_key, _print, kind, i, gap, size, value``: those of a kind are added up in their order."""
+    # Repeated rows find the same.
+    rows = rows.dropDuplicates(["_key", "_print", "kind", "i"])
+    so_far = Window.partitionBy("_key", "_print", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.col("size")).over(so_far)
+    return rows.select("_key", "_print", "kind", (end - F.col("size")).alias("start"), end.alias("end"), "value")
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` needs it for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def ratio_table(docs: DataFrame, spans: DataFrame, text: str = "text") -> list[float]:
-    """The log-likelihood ratio of each pair of characters; 128 * 128 numbers.
+def _random_spans(docs: DataFrame, models: tuple[list[float], list[float]], odds: float, key: str, text: str) -> DataFrame:
+    """``_key, _print, kind, start, end, value`` of every run whose likelihood ratio exceeds the odds.
 
-    Random strings are the values of base spans, identifiers all words of letters, digits and
-    underscores of all documents that are no candidates themselves.  Rare pairs back off to the frequency of their second character.  The patterns know few kinds of
-    keys, so random strings are half as learnt and half uniform over the alphabet of keys.
+    All runs are scored where the text is read; only texts that hold a secret hand on the lengths of
+    their runs, and runs that are none carry no value.
     """
-    random = spans.filter(F.col("kind") != RANDOM).select(F.col("value").alias("_word"), F.lit(1).cast("bigint").alias("_n"))
-    words = docs.select(F.explode_outer(F.split(F.col(text), "[^A-Za-z0-9_]+")).alias("_word"))
-    key_like = (F.length("_word") >= 16) & F.col("_word").rlike("[0-9]")
-    words = words.filter((F.length("_word") > 1) & ~key_like).groupBy("_word").agg(F.count("*").alias("_n"))
-    tables = []
-    used = [i for i in range(ALPHABET) if chr(i).isalnum() or chr(i) in "+/_.=-"]
-    for pairs, uniform in ((_pairs(random, "_word", "_n"), 0.5), (_pairs(words, "_word", "_n"), 0.0)):
-        count = {r["_pair"]: r["n"] for r in pairs.collect()}  # at most 128 * 128 rows
-        second = {b: 1 + sum(count.get(a * ALPHABET + b, 0) for a in used) for b in used}
-        every, table = sum(second.values()), {}
-        for a in used:
-            total = sum(count.get(a * ALPHABET + b, 0) for b in used)
-            for b in used:
-                seen = (count.get(a * ALPHABET + b, 0) + BACK_OFF * second[b] / every) / (total + BACK_OFF)
-                table[a * ALPHABET + b] = math.log((1 - uniform) * seen + uniform / len(used))
-        tables.append(table)
-    return [tables[0][i] - tables[1][i] if i in tables[0] else 0.0 for i in range(ALPHABET * ALPHABET)]
-
-
-def likelihood_ratio(word: Column, table: list[float]) -> Column:
-    """Sum of the pairs' log-likelihood ratios of a word of ASCII characters."""
-    ratios = F.lit(table).cast("array<double>")
-    code = lambda i: F.ascii(F.substring(word, i, F.lit(1)))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(word) - 1),
-        F.lit(0.0),
-        lambda total, i: total + F.get(ratios, code(i) * ALPHABET + code(i + 1)),
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.col(text).alias("_text"))
+    pattern = f"{_KEY}{{{LEAST},}}"
+    runs = F.regexp_extract_all(F.col("_text"), F.lit(pattern), F.lit(0))
+    scored = F.transform(
+        runs, lambda x: F.struct(F.length(x).alias("size"), F.when(likelihood_ratio(x, models) > math.log(odds), x).alias("value"))
+    )
+
+    def places(found: Column) -> Column:
+        pieces = F.transform(F.split(F.col("_text"), pattern, -1), lambda x: F.length(x))
+        each = F.arrays_zip(found.alias("run"), pieces.alias("gap"))
+        rows = F.transform(
+            F.slice(each, 1, F.size(found)),
+            lambda x, i: F.struct(
+                F.lit(RANDOM).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["run"]["size"].alias("size"), x["run"]["value"].alias("value")
+            ),
+        )
+        return F.when(F.exists(found, lambda x: x["value"].isNotNull()), rows)
+
+    rows = rows.select("_key", "_print", F.explode_outer(_bound(scored, places)).alias("m")).select("_key", "_print", "m.*")
+    return _placed(rows.filter("kind is not null")).filter("value is not null")
+
+
+def _codes(run: Column) -> Column:
+    """Codes of the characters, in one pass over a run of any length."""
+    return F.transform(F.split(run, ""), lambda c: F.ascii(c))
+
+
+def _pairs(runs: DataFrame) -> DataFrame:
+    """Counts ``(_pair, n)`` of neighbouring characters of the runs ``_run``, ``_n`` times each, as a * 128 + b."""
+    edge = F.array(F.lit(EDGE))
+    pairs = lambda codes: F.zip_with(F.concat(edge, codes), F.concat(codes, edge), lambda a, b: a * ALPHABET + b)
+    places = runs.select("_n", F.explode(_bound(_codes(F.col("_run")), pairs)).alias("_pair"))
+    return places.groupBy("_pair").agg(F.sum("_n").alias("n"))
+
+
+def _runs(rows: DataFrame, text: str) -> DataFrame:
+    """How often each run of key characters occurs: ``_run, _n``."""
+    runs = rows.select(F.explode_outer(F.split(F.col(text), _NOT_KEY)).alias("_run"))
+    return runs.filter("_run != ''").groupBy("_run").agg(F.count("*").alias("_n"))
+
+
+def transition_table(count: dict[int, int], uniform: float = 0.0) -> dict[int, float]:
+    """Chance of each key character, or the end, after each key character, or the start; key a * 128 + b.
+
+    Rare pairs back off to the frequency of their second character; ``uniform`` is the share of a draw in
+    which all characters are equally likely, the end staying as learnt.
+    """
+    codes = [EDGE, *KEY_CODES]
+    second = {b: 1 + sum(count.get(a * ALPHABET + b, 0) for a in codes) for b in codes}
+    every, table = sum(second.values()), {}
+    for a in codes:
+        total = sum(count.get(a * ALPHABET + b, 0) for b in codes)
+        seen = {b: (count.get(a * ALPHABET + b, 0) + BACK_OFF * second[b] / every) / (total + BACK_OFF) for b in codes}
+        for b in KEY_CODES:
+            table[a * ALPHABET + b] = (1 - uniform) * seen[b] + uniform * (1 - seen[EDGE]) / len(KEY_CODES)
+        table[a * ALPHABET + EDGE] = seen[EDGE]
+    return table
+
+
+def train(docs: DataFrame, spans: DataFrame, text: str = "text") -> tuple[list[float], list[float]]:
+    """Log-likelihood ratios of all pairs of characters (128 * 128), and shares of character sets (128 * 16).
+
+    Labelled secrets are the values of ``spans``; ordinary runs are those that occur twice or more in all
+    documents, their places inside labelled values not counted: keys that no pattern knows occur once.  The
+    patterns know few kinds of keys, so the random model is half learnt and half uniform over key
+    characters.  A key is drawn from one of the 15 unions of digits, small letters, capitals and marks, all
+    equally likely before; the second table holds the log chance that the next character (or end) is allowed
+    by a union, which the random model divides by, so that digits alone need not pass for a draw of all 67.
+    """
+    # A value may be found by two patterns: once per place.
+    once = spans.groupBy("_key", "_print", "end").agg(F.max(F.struct(F.length("value").alias("size"), "value")).alias("v"))
+    secret = settle(_runs(once.select("v.value"), "value"), "labelled_secrets")
+    ordinary = _runs(docs, text).join(secret.select("_run", F.col("_n").alias("_taken")), "_run", "left")
+    ordinary = ordinary.select("_run", (F.col("_n") - F.coalesce("_taken", F.lit(0))).alias("_n")).filter("_n > 1")
+    counts = [{r["_pair"]: r["n"] for r in _pairs(runs).collect()} for runs in (secret, ordinary)]  # at most 67 * 67 rows each
+    random, plain = transition_table(counts[0], UNIFORM), transition_table(counts[1])
+    ratios = [math.log(random[i] / plain[i]) if i in random else 0.0 for i in range(ALPHABET * ALPHABET)]
+    member = {c: sum(1 << k for k, kind in enumerate(CLASSES) if re.match(kind, chr(c))) for c in KEY_CODES}
+    shares = []
+    for a in range(ALPHABET):
+        for chosen in range(1 << len(CLASSES)):
+            known = a == EDGE or a in member
+            allowed = [EDGE, *[b for b in KEY_CODES if member[b] & chosen]]
+            shares.append(math.log(sum(random[a * ALPHABET + b] for b in allowed)) if known else 0.0)
+    return ratios, shares
+
+
+def likelihood_ratio(run: Column, models: tuple[list[float], list[float]]) -> Column:
+    """Log-likelihood ratio of a run of key characters, random against ordinary."""
+    # (One text that Spark folds to an array; a literal per number takes seconds to plan.)
+    ratios, shares = (F.split(F.lit(",".join(map(repr, m))), ",").cast("array<double>") for m in models)
+    unions = 1 << len(CLASSES)
+    chosen = F.lit(0)
+    for k, kind in enumerate(CLASSES):
+        chosen = chosen + F.when(run.rlike(kind), 1 << k).otherwise(0)
+    first = F.struct(F.lit(EDGE).alias("last"), F.lit(-math.log(unions - 1)).alias("sum"))
+
+    def step(state: Column, code: Column, chosen: Column) -> Column:
+        more = F.get(ratios, state["last"] * ALPHABET + code) - F.get(shares, state["last"] * unions + chosen)
+        return F.struct(code.alias("last"), (state["sum"] + more).alias("sum"))
+
+    return _bound(
+        chosen,
+        lambda union: F.aggregate(
+            F.concat(_codes(run), F.array(F.lit(EDGE))), first, lambda state, code: step(state, code, union), lambda state: state["sum"]
+        ),
     )
 
 
@@ -133,25 +222,27 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", odds:
     Kinds are ``assign``, ``access``, ``hex`` and ``random``; offsets are code points, ``end``
     exclusive; ``value`` is the matched text, of ``assign`` what is assigned.  Spans of different base
     kinds may overlap; a random string that touches a base span is left out.  Null and empty texts hold
-    no secret; rows that repeat key and text give each secret once; a missing key is passed on; an empty
+    no secret, very long ones are scored whole like others; rows that repeat key and text give each secret once; a missing key is passed on; an empty
     table gives an empty table; other columns are not looked at.
     """
     spans = settle(_spans(docs, key, text), "spans")
-    table = ratio_table(docs, spans, text)
+    random = _random_spans(docs, train(docs, spans, text), odds, key, text)
+    spans = spans.unionByName(random)
     base = F.col("kind") != RANDOM
     doc = Window.partitionBy("_key", "_print").orderBy("start")
     before = F.max(F.when(base, F.col("end"))).over(doc.rangeBetween(Window.unboundedPreceding, 0))
     after = F.min(F.when(base, F.col("start"))).over(doc.rangeBetween(0, Window.unboundedFollowing))
     spans = spans.withColumn("_before", before).withColumn("_after", after)
     free = (F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.coalesce("_after", F.col("end")) >= F.col("end"))
-    random = free & (likelihood_ratio(F.col("value"), table) > math.log(odds))
-    return spans.filter(base | random).select(F.col("_key").alias(key), "_print", "kind", "start", "end", "value")
+    return spans.filter(base | free).select(F.col("_key").alias(key), "_print", "kind", "start", "end", "value")
 
 
 def secret_summary(docs: DataFrame, key: str = "doc_id", text: str = "text", odds: float = ODDS) -> DataFrame:
     """Per row of ``docs``: the key, counts by base kind, ``base`` and ``spans`` as kind:start:end lists.
 
-    Lists are ordered by start and then by kind; a text without secrets has empty ones.
+    Lists are ordered by start and then by kind; a text without secrets, a null or an empty one has empty
+    lists and counts of 0.  Every row of ``docs`` gives one row, repeated ones equal rows; a missing key is
+    passed on; an empty table gives an empty table; other columns are not looked at.
     """
     found = find_secrets(docs, key, text, odds)
     order = [kind for kind, *_ in BASE] + [RANDOM]

@@ -1,7 +1,10 @@
 """Secret scans against regular expressions in Python."""
 
+import collections
+import math
 import random
 import re
+import string
 
 import pytest
 from helpers import prose
@@ -48,17 +51,78 @@ def test_base_spans(spark):
         assert r["n_hex"] == want.count("hex") and r["n_assign"] == want.count("assign") and r["n_access"] == want.count("access")
 
 
+def _ratio(run, models):
+    """The likelihood ratio in plain Python."""
+    ratios, shares = models
+    union = sum(1 << k for k, kind in enumerate(secrets.CLASSES) if re.search(kind, run))
+    codes = [0, *map(ord, run), 0]
+    return -math.log(15) + sum(ratios[a * 128 + b] - shares[a * 16 + union] for a, b in zip(codes, codes[1:]))
+
+
+KINDS = {
+    "24 mixed": (string.ascii_letters + string.digits, 24),
+    "20 letters": (string.ascii_letters, 20),
+    "20 small letters": (string.ascii_lowercase, 20),
+    "20 digits": (string.digits, 20),
+    "12 mixed": (string.ascii_letters + string.digits, 12),
+    "8 mixed": (string.ascii_letters + string.digits, 8),
+    "32 base64": (string.ascii_letters + string.digits + "+/", 32),
+}
+
+
 def test_models_find_other_random_strings(spark):
     rng = random.Random(5)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    keys = ["".join(rng.choice(letters) for _ in range(28)) + "7q" for _ in range(20)]
+    keys = {kind: ["".join(rng.choice(letters) for _ in range(n)) for _ in range(40)] for kind, (letters, n) in KINDS.items()}
     plain = [f"{''.join(rng.choice(['reading', 'there', 'nation', 'other']) for _ in range(3))}_2" for _ in range(20)]
-    rows = _rows()[-60:] + [prose(rng, 200) + f" see {k} and" for k in keys] + [f"the {p} {p}" + prose(rng, 40) for p in plain]
+    plain += ["well-considered", "re-reading/nations", "2024-11-05", "reading_of_nations", "otherwise"]
+    rows = _rows()[-60:] + [prose(rng, 200) + f" see {k} and" for some in keys.values() for k in some]
+    rows += [f"the {p} {p} " + prose(rng, 40) for p in plain for _ in range(3)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = secrets._spans(docs, "doc_id", "text")
+    models = secrets.train(docs, spans)
     found = secrets.find_secrets(docs).filter("kind = 'random'").collect()
     values = {r["value"] for r in found}
-    assert values >= set(keys) and not values & set(plain)
+    for kind, some in keys.items():
+        assert len(values & set(some)) >= 36, kind
+    assert not values - {k for some in keys.values() for k in some}
     assert all(rows[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in found)
+    # Whole results: every run that the patterns leave, scored again in Python.
+    base = {}
+    for r in spans.collect():
+        base.setdefault(r["_key"], []).append((r["start"], r["end"]))
+    want = set()
+    for i, text in enumerate(rows):
+        for m in re.finditer("[A-Za-z0-9+/_=-]{8,}", text):
+            apart = all(m.end() <= a or b <= m.start() for a, b in base.get(i, []))
+            if apart and _ratio(m.group(), models) > math.log(secrets.ODDS):
+                want.add((i, m.start(), m.end()))
+    assert {(r["doc_id"], r["start"], r["end"]) for r in found} == want
+
+
+def test_models_from_counts(spark):
+    docs = spark.createDataFrame([(1, "abab token=xyzxyz ab"), (2, "abab secret=xyzxyz ab once"), (None, None)], "doc_id long, text string")
+    models = secrets.train(docs, secrets._spans(docs, "doc_id", "text"))
+    ordinary, labelled = collections.Counter(), collections.Counter()
+    for run in ["abab", "ab"] * 2:
+        ordinary.update(a * 128 + b for a, b in zip([0, *map(ord, run)], [*map(ord, run), 0]))
+    for run in ["xyzxyz"] * 2:
+        labelled.update(a * 128 + b for a, b in zip([0, *map(ord, run)], [*map(ord, run), 0]))
+    random_table, plain = secrets.transition_table(labelled, secrets.UNIFORM), secrets.transition_table(ordinary)
+    for a in (0, ord("a"), ord("z")):
+        assert math.isclose(sum(plain[a * 128 + b] for b in [0, *secrets.KEY_CODES]), 1)
+        assert math.isclose(sum(random_table[a * 128 + b] for b in [0, *secrets.KEY_CODES]), 1)
+        for b in (0, ord("b"), ord("Q")):
+            assert math.isclose(models[0][a * 128 + b], math.log(random_table[a * 128 + b] / plain[a * 128 + b]), abs_tol=1e-9)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    blob = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(300_000))
+    text = prose(rng, 200_000) + " " + blob + " " + prose(rng, 50) + " token=abcdefgh"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, prose(rng, 50))], "doc_id long, text string")
+    got = [(r["start"], r["end"]) for r in secrets.find_secrets(docs).filter("kind = 'random'").collect()]
+    assert got == [(text.index(blob), text.index(blob) + len(blob))]
+    assert {r["n_assign"] for r in secrets.secret_summary(docs).filter("doc_id = 1").collect()} == {1}
 
 
 def test_empty(spark):
