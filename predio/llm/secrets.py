@@ -3,8 +3,8 @@
 Two character models give the chance of each character, or of the end, after the one before.  The
 ordinary one is learnt from the runs of key characters that recur in the documents, less those that
 stand in labelled secrets; the random one from the labelled secrets, which are the values that the patterns
-find.  Every run of 8 or more key characters that touches no pattern's span is scored by both
-models; it is a secret if their log-likelihood ratio exceeds the odds.
+find.  Every run of 8 or more key characters is scored by both models, equal runs once; where it touches
+no pattern's span, it is a secret if their log-likelihood ratio exceeds the odds.
 
 Spans come from splitting a text at its matches: the lengths of pieces and matches add up to
 the offsets, in code points.
@@ -18,6 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from predio.llm.lines import _may_match as may_match
 from predio.scale import settle
 
 # Kinds in order, their patterns, the group measured, its least length, and
@@ -84,7 +85,7 @@ def _spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     least = F.lit(0)
     for kind, _, _, size in BASE:
         least = F.when(F.col("kind") == kind, size).otherwise(least)
-    return rows.filter(F.length("value") >= least)
+    return rows.filter(F.length("value") >= least).drop("i")
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     rows = rows.dropDuplicates(["_key", "_print", "kind", "i"])
     so_far = Window.partitionBy("_key", "_print", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(so_far)
-    return rows.select("_key", "_print", "kind", (end - F.col("size")).alias("start"), end.alias("end"), "value")
+    return rows.select("_key", "_print", "kind", "i", (end - F.col("size")).alias("start"), end.alias("end"), "value")
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -101,32 +102,35 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _random_spans(docs: DataFrame, models: tuple[list[float], list[float]], odds: float, key: str, text: str) -> DataFrame:
-    """``_key, _print, kind, start, end, value`` of every run whose likelihood ratio exceeds the odds.
+def _random_runs(runs: DataFrame, models: tuple[list[float], list[float]], odds: float) -> DataFrame:
+    """``_run, _hash`` of the runs of ``runs`` whose likelihood ratio exceeds the odds; each is scored once."""
+    long = runs.filter(F.length("_run") >= LEAST).filter(likelihood_ratio(F.col("_run"), models) > math.log(odds))
+    return settle(long.select("_run", F.xxhash64("_run").alias("_hash")), "random_runs")
 
-    All runs are scored where the text is read; only texts that hold a secret hand on the lengths of
-    their runs, and runs that are none carry no value.
+
+def _random_spans(docs: DataFrame, random: DataFrame, key: str, text: str) -> DataFrame:
+    """``_key, _print, kind, start, end, value`` of every place where a run of the stored table ``random`` stands.
+
+    Runs are looked up where the text is read; only texts that hold a secret are read again and hand on the
+    lengths of all their runs.
     """
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.col(text).alias("_text"))
     pattern = f"{_KEY}{{{LEAST},}}"
     runs = F.regexp_extract_all(F.col("_text"), F.lit(pattern), F.lit(0))
-    scored = F.transform(
-        runs, lambda x: F.struct(F.length(x).alias("size"), F.when(likelihood_ratio(x, models) > math.log(odds), x).alias("value"))
-    )
-
-    def places(found: Column) -> Column:
-        pieces = F.transform(F.split(F.col("_text"), pattern, -1), lambda x: F.length(x))
-        each = F.arrays_zip(found.alias("run"), pieces.alias("gap"))
-        rows = F.transform(
-            F.slice(each, 1, F.size(found)),
-            lambda x, i: F.struct(
-                F.lit(RANDOM).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["run"]["size"].alias("size"), x["run"]["value"].alias("value")
-            ),
-        )
-        return F.when(F.exists(found, lambda x: x["value"].isNotNull()), rows)
+    each = rows.select("_key", "_print", F.posexplode_outer(runs).alias("i", "_run")).filter("_run is not null")
+    found = may_match(each.withColumn("_hash", F.xxhash64("_run")), random).drop("_hash").join(random.select("_run"), "_run")
+    # Repeated rows find the same.
+    found = settle(found.select("_key", "_print", "i", F.col("_run").alias("value")).distinct(), "random_places")
 
-    rows = rows.select("_key", "_print", F.explode_outer(_bound(scored, places)).alias("m")).select("_key", "_print", "m.*")
-    return _placed(rows.filter("kind is not null")).filter("value is not null")
+    texts = may_match(rows, settle(found.select("_print").distinct(), "texts_with_secrets"), "_print")
+    sizes = F.transform(runs, lambda x: F.length(x))
+    gaps = F.transform(F.split(F.col("_text"), pattern, -1), lambda x: F.length(x))
+    lengths = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"))
+    # (The last piece has no run behind it.)
+    places = texts.select("_key", "_print", F.posexplode_outer(lengths).alias("i", "m")).filter("m.size is not null")
+    placed = _placed(places.select("_key", "_print", F.lit(RANDOM).alias("kind"), "i", "m.gap", "m.size", F.lit(None).cast("string").alias("value")))
+    same = placed["_key"].eqNullSafe(found["_key"]) & (placed["_print"] == found["_print"]) & (placed["i"] == found["i"])
+    return placed.join(found, same).select(placed["_key"], placed["_print"], "kind", "start", "end", found["value"])
 
 
 def _codes(run: Column) -> Column:
@@ -166,7 +170,9 @@ def transition_table(count: dict[int, int], uniform: float = 0.0) -> dict[int, f
     return table
 
 
-def train(docs: DataFrame, spans: DataFrame, text: str = "text") -> tuple[list[float], list[float]]:
+def train(
+    docs: DataFrame, spans: DataFrame, text: str = "text", runs: DataFrame | None = None
+) -> tuple[list[float], list[float]]:
     """Log-likelihood ratios of all pairs of characters (128 * 128), and shares of character sets (128 * 16).
 
     Labelled secrets are the values of ``spans``; ordinary runs are those that occur twice or more in all
@@ -175,11 +181,12 @@ def train(docs: DataFrame, spans: DataFrame, text: str = "text") -> tuple[list[f
     characters.  A key is drawn from one of the 15 unions of digits, small letters, capitals and marks, all
     equally likely before; the second table holds the log chance that the next character (or end) is allowed
     by a union, which the random model divides by, so that digits alone need not pass for a draw of all 67.
+    ``runs`` are the counted runs of ``docs``, where they are stored already.
     """
     # A value may be found by two patterns: once per place.
     once = spans.groupBy("_key", "_print", "end").agg(F.max(F.struct(F.length("value").alias("size"), "value")).alias("v"))
     secret = settle(_runs(once.select("v.value"), "value"), "labelled_secrets")
-    ordinary = _runs(docs, text).join(secret.select("_run", F.col("_n").alias("_taken")), "_run", "left")
+    ordinary = (_runs(docs, text) if runs is None else runs).join(secret.select("_run", F.col("_n").alias("_taken")), "_run", "left")
     ordinary = ordinary.select("_run", (F.col("_n") - F.coalesce("_taken", F.lit(0))).alias("_n")).filter("_n > 1")
     counts = [{r["_pair"]: r["n"] for r in _pairs(runs).collect()} for runs in (secret, ordinary)]  # at most 67 * 67 rows each
     random, plain = transition_table(counts[0], UNIFORM), transition_table(counts[1])
@@ -226,7 +233,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", odds:
     table gives an empty table; other columns are not looked at.
     """
     spans = settle(_spans(docs, key, text), "spans")
-    random = _random_spans(docs, train(docs, spans, text), odds, key, text)
+    runs = settle(_runs(docs, text), "runs")
+    random = _random_spans(docs, _random_runs(runs, train(docs, spans, text, runs), odds), key, text)
     spans = spans.unionByName(random)
     base = F.col("kind") != RANDOM
     doc = Window.partitionBy("_key", "_print").orderBy("start")
