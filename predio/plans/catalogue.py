@@ -31,7 +31,7 @@ from predio.plans import oracles
 from predio.plans.pipelines import clean_and_encode, model_rows
 from predio.scale import new_path, settle
 from predio.schema import HOUSE, HOUSE_FEATURES, OUTLIER_COLUMNS, RESULT_SCHEMA, SALE
-from predio.sources import snapshots, star, tables
+from predio.sources import listing_store, snapshots, star, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -125,6 +125,16 @@ def load_snapshots(spark, folder):
     return snapshots.load_listings(spark, *paths).select(*listing_columns())
 
 
+@_query
+def add_snapshots(spark, folder):
+    """The same snapshots, each added to a store that does not read the ones before."""
+    store = new_path(spark, "store")
+    listing_store.create(spark, store)
+    for path in star.write_snapshots(star.read_listings(spark, folder), new_path(spark, "snapshots")):
+        listing_store.add_snapshot(spark, store, path)
+    return listing_store.read_store(spark, store).select(*listing_columns())
+
+
 @_query
 def encoder_roundtrip(spark, folder):
     path = new_path(spark, "encoder")

@@ -391,6 +391,7 @@ def sql() -> dict[str, str]:
     return {
         "dedup_listings": _with(_LISTINGS, f"SELECT {_LISTING_COLUMNS} FROM dedup"),
         "load_snapshots": _with(_LISTINGS, f"SELECT {_LISTING_COLUMNS} FROM dedup"),
+        "add_snapshots": _with(_LISTINGS, f"SELECT {_LISTING_COLUMNS} FROM dedup"),
         "append_snapshots": _with(
             _LISTINGS,
             "SELECT snapshot_id, count(*) AS n, round(sum(price), 2) AS total_price FROM listings GROUP BY snapshot_id",

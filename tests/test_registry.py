@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 # The other queries are compared by check.py; these cover every kind of operator.
 NAMES = [
-    "sector_counts", "dedup_listings", "load_snapshots", "clean_listings", "rows_removed_per_rule",
+    "sector_counts", "dedup_listings", "load_snapshots", "add_snapshots", "clean_listings", "rows_removed_per_rule",
     "missing_report_share", "column_profile", "trim_by_colonia", "trim_global", "corr_matrix",
     "encode_colonia", "feature_vector", "exact_split", "ridge_search", "baseline_report",
     "segment_vs_general", "dbscan_geo",
