@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds, verified with tolerance for substituted words.
 
 Each mask is laid on every stretch of words and hashes the words at its ones, so a changed
-word under a zero does not matter.  Hashes of the texts that pass a filter of fixed size over
-the benchmark's hashes are joined with them.  A joined pair carries the words around the hit
+word under a zero does not matter.  Hashes of the texts that pass a filter over the
+benchmark's hashes, sized by their number, are joined with them.  A joined pair carries the words around the hit
 on both sides, and is kept if a stretch that covers the hit agrees in enough places.
 """
 
@@ -41,7 +41,9 @@ AROUND = 16
 STRETCH, PERCENT = 16, 80
 #: Benchmark texts with fewer words are not looked for.
 LEAST = 5
-FILTER_BITS = 22
+#: Bits of the filter per seed of the benchmark, and the power of two that bounds them (32 MB): from about
+#: 16 million seeds on, more of the other texts' hashes pass it and go to the join.
+BITS_PER_SEED, MOST_BITS = 16, 28
 WIDE = 2 * AROUND + SPAN
 
 _U = np.uint64
@@ -80,9 +82,33 @@ def _around(hashes: np.ndarray, row: np.ndarray, owner: np.ndarray, at: np.ndarr
     return np.where(real, hashes[np.where(real, place, at[:, None])], _U(0))
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    """Three bits of the filter for each hash."""
-    return np.stack([(hashes >> _U(64 - FILTER_BITS * (k + 1) if k < 2 else 0)) & _U((1 << FILTER_BITS) - 1) for k in range(3)]).astype(np.int64)
+def _filter_bits(seeds: int) -> int:
+    """The filter for so many seeds has 2 to this power bits."""
+    return min(MOST_BITS, max(10, (BITS_PER_SEED * seeds - 1).bit_length()))
+
+
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Three places in a filter of ``2 ** bits`` bits for each hash."""
+    step = (hashes & _U(0xFFFFFFFF)) | _U(1)
+    return np.stack([((hashes >> _U(32)) + _U(k) * step) & _U((1 << bits) - 1) for k in range(3)])
+
+
+def _set_slots(packed: np.ndarray, slots: np.ndarray) -> None:
+    """Set the bits at ``slots`` in a filter of bytes."""
+    slots = np.unique(slots)
+    byte, first = np.unique(slots >> _U(3), return_index=True)
+    if len(byte):
+        one = np.left_shift(1, (slots & _U(7)).astype(np.int64)).astype(np.uint8)
+        packed[byte.astype(np.int64)] |= np.bitwise_or.reduceat(one, first)
+
+
+def _passes(packed: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the hashes all of whose bits are set."""
+    at = np.arange(len(hashes))
+    for slots in _slots(hashes, bits):
+        slot = slots[at]
+        at = at[(packed[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 != 0]
+    return at
 
 
 def _fixed(matrix: np.ndarray) -> pa.Array:
@@ -147,26 +173,27 @@ def overlaps(
     kind = items.schema["_item"].dataType.simpleString()
     test = settle(items.mapInArrow(seed_items, f"_hash bigint, _item {kind}, _least int, _item_words binary"), "seeds")
 
+    distinct = settle(test.select("_hash").distinct(), "seed_hashes")
+    bits = _filter_bits(distinct.count())
+
     def partial_filter(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        part = np.zeros(1 << bits - 3, np.uint8)
         for batch in batches:
-            bits[_slots(batch.column(0).to_numpy().view(_U)).ravel()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            _set_slots(part, _slots(batch.column(0).to_numpy().view(_U), bits).ravel())
+        yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary())], names=["bits"])
 
-    # One filter of fixed size per file of the benchmark's seeds, joined by "or".
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for r in test.select("_hash").distinct().coalesce(8).mapInArrow(partial_filter, "bits binary").toLocalIterator():
-        bits |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    packed = np.packbits(bits).tobytes()
+    # A filter for each of at most 8 parts of the seeds, joined by "or".
+    whole = np.zeros(1 << bits - 3, np.uint8)
+    for r in distinct.coalesce(8).mapInArrow(partial_filter, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(r["bits"], np.uint8)
+    packed = whole.tobytes()
 
     def seed_texts(batches):
-        known = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        known = np.frombuffer(packed, np.uint8)
         for batch, hashes, row in _rows(batches):
             for k, offsets in enumerate(seeds.values()):
                 found, at = _windows(hashes, row, offsets, k)
-                slots = _slots(found)
-                hit = known[slots[0]]
-                hit &= known[slots[1]] & known[slots[2]]
+                hit = _passes(known, found, bits)
                 found, at = found[hit], at[hit]
                 owner = np.searchsorted(row, at, "right") - 1
                 for a in range(0, len(at), 1 << 14):

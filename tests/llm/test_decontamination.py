@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 from helpers import prose
 
 from predio.llm import decontamination as d
@@ -74,3 +75,21 @@ def test_every_placement_of_changed_words(spark):
             docs.append((len(docs), f"before it {text} after it"))
     found = d.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
+def test_filter_passes_all_seeds():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 5000, 300_000):
+        seeds = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        bits = d._filter_bits(n)
+        packed = np.zeros(1 << bits - 3, np.uint8)
+        for part in np.array_split(seeds, 3):
+            d._set_slots(packed, d._slots(part, bits).ravel())
+        slots = d._slots(seeds, bits).ravel().astype(np.int64)
+        plain = np.zeros(1 << bits, bool)
+        plain[slots] = True
+        assert (np.unpackbits(packed, bitorder="little").astype(bool) == plain).all()
+        assert len(d._passes(packed, seeds, bits)) == n
+        others = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+        assert len(d._passes(packed, others, bits)) <= 200
+    assert d._filter_bits(1 << 40) == d.MOST_BITS
