@@ -41,9 +41,9 @@ AROUND = 16
 STRETCH, PERCENT = 16, 80
 #: Benchmark texts with fewer words are not looked for.
 LEAST = 5
-#: Bits of the filter per seed of the benchmark, and the power of two that bounds them (32 MB): from about
-#: 16 million seeds on, more of the other texts' hashes pass it and go to the join.
-BITS_PER_SEED, MOST_BITS = 16, 28
+#: Bits of the filter per seed of the benchmark and bits set by each, so that about 6 in a million other hashes
+#: pass, and the power of two that bounds the filter (32 MB): beyond about 8 million seeds more of them go to the join.
+BITS_PER_SEED, PROBES, MOST_BITS = 32, 8, 28
 WIDE = 2 * AROUND + SPAN
 
 _U = np.uint64
@@ -87,10 +87,15 @@ def _filter_bits(seeds: int) -> int:
     return min(MOST_BITS, max(10, (BITS_PER_SEED * seeds - 1).bit_length()))
 
 
-def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Three places in a filter of ``2 ** bits`` bits for each hash."""
+def _slot(hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The place of each hash's bit ``k`` in a filter of ``2 ** bits`` bits."""
     step = (hashes & _U(0xFFFFFFFF)) | _U(1)
-    return np.stack([((hashes >> _U(32)) + _U(k) * step) & _U((1 << bits) - 1) for k in range(3)])
+    return ((hashes >> _U(32)) + _U(k) * step) & _U((1 << bits) - 1)
+
+
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The places of all bits of each hash."""
+    return np.stack([_slot(hashes, k, bits) for k in range(PROBES)])
 
 
 def _set_slots(packed: np.ndarray, slots: np.ndarray) -> None:
@@ -105,8 +110,8 @@ def _set_slots(packed: np.ndarray, slots: np.ndarray) -> None:
 def _passes(packed: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     """Places of the hashes all of whose bits are set."""
     at = np.arange(len(hashes))
-    for slots in _slots(hashes, bits):
-        slot = slots[at]
+    for k in range(PROBES):
+        slot = _slot(hashes[at], k, bits)
         at = at[(packed[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 != 0]
     return at
 
