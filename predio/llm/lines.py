@@ -4,8 +4,8 @@ A line is parsed to a fixed depth: words with a digit become ``<*>``, and the nu
 and the leading words lead to a leaf.  A leaf has several templates: lines look at the most frequent
 line that shares a pair of words with them, for each of their pairs; one that agrees with no such line
 is a template, lines that agree with it in enough of the other words are the same template with ``<*>``
-where they differ, and the rest is looked at again, in a fixed number of passes whatever the leaf
-holds.  A template found in several documents recurs: its lines stay in the first of them only.
+where they differ, and the rest is looked at again, in a few passes; what they leave is compared by its rarer
+words, with no line left out.  A template found in several documents recurs: its lines stay in the first of them only.
 
 Texts are split once, into a stored table of lines; lines are told apart by 64-bit hashes, and their
 words are compared only in leaves with several lines.
@@ -87,6 +87,53 @@ def _may_match(rows: DataFrame, wanted: DataFrame, column: str = "_hash") -> Dat
     return rows.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(bits), "_bucket").filter(set_bit).drop("_bucket", "_bit", "_bits")
 
 
+def _agreeing(both: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(_hash, _pivot)`` of those whose lines are one template."""
+    both = both.join(texts, "_hash").join(texts.toDF("_of", "_other"), F.col("_pivot._hash") == F.col("_of"))
+    same = F.zip_with(_rest("_line"), _rest("_other"), lambda x, y: F.when(x == y, x))
+    return both.select("_hash", "_pivot", "_line", same.alias("_same")).filter(_alike(F.col("_same"))).select("_hash", "_pivot")
+
+
+def _taken(looked_at: DataFrame, agree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines looked at that agree with none, and the lines that these take, each the most frequent one it can have."""
+    top = settle(looked_at.join(agree.select("_hash").distinct(), "_hash", "left_anti"), "top")
+    taken = agree.join(top.select(F.col("_hash").alias("_of")), F.col("_pivot._hash") == F.col("_of"), "left_semi")
+    return top, settle(taken.groupBy("_hash").agg(F.max("_pivot")["_hash"].alias("_template")), "taken")
+
+
+def _rest_taken(open_rows: DataFrame, texts: DataFrame, assigned: DataFrame) -> DataFrame:
+    """``assigned`` and the lines left by the passes: all that agree with each other are found.
+
+    Lines of a leaf that are one template have more than half of their words after the leading ones in common, so
+    they share one of the rarer half of these: of n words the n // 2 that fewest lines have.  Such lines
+    are compared, however many there are, and templates taken from the most frequent line down.
+    """
+    lines = open_rows.select("_hash", "_rank").distinct().join(texts, "_hash")
+    head = F.xxhash64(F.size(F.split("_line", " ")), F.substring_index("_line", " ", DEPTH))
+    words = lines.select("_hash", "_rank", head.alias("_head"), F.posexplode(_rest("_line")).alias("_at", "_word"))
+    words = settle(words.select("_hash", "_rank", F.xxhash64("_head", "_at", "_word").alias("_word")), "rest")
+    if words.isEmpty():
+        return assigned
+    counts = words.groupBy("_word").agg(F.count("*").alias("_lines")).filter("_lines > 1")
+    # A word that no other line has leads nowhere, but is among the rarest.
+    own = Window.partitionBy("_hash")
+    rarest = words.join(counts, "_word", "left").select(
+        "_hash", "_rank", "_word", "_lines",
+        F.row_number().over(own.orderBy(F.coalesce("_lines", F.lit(1)), "_word")).alias("_nth"), F.count("*").over(own).alias("_all"),
+    )
+    keys = settle(rarest.filter((F.col("_lines") > 1) & (2 * F.col("_nth") <= F.col("_all"))).select("_hash", "_rank", "_word"), "rarest")
+    both = keys.join(keys.select("_word", F.col("_rank").alias("_pivot")), "_word").filter("_rank < _pivot").select("_hash", "_pivot").distinct()
+    agree = settle(_agreeing(both, texts), "agree")
+    # Lines depend on more frequent ones only, so each turn settles those that depend on none.
+    while not agree.isEmpty():
+        top, taken = _taken(agree.select(F.col("_pivot._hash").alias("_hash")).distinct(), agree)
+        assigned = assigned.unionByName(taken)
+        done = settle(top.unionByName(taken.select("_hash")), "done")
+        agree = agree.join(done, "_hash", "left_anti")
+        agree = settle(agree.join(done.toDF("_of"), F.col("_pivot._hash") == F.col("_of"), "left_anti"), "agree")
+    return assigned
+
+
 def _templates(rows: DataFrame, texts: DataFrame) -> DataFrame | None:
     """``(_hash, _template)`` of the lines that join another one of their leaf (``_leaf, _hash, _n, _words, _line``).
 
@@ -94,8 +141,8 @@ def _templates(rows: DataFrame, texts: DataFrame) -> DataFrame | None:
     leading ones, so they agree in some pair.  In a pass every line is compared with the most frequent
     line of each of its pairs (of equally frequent ones that with the largest hash).  A line that others
     look at and that agrees with none it looks at is a template and takes the lines that agree with it, each
-    the most frequent one it can have; both are done, and the next pass looks at the rest.  After
-    ``PASSES`` passes the lines left are templates of their own.
+    the most frequent one it can have; both are done, and the next pass looks at the rest.  The
+    lines left after ``PASSES`` passes are compared with all that can agree with them.
     """
     pairs = F.floor((F.col("_words") - DEPTH) / 2).cast("int")
 
@@ -108,27 +155,21 @@ def _templates(rows: DataFrame, texts: DataFrame) -> DataFrame | None:
     rank = F.struct("_n", "_hash").alias("_rank")
     open_rows = settle(rows.filter(pairs > 1).select("_hash", rank, F.explode(pair).alias("_pair")), "pairs")
     assigned = None
-    for turn in range(PASSES):
+    for _ in range(PASSES):
         # A pair left to one line joins nothing.
         pivots = open_rows.groupBy("_pair").agg(F.max("_rank").alias("_pivot"), F.min("_rank").alias("_low"))
         pivots = settle(pivots.filter("_low <> _pivot").select("_pair", "_pivot"), "pivots")
         if pivots.isEmpty():
             break
         both = open_rows.join(pivots, "_pair").filter("_rank < _pivot").select("_hash", "_pivot").distinct()
-        both = both.join(texts, "_hash").join(texts.toDF("_of", "_other"), F.col("_pivot._hash") == F.col("_of"))
-        same = F.zip_with(_rest("_line"), _rest("_other"), lambda x, y: F.when(x == y, x))
-        agree = settle(
-            both.select("_hash", "_pivot", "_line", same.alias("_same")).filter(_alike(F.col("_same"))).select("_hash", "_pivot"), "agree"
-        )
-        joined = agree.select("_hash").distinct()
+        agree = settle(_agreeing(both, texts), "agree")
         looked_at = pivots.select(F.col("_pivot._hash").alias("_hash")).distinct()
-        top = settle(looked_at.join(joined, "_hash", "left_anti"), "top")
-        taken = agree.join(top.select(F.col("_hash").alias("_of")), F.col("_pivot._hash") == F.col("_of"), "left_semi")
-        taken = settle(taken.groupBy("_hash").agg(F.max("_pivot")["_hash"].alias("_template")), "taken")
+        top, taken = _taken(looked_at, agree)
         assigned = taken if assigned is None else assigned.unionByName(taken)
-        if turn + 1 < PASSES:
-            done = top.unionByName(taken.select("_hash"))
-            open_rows = settle(open_rows.join(pivots.select("_pair"), "_pair", "left_semi").join(done, "_hash", "left_anti"), "left")
+        done = top.unionByName(taken.select("_hash"))
+        open_rows = settle(open_rows.join(pivots.select("_pair"), "_pair", "left_semi").join(done, "_hash", "left_anti"), "left")
+    else:
+        assigned = _rest_taken(open_rows, texts, assigned)
     return assigned
 
 

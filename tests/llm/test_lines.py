@@ -172,3 +172,40 @@ def test_bitmaps_pass_all_wanted_hashes(spark, monkeypatch):
     assert left.count() < 20_000
     monkeypatch.setattr(lines, "FILTER_BYTES", 1)
     assert lines._may_match(rows, wanted).count() == 100_000
+
+
+def test_lines_left_by_the_passes_find_their_template(spark, monkeypatch):
+    """Many templates that share a pair: each pass settles one of them, and the rest is not dropped."""
+    rng = random.Random(9)
+    word = lambda: "".join(prose(rng, 3).split())
+    families = [[word() for _ in range(8)] for _ in range(30)]
+    rows = []
+    for f in families:
+        # All pairs after the first differ within a family; more than half of its words are equal.
+        for turn in range(2):
+            rest = [w if i < 2 or i % 3 or not turn else word() for i, w in enumerate(f)]
+            rows.append("the new door is open " + " ".join(rest))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for passes in (1, 4):
+        monkeypatch.setattr(lines, "PASSES", passes)
+        assert lines.dedup_lines(docs).filter("n_dropped > 0").count() == len(families), passes
+
+
+def test_the_rest_alone_finds_all_that_agree(spark, monkeypatch):
+    """Without passes that settle lines, the most frequent line down takes what agrees with it."""
+    rng = random.Random(10)
+    words = ["red", "green", "blue", "oak", "elm", "fir"]
+    made = sorted({" ".join(["the", "new", "door", *(rng.choice(words) for _ in range(6))]) for _ in range(150)})
+    frame = spark.createDataFrame([(x, rng.randint(1, 3)) for x in made], "_line string, _n long")
+    texts = frame.select(F.xxhash64("_line").alias("_hash"), "_line")
+    open_rows = frame.select(F.xxhash64("_line").alias("_hash"), F.struct("_n", F.xxhash64("_line").alias("_hash")).alias("_rank"))
+    got = lines._rest_taken(open_rows, texts, spark.createDataFrame([], "_hash long, _template long"))
+    rank = {r["_line"]: (r["_n"], r["h"]) for r in frame.select("*", F.xxhash64("_line").alias("h")).collect()}
+    want, templates = {}, []
+    for x in sorted(made, key=rank.get, reverse=True):
+        own = [t for t in templates if alike(x.split(" "), t.split(" "))]
+        if own:
+            want[rank[x][1]] = rank[max(own, key=rank.get)][1]
+        else:
+            templates.append(x)
+    assert {r["_hash"]: r["_template"] for r in got.collect()} == want and len(want) > 20
