@@ -6,10 +6,12 @@ trees of a forest, and a tree whose nodes below a minimum size stay whole are al
 unpruned growth while rows descend.  So a grid of trees x depths x minimum splits x features x leaf
 sizes costs one growth per (features, leaf size) and cross-validation run.
 
-A segment of up to ``LOCAL_ROWS`` rows is grown in one task per growth and run.  A larger one is cut
-into chunks: every chunk adds up the histograms of the nodes that still hold more rows (one row per
-node and chunk, whatever the number of rows), the summed histograms decide the split, and nodes that
-have become small are finished in one task each.  No task ever holds more than that many rows.
+A segment of up to ``LOCAL_ROWS`` rows is grown in one task per growth and run, fewer trees at a time the
+more rows it has.  A larger one is cut into chunks of ``CHUNK_ROWS``: every chunk adds up the histograms of
+the nodes that still hold more than ``NODE_ROWS`` rows (one row per node and chunk, whatever the number of
+rows), the summed histograms decide the split, and nodes that have become small are finished in one task
+each.  Parts of chunks give the rows of all trees for that, about ``EMITTED`` rows a task.  So what a task
+holds is bounded whatever the size of a segment.
 
 Features are binned at per-segment quantiles and rows are bootstrapped with Poisson(1) weights from
 a hash of the row key, so that results do not depend on the partitioning.  Row counts of nodes are
@@ -51,8 +53,10 @@ MIN_SPLITS = (2,)
 LEAF_ROWS = (1,)
 FOLDS = 3
 BINS = 32
-LOCAL_ROWS = 50_000
-SLICE = 16  # trees grown at once
+LOCAL_ROWS = 2_000_000  # of a segment, in one task: about 200 bytes each
+CHUNK_ROWS, NODE_ROWS = 50_000, 500_000  # of a larger one: in a chunk, and in a node that one task finishes
+SLICE, SLICE_ROWS = 16, 800_000  # trees grown at once, and their rows together
+EMITTED = 1_000_000  # rows in trees that one task gives, about
 _DECIDE, _FINISH, _LEAF = -3, -2, -1  # instead of a feature: what a node without a split waits for
 
 
@@ -183,6 +187,11 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(4 * cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
+def _slice(rows: int) -> int:
+    """Trees that are grown at once on so many rows."""
+    return max(1, min(SLICE, SLICE_ROWS // max(rows, 1)))
+
+
 class Rows:
     """Rows of one segment as arrays; the row order does not matter but is made definite."""
 
@@ -194,7 +203,7 @@ class Rows:
         self.test, self.fold = column("is_test").astype(bool)[order], column("fold")[order]
         flat = table.column("_bins").combine_chunks()
         flat = pa.concat_arrays([c.flatten() for c in flat.chunks]) if isinstance(flat, pa.ChunkedArray) else flat.flatten()
-        self.bins = flat.to_numpy(zero_copy_only=False).reshape(-1, features).astype(np.int64)[order]
+        self.bins = flat.to_numpy(zero_copy_only=False).reshape(-1, features)[order]
         self.seed = int(table.column("_seed")[0].as_py()) if len(order) else 0
 
     def sides(self, run: int, folds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,16 +235,19 @@ def _score_local(rows: DataFrame, grid: Grid, growths: list[Growth], features: i
         unit = key[1].as_py()
         growth, run = growths[unit // (folds + 1)], unit % (folds + 1)
         data = Rows(table, features)
+        del table
+        slice_ = _slice(len(data.y))
         train, held = data.sides(run, folds)
+        own_bins, own_y, own_k = data.bins[train], data.y[train], data.k[train]
         y_held, held_bins = data.y[held], data.bins[held]
         total = np.zeros((len(grid.depths), len(grid.min_splits), len(y_held)))
         known = np.zeros_like(total)
         scores = np.full((len(grid.trees), len(grid.depths), len(grid.min_splits)), None)
         errors = scores.copy()
         done = 0
-        for stop in sorted({*range(SLICE, max(grid.trees), SLICE), *grid.trees}):
+        for stop in sorted({*range(slice_, max(grid.trees), slice_), *grid.trees}):
             _, values = tree_growth.grow_slice(
-                data.bins[train], data.y[train], data.k[train], range(done, stop), growth, data.seed, run,
+                own_bins, own_y, own_k, range(done, stop), growth, data.seed, run,
                 held_bins, grid.depths, grid.min_splits,
             )
             total += np.nansum(values, axis=2)
@@ -281,9 +293,10 @@ def _nodes_local(rows: DataFrame, choice: DataFrame, growths: list[Growth], feat
         data = Rows(table, features)
         g = growths[unit // (folds + 1)]
         g = Growth(depth, g.leaf_rows, g.subset, least, g.bins)
-        levels, _ = tree_growth.grow_slice(
-            data.bins, data.y, data.k, range(begin, min(begin + SLICE, trees)), g, data.seed, folds, keep=True
-        )
+        levels, end, step = [], min(begin + SLICE, trees), _slice(len(data.y))
+        for first in range(begin, end, step):
+            some = range(first, min(first + step, end))
+            levels += tree_growth.grow_slice(data.bins, data.y, data.k, some, g, data.seed, folds, keep=True)[0]
         return _node_table(key[0], unit, levels)
 
     dealt = rows.filter("NOT is_test").join(choice, "_segment").withColumn(
@@ -326,9 +339,12 @@ class Descent:
         return at
 
 
-def _by_chunk(rows: DataFrame, nodes: DataFrame, chunks: DataFrame, work, schema: str) -> DataFrame:
-    """``work(segment, rows, {unit: (Descent, max_depth, min_split)})`` for every chunk of the large segments."""
+def _by_chunk(rows: DataFrame, nodes: DataFrame, chunks: DataFrame, work, schema: str, parts: int = 1) -> DataFrame:
+    """``work(segment, rows, {unit: (Descent, max_depth, min_split)})`` for every part of every chunk of the large segments."""
     dealt = nodes.join(chunks, "_segment").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+    dealt = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_k", F.lit("part")), F.lit(parts)).cast("int"))
+    keys = ["_segment", "_chunk", "_part"]
 
     def both(key, left, right):
         units = {}
@@ -338,10 +354,10 @@ def _by_chunk(rows: DataFrame, nodes: DataFrame, chunks: DataFrame, work, schema
             units[unit] = (Descent(own), own.column("max_depth")[0].as_py(), own.column("min_split")[0].as_py())
         return work(key[0], left, units)
 
-    return rows.groupBy("_segment", "_chunk").cogroup(dealt.groupBy("_segment", "_chunk")).applyInArrow(both, schema)
+    return rows.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(both, schema)
 
 
-def _decide(sums: DataFrame, growths: list[Growth], features: int, bins: int, folds: int, local_rows: int) -> DataFrame:
+def _decide(sums: DataFrame, growths: list[Growth], features: int, bins: int, folds: int, node_rows: int) -> DataFrame:
     """The splits of nodes from the histograms of all chunks, and their children."""
     segment_type = sums.schema["_segment"].dataType.simpleString()
 
@@ -365,7 +381,7 @@ def _decide(sums: DataFrame, growths: list[Growth], features: int, bins: int, fo
         if feature >= 0:
             left = hn[feature, 0, : cut + 1].sum()
             for child, n in ((2 * node, left), (2 * node + 1, best.n[0] - left)):
-                out.append((child, 0.0, 0.0, _DECIDE if n > local_rows else _FINISH, 0, 0.0))
+                out.append((child, 0.0, 0.0, _DECIDE if n > node_rows else _FINISH, 0, 0.0))
         size = len(out)
         columns = [pa.array([segment.as_py()] * size, segment.type), pa.array([unit] * size, pa.int32()), pa.array([tree] * size, pa.int32())]
         kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64())
@@ -378,8 +394,8 @@ def _decide(sums: DataFrame, growths: list[Growth], features: int, bins: int, fo
     )
 
 
-def _top_nodes(rows, chunks, roots, growths, features, bins, folds, local_rows) -> DataFrame:
-    """The upper nodes of all trees of large segments, down to those with at most ``local_rows`` rows."""
+def _top_nodes(rows, chunks, roots, growths, features, bins, folds, node_rows) -> DataFrame:
+    """The upper nodes of all trees of large segments, down to those with at most ``node_rows`` rows."""
     segment_type = rows.schema["_segment"].dataType.simpleString()
     schema = f"_segment {segment_type}, _unit int, tree int, node bigint, sums array<double>, max_depth int, min_split int, seed bigint"
 
@@ -414,13 +430,13 @@ def _top_nodes(rows, chunks, roots, growths, features, bins, folds, local_rows)
     nodes = settle(roots, "top_nodes")
     while not nodes.filter(F.col("feature") == _DECIDE).isEmpty():  # at most one turn per depth
         sums = _by_chunk(rows, nodes, chunks, histograms, schema)
-        decided = _decide(sums, growths, features, bins, folds, local_rows)
+        decided = _decide(sums, growths, features, bins, folds, node_rows)
         nodes = settle(nodes.filter(F.col("feature") != _DECIDE).unionByName(decided), "top_nodes")
     return nodes
 
 
-def _entries(rows, nodes, chunks, grid: Grid, features: int, folds: int, held_out: bool) -> DataFrame:
-    """Rows in trees, with the upper node they end at: all that finishing a node needs.
+def _entries(rows, nodes, chunks, grid: Grid, features: int, folds: int, held_out: bool, trees: int) -> DataFrame:
+    """Rows in ``trees`` trees in all, with the upper node they end at: all that finishing a node needs.
 
     Held-out rows carry what they met so far: ``value`` and ``going`` per minimum split, ``met`` per
     depth and minimum split (NaN below the node).
@@ -456,10 +472,13 @@ def _entries(rows, nodes, chunks, grid: Grid, features: int, folds: int, held_ou
                     nothing = np.zeros((size, 0))
                     value = state.value.T if is_held else nothing
                     going = state.going.T if is_held else nothing.astype(bool)
-                    met = (
-                        np.stack([state.at.get(d, np.full_like(state.value, np.nan)) for d in grid.depths]).reshape(-1, size).T
-                        if is_held else nothing
-                    )
+                    met = nothing
+                    if is_held:
+                        # Below their node, other rows may have been recorded, but not these.
+                        at_depth = np.frexp(descent.node[at[which]])[1] - 1
+                        never = np.full_like(state.value, np.nan)
+                        met = np.stack([np.where(d < at_depth, state.at.get(d, never), np.nan) for d in grid.depths])
+                        met = met.reshape(-1, size).T
                     out.append(
                         pa.table(
                             [
@@ -480,7 +499,7 @@ def _entries(rows, nodes, chunks, grid: Grid, features: int, folds: int, held_ou
         kinds = [segment.type, *[pa.int32()] * 2, pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([*[pa.array([], t) for t in kinds], pa.array([], pa.list_(pa.int8())), empty, pa.array([], pa.list_(pa.bool_())), empty], names=names)
 
-    return _by_chunk(rows, nodes, chunks, emit, schema)
+    return _by_chunk(rows, nodes, chunks, emit, schema, max(1, -(-CHUNK_ROWS * trees // EMITTED)))
 
 
 def _finish(entries: DataFrame, grid: Grid, growths: list[Growth], features: int, folds: int, held_out: bool) -> DataFrame:
@@ -534,10 +553,11 @@ def _finish(entries: DataFrame, grid: Grid, growths: list[Growth], features: int
     return entries.groupBy("_segment", "_unit", "tree", "node").applyInArrow(finish, schema)
 
 
-def _score_large(rows, chunks, roots, grid: Grid, growths, features, bins, folds, local_rows) -> DataFrame:
+def _score_large(rows, chunks, roots, grid: Grid, growths, features, bins, folds, node_rows) -> DataFrame:
     """As ``_score_local``, of segments in several chunks."""
-    tops = _top_nodes(rows, chunks, roots, growths, features, bins, folds, local_rows)
-    entries = settle(_entries(rows, tops, chunks, grid, features, folds, True), "entries")
+    tops = _top_nodes(rows, chunks, roots, growths, features, bins, folds, node_rows)
+    trees = max(grid.trees) * len(growths) * (folds + 1)
+    entries = settle(_entries(rows, tops, chunks, grid, features, folds, True, trees), "entries")
     # A held-out row may end at a decided leaf, where nothing is left to grow; those need no task of their own.
     values = _finish(entries.filter(F.col("feature") == _FINISH), grid, growths, features, folds, True)
     wide = len(grid.depths) * len(grid.min_splits)
@@ -565,17 +585,14 @@ def _pack(nodes: DataFrame, edges: DataFrame, segment: str, features: int) -> Da
     def pack(key, table):
         tree, node = table.column("tree").to_numpy(), table.column("node").to_numpy()
         order = np.lexsort((node, tree))
-        tree, node = tree[order], node[order]
-        feature, cut, value, gain = (table.column(c).to_numpy()[order] for c in ("feature", "cut", "mean", "gain"))
-        edge = table.column("_edges")[0].as_py()
+        tree, node = tree[order].astype(np.int64), node[order]
+        feature, threshold, value, gain = (table.column(c).to_numpy()[order] for c in ("feature", "threshold", "mean", "gain"))
         roots = np.flatnonzero(node == 1)
         first = roots[np.searchsorted(tree[roots], tree)]
-        left = np.full(len(node), -1)
         # Siblings stand side by side in the order of tree and node.
-        which = {(t, k): i for i, (t, k) in enumerate(zip(tree.tolist(), node.tolist()))}
-        for i in np.flatnonzero(feature >= 0).tolist():
-            left[i] = which[tree[i], 2 * node[i]]
-        threshold = [edge[f][c] if f >= 0 else 0.0 for f, c in zip(feature.tolist(), cut.tolist())]
+        inner = np.flatnonzero(feature >= 0)
+        left = np.full(len(node), -1, np.int32)
+        left[inner] = np.searchsorted(tree << 40 | node, tree[inner] << 40 | 2 * node[inner])
         split = feature >= 0
         gains = np.zeros((len(roots), features))
         np.add.at(gains, (np.searchsorted(roots, first[split]), feature[split]), gain[split])
@@ -583,12 +600,12 @@ def _pack(nodes: DataFrame, edges: DataFrame, segment: str, features: int) -> Da
         shares = np.divide(gains, whole, out=np.zeros_like(gains), where=whole > 0).sum(axis=0)
         importances = shares / shares.sum() if shares.sum() > 0 else shares
         deepest = int(node.max()).bit_length() - 1
-        ints, doubles = pa.list_(pa.int32()), pa.list_(pa.float64())
+        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+        ints, doubles = pa.int32(), pa.float64()
         return pa.table(
             [
-                pa.array([key[0].as_py()], key[0].type), pa.array([roots.tolist()], ints), pa.array([feature.tolist()], ints),
-                pa.array([threshold], doubles), pa.array([left.tolist()], ints), pa.array([value.tolist()], doubles),
-                pa.array([list(range(deepest))], ints), pa.array([importances.tolist()], doubles),
+                pa.array([key[0].as_py()], key[0].type), one(roots, ints), one(feature, ints), one(threshold, doubles),
+                one(left, ints), one(value, doubles), one(np.arange(deepest), ints), one(importances, doubles),
             ],
             names=[segment, "roots", "feature", "threshold", "left", "value", "steps", "importances"],
         )
@@ -597,7 +614,10 @@ def _pack(nodes: DataFrame, edges: DataFrame, segment: str, features: int) -> Da
         f"`{segment}` {segment_type}, roots array<int>, feature array<int>, threshold array<double>, left array<int>,"
         " value array<double>, steps array<int>, importances array<double>"
     )
-    return nodes.join(edges, "_segment").groupBy("_segment").applyInArrow(pack, schema)
+    # Tasks get a threshold for each node, not the segment's edges.
+    threshold = F.when(F.col("feature") >= 0, F.get(F.get("_edges", F.col("feature")), F.col("cut"))).otherwise(0.0)
+    cut = nodes.join(edges, "_segment").select("_segment", "tree", "node", "feature", threshold.alias("threshold"), "mean", "gain")
+    return cut.groupBy("_segment").applyInArrow(pack, schema)
 
 
 # --- the search ---------------------------------------------------------------------
@@ -626,9 +646,10 @@ def qualify_segments_forest(
         F.col("fold").cast("int").alias("fold"),
     ]
     binned = settle(_binned(rows, edges, segment, features, extra), "binned")
-    sizes = settle(
-        binned.groupBy("_segment").agg(F.ceil(F.count("*") / local_rows).cast("int").alias("_chunks")), "sizes"
-    )
+    chunk_rows, node_rows = min(local_rows, CHUNK_ROWS), min(local_rows, NODE_ROWS)
+    n = F.count("*")
+    count = F.when(n > local_rows, F.ceil(n / chunk_rows)).otherwise(1).cast("int")
+    sizes = settle(binned.groupBy("_segment").agg(count.alias("_chunks")), "sizes")
     small = binned.join(sizes.filter("_chunks = 1"), "_segment", "left_semi").select(*_ROW)
     chunks = sizes.filter("_chunks > 1")
     any_large = not chunks.isEmpty()
@@ -642,7 +663,7 @@ def qualify_segments_forest(
         units = F.explode(F.sequence(F.lit(0), F.lit(len(growths) * (folds + 1) - 1)))
         start = chunks.select("_segment", units.alias("_unit"), F.lit(max(grid.trees)).alias("trees"), F.lit(max(grid.depths)).alias("max_depth"), F.lit(min(grid.min_splits)).alias("min_split"))
         scored = scored.unionByName(
-            _score_large(large, chunks, _roots(start), grid, growths, len(features), bins, folds, local_rows)
+            _score_large(large, chunks, _roots(start), grid, growths, len(features), bins, folds, node_rows)
         )
     scored = settle(scored, "scored")
     searched = settle(_searched(scored, grid, folds), "searched")
@@ -657,8 +678,8 @@ def qualify_segments_forest(
     nodes = _nodes_local(small, choice, growths, len(features), folds)
     if any_large:
         start = chunks.join(choice, "_segment").select("_segment", "_unit", "trees", F.col("depth").alias("max_depth"), "min_split")
-        tops = _top_nodes(large, chunks, _roots(start), growths, len(features), bins, folds, local_rows)
-        entries = _entries(large, tops, chunks, grid, len(features), folds, False)
+        tops = _top_nodes(large, chunks, _roots(start), growths, len(features), bins, folds, node_rows)
+        entries = _entries(large, tops, chunks, grid, len(features), folds, False, max(grid.trees))
         below = _finish(entries, grid, growths, len(features), folds, False)
         nodes = nodes.unionByName(below).unionByName(tops.filter(F.col("feature") >= _LEAF).drop("max_depth", "min_split"))
     packed = settle(_pack(settle(nodes, "nodes"), edges, segment, len(features)), "packed")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+NODES = 1 << 12  # nodes whose splits are compared at once
 _U = np.uint64
 # --- fixed values: the primes of 64-bit xxHash --------------------------------
 _P1, _P2, _P3, _P5 = (_U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -70,20 +71,26 @@ class BestSplit:
 
     def offer(self, feature: int, hn: np.ndarray, hs: np.ndarray, allowed: np.ndarray | None) -> None:
         """``hn`` and ``hs``: sums of weights and of weighted labels per node and bin."""
+        for at in range(0, len(self.n), NODES):
+            own = slice(at, at + NODES)
+            self._offer(own, feature, hn[own], hs[own], None if allowed is None else allowed[own])
+
+    def _offer(self, own: slice, feature: int, hn: np.ndarray, hs: np.ndarray, allowed: np.ndarray | None) -> None:
+        n, s = self.n[own], self.s[own]
         nl, sl = np.cumsum(hn, axis=1)[:, :-1], np.cumsum(hs, axis=1)[:, :-1]
-        nr, sr = self.n[:, None] - nl, self.s[:, None] - sl
+        nr, sr = n[:, None] - nl, s[:, None] - sl
         least = max(self.growth.leaf_rows, 1)
-        fits = (nl >= least) & (nr >= least) & (self.n >= self.growth.min_split)[:, None]
+        fits = (nl >= least) & (nr >= least) & (n >= self.growth.min_split)[:, None]
         if allowed is not None:
             fits &= allowed[:, feature, None]
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(fits, sl * sl / nl + sr * sr / nr - self.parent[:, None], -np.inf)
+            gain = np.where(fits, sl * sl / nl + sr * sr / nr - self.parent[own, None], -np.inf)
         at = gain.argmax(axis=1)
         best = gain[np.arange(len(at)), at]
-        better = best > self.gain
-        self.gain = np.where(better, best, self.gain)
-        self.feature[better] = feature
-        self.cut[better] = at[better]
+        better = best > self.gain[own]
+        self.gain[own] = np.where(better, best, self.gain[own])
+        self.feature[own][better] = feature
+        self.cut[own][better] = at[better]
 
 
 @dataclass

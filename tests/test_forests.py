@@ -125,3 +125,51 @@ def test_table_wide_search(prices):
     assert quality.count() == 1 and row.trees in (2, 4) and row.depth in (2, 5) and row.score > 0.5
     scored = forest.transform(prices.withColumn("_all", F.lit("all")))
     assert scored.filter("prediction IS NULL").count() == 0
+
+
+def test_parts_of_chunks_equal_one_task(prices, monkeypatch):
+    """Chunks that give the rows of their trees in several parts grow the same forests."""
+    quality, forest = search(prices)
+    monkeypatch.setattr(sf, "EMITTED", 400_000)
+    chunked, other = search(prices, local_rows=60)
+    want, got = (q.toPandas().set_index("colonia").sort_index() for q in (quality, chunked))
+    pd.testing.assert_frame_equal(got, want, check_exact=False, rtol=1e-9)
+    a, b = (f.transform(prices).select("sku", "prediction").toPandas().set_index("sku").sort_index() for f in (forest, other))
+    np.testing.assert_allclose(a.prediction, b.prediction, rtol=1e-9)
+
+
+def test_splits_compared_in_blocks_take_little_memory():
+    """Many nodes at once: temporary tables of a block of nodes, and the splits of one node alone."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    nodes, bins = 1 << 16, 32
+    growth = Growth(20, 1, 1, 2, bins)
+    hn, hs = rng.integers(0, 3, (nodes, bins)).astype(float), rng.normal(0, 1, (nodes, bins))
+    best = tree_growth.BestSplit(hn.sum(axis=1), hs.sum(axis=1), growth)
+    tracemalloc.start()
+    best.offer(0, hn, hs, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < hn.nbytes
+    for i in (0, 4095, 4096, nodes - 1):
+        one = tree_growth.BestSplit(hn[i : i + 1].sum(axis=1), hs[i : i + 1].sum(axis=1), growth)
+        one.offer(0, hn[i : i + 1], hs[i : i + 1], None)
+        assert (one.feature[0], one.cut[0]) == (best.feature[i], best.cut[i])
+
+
+def test_packing_gets_no_edges(prices):
+    """A node comes to its packing task with one threshold, not with all edges of its segment."""
+    _, forest = search(prices, sf.Grid((2,), (3,)))
+    nodes = prices.sparkSession.createDataFrame(
+        [("A", 0, 1, 2.0, 5.0, 0, 1, 3.0), ("A", 0, 3, 1.0, 6.0, -1, 0, 0.0), ("A", 0, 2, 1.0, 4.0, -1, 0, 0.0)],
+        "_segment string, tree int, node long, n double, mean double, feature int, cut int, gain double",
+    )
+    edges = prices.sparkSession.createDataFrame([("A", [[0.5, 1.5], [2.5]])], "_segment string, _edges array<array<double>>")
+    packed = sf._pack(nodes, edges, "colonia", 2)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    grouped = next(x for x in plan.split("\n") if "FlatMapGroupsInArrow" in x)
+    assert "_edges" not in grouped and "threshold" in grouped
+    row = packed.first()
+    assert (row.roots, row.feature, row.threshold, row.left) == ([0], [0, -1, -1], [1.5, 0.0, 0.0], [1, -1, -1])
+    assert (row.value, row.steps, row.importances) == ([5.0, 4.0, 6.0], [0], [1.0, 0.0])
