@@ -7,7 +7,7 @@ A store is a folder with
 ``bits/load=…``     a bitmap of the hashes of all keys up to that snapshot, in buckets of 32768 bits,
 ``log``             one row per added snapshot, in order: its load, rows and size of the bitmap.
 
-Adding a snapshot reads that snapshot.  Keys whose bit is not set are new; only if other keys are
+Adding a snapshot reads that snapshot, first its keys and then its records.  Keys whose bit is not set are new; only if other keys are
 left are they looked up in ``keys``.  Records and older snapshot files are never read again.  The log
 row is written last, so a load that was broken off counts for nothing and can be repeated.
 One writer at a time may add to a store.
@@ -91,13 +91,18 @@ def add_snapshot(
     """
     log, load = _log(spark, store), uuid.uuid4().hex
     order = [c for c in ROW_ORDER if c != "snapshot_id"]
-    rows = keep_first(read_snapshot(spark, path, schema, layout, longitude), order, key).drop(*order)
-    fresh = settle(rows, "snapshot")
-    known = _known(spark, store, log, fresh, key)
-    new = fresh if known is None else fresh.join(known, fresh[key].eqNullSafe(known[key]), "left_anti")
+    read = read_snapshot(spark, path, schema, layout, longitude)
+    known = _known(spark, store, log, settle(read.select(key).distinct(), "snapshot"), key)
+    new = keep_first(read, order, key).drop(*order)
+    if known is not None:
+        # An equality keeps the rows where the choice of the first one has put them; it never holds for a missing key.
+        missing_known = not known.filter(F.col(key).isNull()).isEmpty()
+        new = new.join(known, key, "left_anti")
+        if missing_known:
+            new = new.filter(F.col(key).isNotNull())
     new.write.parquet(f"{store}/records/load={load}")
 
-    records = spark.read.schema(fresh.schema).parquet(f"{store}/records/load={load}")
+    records = spark.read.schema(new.schema).parquet(f"{store}/records/load={load}")
     records.select(key).write.parquet(f"{store}/keys/load={load}")
     keys = spark.read.schema(records.select(key).schema).parquet(f"{store}/keys/load={load}")
     n = keys.count()

@@ -6,7 +6,7 @@ import pytest
 
 from predio.operators import dedup
 from predio.plans import catalogue
-from predio.sources import star
+from predio.sources import listing_store, snapshots, star
 
 _DAY = datetime.date(2024, 5, 6)
 
@@ -49,3 +49,29 @@ def test_no_text_of_a_part_is_shuffled_by_sku(spark, tables):
     plan = catalogue.listings(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Window"):]
     assert "p_name" not in below[: below.index("Relation")]
+
+
+def test_snapshots_are_compressed_and_keep_their_order(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(star, "FILE_RECORDS", 2)
+    raw = star.read_listings(spark, tables)
+    paths = star.write_snapshots(raw, str(tmp_path / "snapshots"))
+    files = [f for f in (tmp_path / "snapshots").rglob("*.json*") if not f.name.startswith(".")]
+    assert len(files) >= raw.count() / 2 and all(f.name.endswith(".json.gz") for f in files)
+    got = snapshots.load_listings(spark, *paths)
+    want = catalogue.listings(spark, tables)
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_store_reads_the_keys_of_a_snapshot_then_its_records(spark, tables, tmp_path, monkeypatch):
+    """No table of whole records is stored but the one of new records; missing keys are known too."""
+    made, real = [], listing_store.settle
+    monkeypatch.setattr(listing_store, "settle", lambda df, label="table": made.append(df.columns) or real(df, label))
+    store, raw = str(tmp_path / "store"), star.read_listings(spark, tables)
+    listing_store.create(spark, store)
+    paths = star.write_snapshots(raw, str(tmp_path / "snapshots"))
+    added = [listing_store.add_snapshot(spark, store, p) for p in [*paths, paths[0], paths[-1]]]
+    assert sum(added) == 4 and added[-2:] == [0, 0]
+    assert made and all(c == ["sku"] for c in made)
+    want = catalogue.listings(spark, tables)
+    got = listing_store.read_store(spark, store).select(*want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
