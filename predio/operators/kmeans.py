@@ -5,6 +5,9 @@ distance from the points drawn so far, the drawn points are weighted by the poin
 and k-means++ picks k of these.  A Lloyd pass adds up the points nearest to each centre of each
 restart that still moves; per task and centre it gives one row.  On the driver there are only
 centres and drawn points: a few times k for each restart, whatever the data.
+
+Points are stored once in blocks of near ones, spread over all cores.  A block is compared only with
+centres that can be nearest to a point of its bounding box, which is exact.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from predio.operators.tree_growth import hash_int
+from predio.scale import settle
 
 # --- fixed values: as the usual k-means ----------------------------------------
 CLUSTERS = 100
@@ -25,7 +29,10 @@ PASSES = 300
 TOLERANCE = 1e-4
 # -------------------------------------------------------------------------------
 _DRAWS = 5  # passes that draw starting points, about twice k each
-_BLOCK = 1 << 12
+_BLOCK = 1 << 9  # points compared with the same centres
+_TASK = 1 << 12  # points worth a task of their own
+_MOST = 1 << 18  # points of a stored part
+_SORTED = 1 << 16  # points that a task puts in order at a time
 
 
 @dataclass(frozen=True)
@@ -39,13 +46,15 @@ class KMeansModel:
 
     def nearest(self, columns: list[str]) -> Column:
         """The number of the nearest centre (the first of equally near ones), as one expression."""
-        axes = [F.lit([float(v) for v in self.centres[:, j]]) for j in range(len(columns))]
-        numbers = F.sequence(F.lit(0), F.lit(len(self.centres) - 1))
+        centres = self.centres
 
-        def far(i):
-            return sum((F.get(axis, i) - F.col(c)) * (F.get(axis, i) - F.col(c)) for axis, c in zip(axes, columns))
+        @F.arrow_udf("int")
+        def number(*axes: pa.Array) -> pa.Array:
+            x = np.stack([a.to_numpy(zero_copy_only=False).astype(float) for a in axes], axis=1)
+            blocks = (x[at : at + _BLOCK] for at in range(0, len(x), _BLOCK))
+            return pa.array(np.concatenate([_far(b, centres).argmin(axis=1) for b in blocks] or [[]]).astype(np.int32))
 
-        return F.array_min(F.transform(numbers, lambda i: F.struct(far(i).alias("d"), i.alias("i"))))["i"]
+        return number(*columns)
 
 
 def _far(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -53,6 +62,53 @@ def _far(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return sum((points[:, None, j] - centres[None, :, j]) ** 2 for j in range(points.shape[1]))
 
 
+def _reachable(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The numbers of the centres that may be nearest to a point of a block, by the box around it."""
+    low, high = points.min(axis=0), points.max(axis=0)
+    least = (np.maximum(np.maximum(low - centres, centres - high), 0) ** 2).sum(axis=1)
+    most = (np.maximum(high - centres, centres - low) ** 2).sum(axis=1).min()
+    return np.flatnonzero(~(least > most * (1 + 1e-9)))  # all of them if a coordinate is not a number
+
+
+def _near_first(x: np.ndarray) -> np.ndarray:
+    """An order of the points in which every ``_BLOCK`` of them are near each other: halves across the widest side."""
+    todo, done = [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= _BLOCK:
+            done.append(at)
+            continue
+        own = x[at]
+        middle = -(-len(at) // _BLOCK) // 2 * _BLOCK
+        halves = at[np.argpartition(own[:, np.ptp(own, axis=0).argmax()], middle)]
+        todo += [halves[middle:], halves[:middle]]
+    return np.concatenate(done)
+
+
+def _spread(points: DataFrame, dims: int, count: int) -> DataFrame:
+    """The points (coordinates, weight, hash), stored in blocks of near ones, for as many tasks as there are cores."""
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-count // _MOST), min(-(-count // _TASK), 4 * cores))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= _SORTED:
+                yield ordered(held)
+                held = []
+        if held:
+            yield ordered(held)
+
+    def ordered(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        x = np.stack([block.column(j).to_numpy(zero_copy_only=False) for j in range(dims)], axis=1)
+        return block.take(pa.array(_near_first(x)))
+
+    ranged = points.repartitionByRange(parts, *points.columns[:dims])
+    return settle(ranged.mapInArrow(run, points.schema), "spread")
+
+
 def _pass(points: DataFrame, dims: int, work: Callable, schema: str) -> DataFrame:
     """``work(x, w, h)`` on blocks of points (coordinates, weights, hashes); it gives rows of arrays."""
     names = [part.split()[0] for part in schema.split(", ")]
@@ -129,9 +185,10 @@ def _nearest_sums(points, dims, centres: list[np.ndarray | None]) -> dict[int, n
         for c in centres:
             if c is None:
                 continue
-            d = _far(x, c)
-            at = d.argmin(axis=1)
-            least = d[np.arange(len(x)), at]
+            reached = _reachable(x, c)
+            d = _far(x, c[reached])
+            first = d.argmin(axis=1)
+            at, least = reached[first], d[np.arange(len(x)), first]
             sums = [np.bincount(at, w, len(c)), *[np.bincount(at, w * x[:, j], len(c)) for j in range(dims)], np.bincount(at, w * least, len(c))]
             parts.append(np.stack(sums))
         total = np.concatenate(parts, axis=1)
@@ -145,7 +202,7 @@ def _drawn(points, dims, centres, cost, k, seed, turn) -> list[np.ndarray]:
 
     def work(state, x, w, h):
         for r, c in enumerate(centres):
-            chance = 2 * k * w * _far(x, c).min(axis=1) / cost[r] if cost[r] > 0 else np.zeros(len(x))
+            chance = 2 * k * w * _far(x, c[_reachable(x, c)]).min(axis=1) / cost[r] if cost[r] > 0 else np.zeros(len(x))
             mine = _uniform(h, seed + r, turn) < chance
             if mine.any():
                 state.append([np.full(int(mine.sum()), r), *x[mine].T])
@@ -184,7 +241,7 @@ def fit_kmeans(
     """
     dims = len(columns)
     moments = points.agg(
-        F.sum("w").alias("n"), *[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(f"m{j}") for j, c in enumerate(columns)]
+        F.sum("w").alias("n"), F.count("*").alias("points"), *[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(f"m{j}") for j, c in enumerate(columns)]
     ).first()
     if not moments["n"]:
         return None
@@ -193,6 +250,7 @@ def fit_kmeans(
     rows = points.select(
         *[(F.col(c) - float(mean[j])).alias(f"x{j}") for j, c in enumerate(columns)], "w", F.xxhash64(*columns).alias("h")
     )
+    rows = _spread(rows, dims, moments["points"])
     centres = _first_points(rows, dims, restarts, seed)
     for turn in range(1, _DRAWS + 1):
         cost = [s[:, -1].sum() for s in _nearest_sums(rows, dims, centres).values()]

@@ -741,20 +741,21 @@ def kmeans_geo_check(spark, folder):
     """What holds for any run: every located listing is with its nearest centre and no restart is better."""
     stored = settle(clean(spark, folder).select("sku", "lat", "lng"), "clean")
     rows, model = clusters.kmeans_fit(stored)
-    rows = settle(rows, "clustered")
+    # Listings of one place and cluster are judged once.
+    places = settle(rows.groupBy("lat", "lng", "cluster").agg(F.count("*").alias("w")), "clustered")
     centres = spark.createDataFrame(
         [(i, float(x), float(y)) for i, (x, y) in enumerate(model.centres)], "cluster int, cx double, cy double"
     )
-    own = rows.join(centres, "cluster").select(
-        ((F.col("lat") - F.col("cx")) ** 2 + (F.col("lng") - F.col("cy")) ** 2).alias("own"), "lat", "lng"
+    own = places.join(centres, "cluster").select(
+        ((F.col("lat") - F.col("cx")) ** 2 + (F.col("lng") - F.col("cy")) ** 2).alias("own"), "lat", "lng", "w"
     )
     far = [(F.col("lat") - float(x)) ** 2 + (F.col("lng") - float(y)) ** 2 for x, y in model.centres]
     least = F.array_min(F.array(*far))
     return own.agg(
-        F.count("*").alias("n"),
+        F.coalesce(F.sum("w"), F.lit(0)).alias("n"),
         F.lit(len(model.centres)).alias("centres"),
-        F.count_if(F.col("own") > least).alias("not_nearest"),
-        F.round(F.coalesce(F.try_divide(F.sum("own"), F.lit(model.inertia)) - 1, F.lit(0.0)), 6).alias("inertia_off"),
+        F.coalesce(F.sum(F.when(F.col("own") > least, F.col("w")).otherwise(0)), F.lit(0)).alias("not_nearest"),
+        F.round(F.coalesce(F.try_divide(F.sum(F.col("own") * F.col("w")), F.lit(model.inertia)) - 1, F.lit(0.0)), 6).alias("inertia_off"),
         F.lit(sum(x < model.inertia for x in model.restarts)).cast("long").alias("better_restarts"),
     )
 

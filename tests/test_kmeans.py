@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from predio.operators import clusters
+from predio.operators import clusters, kmeans
 from predio.operators.kmeans import fit_kmeans
 
 
@@ -61,3 +61,32 @@ def test_three_dimensions(spark):
     points = spark.createDataFrame([(*map(float, p), 1.0) for p in x], "a double, b double, c double, w double")
     model = fit_kmeans(points, ["a", "b", "c"], 3, 4)
     np.testing.assert_allclose(model.centres, [[0] * 3, [5] * 3, [10] * 3], atol=0.1)
+
+
+def test_passes_use_all_cores_and_near_centres_only(spark, monkeypatch):
+    """A small file of many places is not left to one task, and blocks leave far centres out."""
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (20_000, 2))
+    points = spark.createDataFrame([(*map(float, p), 1.0) for p in x], "a double, b double, w double").coalesce(1)
+    tasks, compared, passed, far = [], [], kmeans._pass, kmeans._far
+    monkeypatch.setattr(kmeans, "_pass", lambda p, *rest: tasks.append(p.rdd.getNumPartitions()) or passed(p, *rest))
+    model = fit_kmeans(points, ["a", "b"], 20, 2, passes=3)
+    assert min(tasks) >= 2
+    assert model.inertia == pytest.approx(inertia(x, model.centres).sum(), rel=1e-9)
+    order = kmeans._near_first(x)
+    assert sorted(order) == list(range(len(x)))
+    blocks = [x[order[at : at + kmeans._BLOCK]] for at in range(0, len(x), kmeans._BLOCK)]
+    for block in [*blocks, x, x[:1], np.repeat(x[:1], 5, axis=0)]:
+        reached = kmeans._reachable(block, model.centres)
+        compared.append(len(reached))
+        assert (reached[far(block, model.centres[reached]).argmin(axis=1)] == far(block, model.centres).argmin(axis=1)).all()
+    assert np.mean(compared[: len(blocks)]) < len(model.centres) / 2
+
+
+def test_equally_near_centres_keep_the_first(spark):
+    model = kmeans.KMeansModel(np.array([[-1.0, 0.0], [0.0, 1.0], [1.0, 0.0]]), 0.0, [0.0], 1)
+    df = spark.createDataFrame([(0.0, 0.0), (0.5, 0.5), (2.0, 0.0), (None, 1.0)], "a double, b double")
+    named = df.select("a", model.nearest(["a", "b"]).alias("c"))
+    assert [r.c for r in named.collect()][:3] == [0, 1, 2]
+    # One pass over arrays of numbers, not a function of a function for each row and centre.
+    assert "lambdafunction" not in named._jdf.queryExecution().optimizedPlan().toString()
