@@ -12,8 +12,8 @@ def append(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def keep_first(df: DataFrame, order: list[str], key: str = "sku") -> DataFrame:
-    """Keep the first row per ``key`` in ``order``; NULL keys count as one key.
+def keep_first(df: DataFrame, order: list[str], key: str | list[str] = "sku") -> DataFrame:
+    """Keep the first row per ``key`` (a column or several) in ``order``; NULL keys count as one key.
 
     Rank 1 makes Spark keep at most one row per key and map task *before* the shuffle
     (WindowGroupLimit), so a key that holds a third of all rows sends one row per task.

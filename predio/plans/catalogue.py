@@ -58,7 +58,7 @@ def oracle_sql() -> dict[str, str]:
 
 def listings(spark: SparkSession, folder: str) -> DataFrame:
     """First record per sku."""
-    first = dedup.keep_first(star.read_rows(spark, folder), star.ROW_ORDER)
+    first = dedup.keep_first(star.read_rows(spark, folder), star.ROW_ORDER, star.ROW_KEY)
     return star.with_attributes(first, folder).drop(*star.SNAPSHOT_ORDER)
 
 

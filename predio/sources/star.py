@@ -17,9 +17,13 @@ _SKU = "concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) as
 _SNAPSHOT = "l_suppkey % 9 as snapshot_id"
 #: ``SNAPSHOT_ORDER`` among the columns of ``read_rows``.
 ROW_ORDER = ["snapshot_id", "l_partkey", "l_suppkey", "l_extendedprice"]
-_LINE = [
-    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag",
-    "l_linestatus", "l_shipdate",
+#: ``sku`` among the columns of ``read_rows``, as numbers: both are missing where it is.
+ROW_KEY = ["sku_order", "sku_line"]
+_LINE = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
+_NUMBERS = [
+    "if(l_linenumber is null, null, l_orderkey) as sku_order",
+    "if(l_orderkey is null, null, l_linenumber) as sku_line",
+    "if(l_orderkey is null or l_linenumber is null, struct(l_orderkey, l_linenumber), null) as without_sku",
 ]
 
 
@@ -43,12 +47,12 @@ def _with_partner(rows: DataFrame, column: str, partners: DataFrame, key: str) -
 
 
 def read_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of ``read_listings`` by what names and orders them: ``sku``, ``ROW_ORDER`` and few numbers.
+    """The rows of ``read_listings`` by what names and orders them: ``ROW_KEY``, ``ROW_ORDER`` and few numbers.
 
     ``with_attributes`` adds the rest, after the first row per sku is chosen: no text of a part or supplier is
-    shuffled for that.
+    shuffled for that, nor the sku's.
     """
-    rows = _table(spark, folder, "lineitem").selectExpr(*_LINE, _SKU, _SNAPSHOT)
+    rows = _table(spark, folder, "lineitem").selectExpr(*_LINE, *_NUMBERS, _SNAPSHOT)
     rows = _with_partner(rows, "l_partkey", _table(spark, folder, "part"), "p_partkey")
     return _with_partner(rows, "l_suppkey", _suppliers(spark, folder), "s_suppkey")
 
@@ -58,7 +62,11 @@ def with_attributes(rows: DataFrame, folder: str) -> DataFrame:
     spark = rows.sparkSession
     part = _table(spark, folder, "part").dropDuplicates(["p_partkey"])
     suppliers = _suppliers(spark, folder).dropDuplicates(["s_suppkey"])
-    joined = rows.drop("sku", "snapshot_id").join(part, F.expr("l_partkey = p_partkey"))
+    rows = rows.selectExpr(
+        *_LINE, "coalesce(sku_order, without_sku.l_orderkey) as l_orderkey",
+        "coalesce(sku_line, without_sku.l_linenumber) as l_linenumber",
+    )
+    joined = rows.join(part, F.expr("l_partkey = p_partkey"))
     return _listings(joined.join(suppliers, F.expr("l_suppkey = s_suppkey")))
 
 

@@ -51,6 +51,18 @@ def test_no_text_of_a_part_is_shuffled_by_sku(spark, tables):
     assert "p_name" not in below[: below.index("Relation")]
 
 
+def test_no_sku_is_shuffled_as_text(spark, tables):
+    plan = catalogue.listings(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window"):]
+    assert "concat(" not in below[: below.index("Relation")]
+
+
+def test_rows_without_a_sku_keep_their_numbers(spark, tables):
+    first = dedup.keep_first(star.read_rows(spark, tables), star.ROW_ORDER, star.ROW_KEY)
+    rows = star.with_attributes(first, tables).filter("sku is null").collect()
+    assert [(r.link, r.habitaciones) for r in rows] == [("u/4", None)]
+
+
 def test_snapshots_are_compressed_and_keep_their_order(spark, tables, tmp_path, monkeypatch):
     monkeypatch.setattr(star, "FILE_RECORDS", 2)
     raw = star.read_listings(spark, tables)
