@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from predio.llm.frames import maybe_broadcast
+from predio.llm.frames import BROADCAST_ROWS, maybe_broadcast
 from predio.llm.words import KEEP_CASE, LOWER, mix, row_blocks, shingles, text_buffers, words
 from predio.operators.components import connected_components
 from predio.scale import settle
@@ -42,6 +42,8 @@ BAND = 1.6
 PROMOTED = 2
 #: Signatures in more than this share of sampled sets are dealt to several tasks.
 HOT_SHARE, HOT_SAMPLE, SALTS = 0.002, 0.01, 64
+#: A salt takes the lowest bits of a code, and is mixed into the highest ones of a signature.
+SALT_BITS = 7
 #: Cells of the sketches; times sets are pruned; turns with one partner per signature.
 CELLS, PRUNINGS, ROUNDS = 64, 2, 4
 COARSE = 16
@@ -208,6 +210,11 @@ def classes(docs: DataFrame, key: str, text: str, k: int, lower: bool) -> DataFr
 
 
 def _signatures(texts: DataFrame, percent: int, k: int, lower: bool, hot: np.ndarray) -> DataFrame:
+    """``(_sig, _class, _code)`` of all sets; ``_unsalted`` gives the signature and code themselves.
+
+    Both hold the salt, so that one number names a bucket: rows are short and sorted by it alone.
+    """
+
     def run(batches):
         make = Signatures(percent)
         for name, elements, row in _distinct_sets(batches, lower, k):
@@ -217,18 +224,24 @@ def _signatures(texts: DataFrame, percent: int, k: int, lower: bool, hot: np.nda
             heavy = np.isin(signature, hot) if len(hot) else np.zeros(len(signature), bool)
             own = name[owner]
             heavy |= need == 0
-            salt = np.where(heavy, 1 + (own % _U(SALTS)).astype(np.int64), 0)
+            salt = np.where(heavy, 1 + own % _U(SALTS), _U(0))
+            bucket = (signature ^ (salt << _U(64 - SALT_BITS))).view(np.int64)
+            code = ((2 * need + role) << SALT_BITS) + salt.astype(np.int64)
             for a in range(0, len(signature), 1 << 16):
                 z = slice(a, a + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signature[z].view(np.int64)), pa.array(own[z].view(np.int64)),
-                        pa.array((2 * need[z] + role[z]).astype(np.int32)), pa.array(salt[z].astype(np.int32)),
-                    ],
-                    names=["_sig", "_class", "_code", "_salt"],
+                    [pa.array(bucket[z]), pa.array(own[z].view(np.int64)), pa.array(code[z])], names=["_sig", "_class", "_code"]
                 )
 
-    return texts.mapInArrow(run, "_sig bigint, _class bigint, _code int, _salt int")
+    return texts.mapInArrow(run, "_sig bigint, _class bigint, _code bigint")
+
+
+def _unsalted(made: DataFrame) -> DataFrame:
+    salt = F.col("_code").bitwiseAND((1 << SALT_BITS) - 1)
+    return made.select(
+        F.col("_sig").bitwiseXOR(F.shiftleft(salt, 64 - SALT_BITS)).alias("_sig"), "_class",
+        F.shiftright("_code", SALT_BITS).cast("int").alias("_code"),
+    )
 
 
 def _hot_signatures(texts: DataFrame, percent: int, k: int, lower: bool) -> np.ndarray:
@@ -247,11 +260,22 @@ def _cells(elements: np.ndarray) -> np.ndarray:
     return (mix(elements ^ _U(_PLACE)) % _U(CELLS)).astype(np.int64)
 
 
-def _stored_sets(texts: DataFrame, wanted: DataFrame, k: int, lower: bool) -> DataFrame:
+def _texts_of(texts: DataFrame, wanted: DataFrame, prints: DataFrame) -> DataFrame:
+    """Those of ``texts`` whose hash is that of a text of a wanted class, by the stored ``(_class, _print)`` of all rows.
+
+    Each wanted class has one at least; all texts are returned where the hashes are too many to be sent to every task.
+    """
+    chosen = settle(prints.join(wanted, "_class", "left_semi").groupBy("_class").agg(F.min("_print").alias("_print")), "prints")
+    if chosen.count() > BROADCAST_ROWS:
+        return texts
+    return texts.join(F.broadcast(chosen), F.xxhash64("_text") == F.col("_print"), "left_semi")
+
+
+def _stored_sets(texts: DataFrame, wanted: DataFrame, prints: DataFrame, k: int, lower: bool) -> DataFrame:
     """Once per wanted class its sorted shingles ``_set`` as bytes, their number and a sketch.
 
     The sketch counts the elements in each of ``CELLS`` cells; two sets differ at least as much as
-    their sketches.
+    their sketches.  For ``prints``, see ``_texts_of``.
     """
 
     def run(batches):
@@ -269,7 +293,7 @@ def _stored_sets(texts: DataFrame, wanted: DataFrame, k: int, lower: bool) -> Da
             )
 
     wanted = maybe_broadcast(settle(wanted, "wanted"))
-    own = texts.mapInArrow(run, "_class bigint, _set binary, _n bigint, _sketch array<int>")
+    own = _texts_of(texts, wanted, prints).mapInArrow(run, "_class bigint, _set binary, _n bigint, _sketch array<int>")
     own = own.join(wanted, "_class", "left_semi")
     # Copies met by different tasks: their rows are equal.
     return settle(own.groupBy("_class").agg(*[F.first(c).alias(c) for c in ("_set", "_n", "_sketch")]), "sets")
@@ -364,16 +388,16 @@ def _named(rows: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
-def _links(texts: DataFrame, percent: int, k: int, lower: bool) -> DataFrame | None:
-    """Components ``(_class, _component)`` of the classes that have links."""
+def _links(texts: DataFrame, prints: DataFrame, percent: int, k: int, lower: bool) -> DataFrame | None:
+    """Components ``(_class, _component)`` of the classes that have links; ``prints`` has every row's class and text hash."""
     hot = _hot_signatures(texts, percent, k, lower)
     made = _signatures(texts, percent, k, lower, hot)
-    bucket = Window.partitionBy("_sig", "_salt").orderBy("_class")
-    made = made.withColumn("_next", F.lead("_class").over(bucket)).withColumn("_first", F.first("_class").over(bucket))
-    last = F.col("_next").isNull() | (F.col("_next") != F.col("_class"))  # of its copies in the bucket
-    shared = (F.col("_salt") > 0) | (F.col("_first") != F.col("_class")) | F.col("_next").isNotNull()
-    bare = F.col("_code") <= 1  # needs nothing: an uncovered set
-    shared = settle(made.filter(bare | (last & shared)).select("_sig", "_class", "_code"), "shared")
+    bucket = Window.partitionBy("_sig")
+    made = made.withColumn("_least", F.min("_class").over(bucket)).withColumn("_most", F.max("_class").over(bucket))
+    salted = F.col("_code").bitwiseAND((1 << SALT_BITS) - 1) > 0  # uncovered sets too
+    shared = made.filter(salted | (F.col("_least") != F.col("_most"))).select("_sig", "_class", "_code")
+    # Copies met by different tasks are in one bucket.
+    shared = settle(_unsalted(shared.distinct()), "shared")
     uncovered = settle(shared.filter("_code <= 1").select("_class").distinct(), "uncovered")
     shared = shared.filter("_code > 1")
     for _ in range(PRUNINGS):
@@ -401,7 +425,7 @@ def _links(texts: DataFrame, percent: int, k: int, lower: bool) -> DataFrame | N
     if checked is not None:
         checked = settle(checked, "checked")
         wanted = wanted.unionByName(checked.select(F.col("a").alias("_class"))).unionByName(checked.select(F.col("b").alias("_class")))
-    sets = _stored_sets(texts, wanted.distinct(), k, lower)
+    sets = _stored_sets(texts, wanted.distinct(), prints, k, lower)
     links = _verified(checked, sets, percent) if checked is not None else None
     components = _components(links) if links is not None else None
 
@@ -501,7 +525,7 @@ def near_duplicates(
     """
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = settle(classes(docs, key, text, k, lower), "classes")
-    components = _links(texts, percent, k, lower)
+    components = _links(texts, rows.select("_class", "_print"), percent, k, lower)
     # A missing key comes last.
     name = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_print").alias("print"))
     smallest = rows.filter("_class is not null").groupBy("_class").agg(F.min(name).alias("_least"))

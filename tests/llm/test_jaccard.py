@@ -113,3 +113,34 @@ def test_isolated_pairs_astride_the_band_borders(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, k=1).collect()}
     assert [i for i in got if got[i] != i - i % 2] == []
+
+
+def _signed(spark, rows, hot):
+    texts = spark.createDataFrame([(t or "",) for _, t in rows], "_text string")
+    return jaccard._signatures(texts, 80, 5, True, hot)
+
+
+def test_salts_are_taken_off_again(spark):
+    plain = _signed(spark, rows_of(2), np.empty(0, np.uint64))
+    hot = np.sort(np.array([r[0] for r in plain.select("_sig").distinct().collect()], np.int64).view(np.uint64))
+    salted = _signed(spark, rows_of(2), hot)
+    assert salted.select("_sig").distinct().count() > len(hot)  # dealt to several buckets
+    assert set(jaccard._unsalted(salted).collect()) == set(jaccard._unsalted(plain).collect())
+
+
+def test_signatures_are_sorted_by_one_number_and_only_wanted_texts_are_read_again(spark, monkeypatch):
+    plans, real = {}, jaccard.settle
+
+    def settle(df, label="table"):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(jaccard, "settle", settle)
+    rng = random.Random(11)
+    base = prose(rng, 200)
+    rows = [*enumerate([base, base + " end", *[prose(rng, 60) for _ in range(30)]])]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 2 else i for i, _ in rows}
+    sort = next(x for x in plans["shared"].splitlines() if "Sort [" in x)
+    assert sort.count("ASC") == 1 and "_sig" in sort
+    assert "LeftSemi" in plans["sets"][plans["sets"].index("MapInArrow"):]
