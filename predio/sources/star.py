@@ -19,7 +19,16 @@ _SNAPSHOT = "l_suppkey % 9 as snapshot_id"
 ROW_ORDER = ["snapshot_id", "l_partkey", "l_suppkey", "l_extendedprice"]
 #: ``sku`` among the columns of ``read_rows``, as numbers: both are missing where it is.
 ROW_KEY = ["sku_order", "sku_line"]
-_LINE = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
+_LINE = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+#: The two flags as one number, which tells the values that ``_listings`` tells; its rows are shorter than with texts.
+_FLAGS = (
+    "cast(case l_returnflag when 'A' then 0 when 'R' then 2 else 4 end"
+    " + case l_linestatus when 'F' then 0 else 1 end as tinyint) as flags"
+)
+_FLAG_TEXTS = [
+    "case flags div 2 when 0 then 'A' when 1 then 'R' end as l_returnflag",
+    "case flags % 2 when 0 then 'F' end as l_linestatus",
+]
 _NUMBERS = [
     "if(l_linenumber is null, null, l_orderkey) as sku_order",
     "if(l_orderkey is null, null, l_linenumber) as sku_line",
@@ -52,22 +61,31 @@ def read_rows(spark: SparkSession, folder: str) -> DataFrame:
     ``with_attributes`` adds the rest, after the first row per sku is chosen: no text of a part or supplier is
     shuffled for that, nor the sku's.
     """
-    rows = _table(spark, folder, "lineitem").selectExpr(*_LINE, *_NUMBERS, _SNAPSHOT)
+    rows = _table(spark, folder, "lineitem").selectExpr(*_LINE, _FLAGS, *_NUMBERS, _SNAPSHOT)
     rows = _with_partner(rows, "l_partkey", _table(spark, folder, "part"), "p_partkey")
     return _with_partner(rows, "l_suppkey", _suppliers(spark, folder), "s_suppkey")
 
 
 def with_attributes(rows: DataFrame, folder: str) -> DataFrame:
-    """The listings of chosen rows, one for each: of parts or suppliers that share a key, one is taken."""
+    """The listings of chosen rows, one for each: of parts or suppliers that share a key, one is taken.
+
+    Suppliers come first and parts last, so no text of a part is shuffled by supplier.  The suppliers' size is known
+    from their files, so that Spark can send them to every task: joined with nation and region they would count as the
+    product of all three.
+    """
     spark = rows.sparkSession
     part = _table(spark, folder, "part").dropDuplicates(["p_partkey"])
-    suppliers = _suppliers(spark, folder).dropDuplicates(["s_suppkey"])
+    nations = _table(spark, folder, "nation").join(_table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
+    nations = nations.select("n_nationkey", "n_name", "r_name").dropDuplicates(["n_nationkey"])
+    suppliers = _table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    located = F.expr("s_nationkey = n_nationkey")
+    suppliers = suppliers.join(nations.select("n_nationkey"), located, "left_semi").dropDuplicates(["s_suppkey"])
     rows = rows.selectExpr(
-        *_LINE, "coalesce(sku_order, without_sku.l_orderkey) as l_orderkey",
+        *_LINE, *_FLAG_TEXTS, "coalesce(sku_order, without_sku.l_orderkey) as l_orderkey",
         "coalesce(sku_line, without_sku.l_linenumber) as l_linenumber",
     )
-    joined = rows.join(part, F.expr("l_partkey = p_partkey"))
-    return _listings(joined.join(suppliers, F.expr("l_suppkey = s_suppkey")))
+    joined = rows.join(suppliers, F.expr("l_suppkey = s_suppkey")).join(part, F.expr("l_partkey = p_partkey"))
+    return _listings(joined.join(nations, located))
 
 
 def read_listings(spark: SparkSession, folder: str) -> DataFrame:

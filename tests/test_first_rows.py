@@ -87,3 +87,45 @@ def test_a_store_reads_the_keys_of_a_snapshot_then_its_records(spark, tables, tm
     want = catalogue.listings(spark, tables)
     got = listing_store.read_store(spark, store).select(*want.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_no_text_of_a_part_is_shuffled_by_supplier(spark, tables):
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        plan = catalogue.listings(spark, tables)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set(limit, before)
+    at, exchange = next((i, x) for i, x in enumerate(plan) if "Exchange hashpartitioning(l_suppkey" in x)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    below = []
+    for line in plan[at + 1 :]:
+        if depth(line) <= depth(exchange):
+            break
+        below.append(line)
+    assert below and not [x for x in below if "p_name" in x]
+
+
+def test_suppliers_are_counted_as_large_as_their_files(spark, tables):
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "100000")  # more than each file, less than their product
+    try:
+        plan = catalogue.listings(spark, tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    assert any("l_suppkey" in x and "s_suppkey" in x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+
+
+def test_flags_are_shuffled_as_a_number(spark, tables):
+    rows = star.read_rows(spark, tables)
+    assert not [c for c, kind in rows.dtypes if kind == "string"]
+    kinds = [(a, b) for a in ("A", "R", "N", None) for b in ("F", "O", None)]
+    lines = [(100 + i, 1, 1, 1, 4.0, 5.0, a, b, _DAY) for i, (a, b) in enumerate(kinds)]
+    schema = spark.read.parquet(f"{tables}/lineitem.parquet").schema
+    spark.createDataFrame(lines, schema).write.mode("append").parquet(f"{tables}/lineitem.parquet")
+    got = {r.sku: (r.tipo_inmueble, r.tipo_oferta, r.m2_terreno) for r in catalogue.listings(spark, tables).collect()}
+    want = {r.sku: (r.tipo_inmueble, r.tipo_oferta, r.m2_terreno) for r in star.read_listings(spark, tables).collect()}
+    for i, _ in enumerate(kinds):
+        assert got[f"{100 + i}-1"] == want[f"{100 + i}-1"]
