@@ -71,7 +71,7 @@ def with_attributes(rows: DataFrame, folder: str) -> DataFrame:
 
     Suppliers come first and parts last, so no text of a part is shuffled by supplier.  The suppliers' size is known
     from their files, so that Spark can send them to every task: joined with nation and region they would count as the
-    product of all three.
+    product of all three.  The flags become texts only after all joins.
     """
     spark = rows.sparkSession
     part = _table(spark, folder, "part").dropDuplicates(["p_partkey"])
@@ -81,11 +81,11 @@ def with_attributes(rows: DataFrame, folder: str) -> DataFrame:
     located = F.expr("s_nationkey = n_nationkey")
     suppliers = suppliers.join(nations.select("n_nationkey"), located, "left_semi").dropDuplicates(["s_suppkey"])
     rows = rows.selectExpr(
-        *_LINE, *_FLAG_TEXTS, "coalesce(sku_order, without_sku.l_orderkey) as l_orderkey",
+        *_LINE, "flags", "coalesce(sku_order, without_sku.l_orderkey) as l_orderkey",
         "coalesce(sku_line, without_sku.l_linenumber) as l_linenumber",
     )
     joined = rows.join(suppliers, F.expr("l_suppkey = s_suppkey")).join(part, F.expr("l_partkey = p_partkey"))
-    return _listings(joined.join(nations, located))
+    return _listings(joined.join(nations, located).selectExpr("*", *_FLAG_TEXTS))
 
 
 def read_listings(spark: SparkSession, folder: str) -> DataFrame:

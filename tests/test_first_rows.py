@@ -129,3 +129,17 @@ def test_flags_are_shuffled_as_a_number(spark, tables):
     want = {r.sku: (r.tipo_inmueble, r.tipo_oferta, r.m2_terreno) for r in star.read_listings(spark, tables).collect()}
     for i, _ in enumerate(kinds):
         assert got[f"{100 + i}-1"] == want[f"{100 + i}-1"]
+
+
+def test_flags_are_joined_as_a_number(spark, tables):
+    """Rows shuffled by part hold no text of a line: the two flags are one number until the joins are done."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        plan = catalogue.clean(spark, tables)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set(limit, before)
+    at = next(i for i, x in enumerate(plan) if "Exchange hashpartitioning(l_partkey" in x)
+    rows = next(x for x in plan[at:] if "Project [" in x)
+    assert "flags#" in rows and "l_returnflag" not in rows and "l_linestatus" not in rows
