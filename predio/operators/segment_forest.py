@@ -7,7 +7,9 @@ unpruned growth while rows descend.  So a grid of trees x depths x minimum split
 sizes costs one growth per (features, leaf size) and cross-validation run.
 
 A segment of up to ``LOCAL_ROWS`` rows is grown in one task per growth and run, fewer trees at a time the
-more rows it has.  A larger one is cut into chunks of ``CHUNK_ROWS``: every chunk adds up the histograms of
+more rows it has.  To a tree, rows that agree in all bins are one: a larger segment whose rows have up to
+``LOCAL_ROWS`` different bins (its cells) adds up weights and weighted labels per tree and cell, and its trees
+are grown from these sums, a few in a task.  Any other is cut into chunks of ``CHUNK_ROWS``: every chunk adds up the histograms of
 the nodes that still hold more than ``NODE_ROWS`` rows (one row per node and chunk, whatever the number of
 rows), the summed histograms decide the split, and nodes that have become small are finished in one task
 each.  Parts of chunks give the rows of all trees for that, about ``EMITTED`` rows a task.  So what a task
@@ -25,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from predio.functions.nulls import holds
@@ -57,6 +60,7 @@ LOCAL_ROWS = 2_000_000  # of a segment, in one task: about 200 bytes each
 CHUNK_ROWS, NODE_ROWS = 50_000, 500_000  # of a larger one: in a chunk, and in a node that one task finishes
 SLICE, SLICE_ROWS = 16, 800_000  # trees grown at once, and their rows together
 EMITTED = 1_000_000  # rows in trees that one task gives, about
+PIECE, BLOCK = 200_000, 4096  # rows whose cells are added up at once, and cells that are scored together
 _DECIDE, _FINISH, _LEAF = -3, -2, -1  # instead of a feature: what a node without a split waits for
 
 
@@ -305,6 +309,209 @@ def _nodes_local(rows: DataFrame, choice: DataFrame, growths: list[Growth], feat
     return _spread(dealt, "_segment", "_slice").groupBy("_segment", "_slice").applyInArrow(build, f"_segment {segment_type}, _unit int, {_NODE}")
 
 
+# --- segments of many rows in few cells --------------------------------------------
+
+
+def _slices(grid: Grid) -> list[tuple[int, int]]:
+    """First and last + 1 of the trees that one task grows from sums; every size of a forest ends a slice."""
+    stops = sorted({*range(SLICE, max(grid.trees), SLICE), *grid.trees})
+    return [*zip([0, *stops], stops)]
+
+
+def _cell_sums(rows: DataFrame, n: int, slices, features: int, folds: int, runs: list[int]) -> DataFrame:
+    """``(_segment, _seed, _run, _slice, tree, cells, n, s)``: pieces of cells with the sums of their training rows.
+
+    ``cells`` holds the bins of a piece's cells, ``n`` their weights and ``s`` their weighted labels.  Equal cells stand in
+    pieces one after the other, so a cell of many rows is added up in several tasks.
+    """
+    segment_type = rows.schema["_segment"].dataType.simpleString()
+    names = ["_segment", "_seed", "_run", "_slice", "tree", "cells", "n", "s"]
+
+    def added(table: pa.Table):
+        data = Rows(table, features)
+        cells, place = tree_growth.cells(data.bins)
+        packed = np.ascontiguousarray(cells, np.int8).tobytes()
+        segment = table.column("_segment")
+        for run in runs:
+            train, _ = data.sides(run, folds)
+            hashed, y, at = tree_growth.hash_int(run, data.k[train].view(np.uint64)), data.y[train], place[train]
+            for i, (first, last) in enumerate(slices):
+                n, s = [], []
+                for tree in range(first, last):
+                    w = tree_growth.tree_weights(hashed, tree)
+                    n.append(np.bincount(at, w, len(cells)))
+                    s.append(np.bincount(at, w * y, len(cells)))
+                size = last - first
+                offsets = pa.array(np.arange(size + 1, dtype=np.int32) * len(cells))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (n, s)]
+                columns = [pa.array([segment[0].as_py()] * size, segment.type), pa.array([data.seed] * size, pa.int64())]
+                columns += [pa.array(x, pa.int32()) for x in ([run] * size, [i] * size, range(first, last))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([packed] * size, pa.binary()), *lists], names=names)
+
+    def work(batches):
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= PIECE:
+                yield from of_segments(pa.Table.from_batches(held))
+                held, count = [], 0
+        if count:
+            yield from of_segments(pa.Table.from_batches(held))
+
+    def of_segments(table: pa.Table):
+        # Rows are in the order of segments.
+        seeds = table.column("_seed").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(seeds)) + 1).tolist(), len(seeds)]
+        for low, high in zip(cuts, cuts[1:]):
+            yield from added(table.slice(low, high - low))
+
+    keys = ["_seed", "_segment", "_bins", "_k", "_y"]
+    spread = rows.select(*_ROW).repartitionByRange(max(1, -(-n // PIECE)), *keys).sortWithinPartitions(*keys)
+    schema = f"_segment {segment_type}, _seed bigint, _run int, _slice int, tree int, cells binary, n array<double>, s array<double>"
+    return spread.mapInArrow(work, schema)
+
+
+class CellSums:
+    """Pieces of ``_cell_sums`` put together: the cells' bins, and ``n`` and ``s`` as ``[trees, cells]``."""
+
+    def __init__(self, table: pa.Table, features: int):
+        packed = table.column("cells").to_pylist()
+        self.bins, place = tree_growth.cells(np.frombuffer(b"".join(packed), np.int8).reshape(-1, features))
+        tree = table.column("tree").to_numpy()
+        self.trees = range(int(tree.min()), int(tree.max()) + 1)
+        at = np.repeat(tree.astype(np.int64) - self.trees.start, [len(x) // features for x in packed]) * len(self.bins) + place
+        flat = lambda name: pc.list_flatten(table.column(name).combine_chunks()).to_numpy(zero_copy_only=False)
+        shape = len(self.trees), len(self.bins)
+        self.n, self.s = (np.bincount(at, flat(c), shape[0] * shape[1]).reshape(shape) for c in ("n", "s"))
+        self.seed = int(table.column("_seed")[0].as_py())
+
+    def grow(self, growth: Growth, run: int, **options):
+        """Levels and values of a few trees at a time, as ``grow_slice`` gives them."""
+        step = _slice(len(self.bins))
+        for at in range(0, len(self.trees), step):
+            own = slice(at, at + step)
+            yield tree_growth.grow_sums(self.bins, self.n[own], self.s[own], self.trees[own], growth, self.seed, run, **options)
+
+
+def _cell_totals(sums: DataFrame, grid: Grid, growths: list[Growth], features: int, folds: int, blocks: int) -> DataFrame:
+    """``(_segment, _run, _block, growth, slice, trees, cells, totals)``: what a slice's trees say of a block of cells, added up.
+
+    ``totals`` is ``[depths, min_splits, cells]``; ``trees`` counts the trees that say something.
+    """
+    segment_type = sums.schema["_segment"].dataType.simpleString()
+    names = ["_segment", "_run", "_block", "growth", "slice", "trees", "cells", "totals"]
+
+    def grow(key, table):
+        run, part, growth = (k.as_py() for k in key[1:])
+        data = CellSums(table, features)
+        del table
+        total, known = np.zeros((len(grid.depths), len(grid.min_splits), len(data.bins))), 0
+        for _, values in data.grow(growths[growth], run, held_bins=data.bins, depths=grid.depths, min_splits=grid.min_splits):
+            total += np.nansum(values, axis=2)
+            known += int((~np.isnan(values[0, 0, :, 0])).sum())
+        block = tree_growth.cell_hash(data.bins) % blocks
+        order = np.argsort(block, kind="stable")
+        there, starts = np.unique(block[order], return_index=True)
+        own = np.split(order, starts[1:])
+        size = len(there)
+        columns = [pa.array([key[0].as_py()] * size, key[0].type)]
+        columns += [pa.array(x, pa.int32()) for x in ([run] * size, there, [growth] * size, [part] * size, [known] * size)]
+        columns.append(pa.array([np.ascontiguousarray(data.bins[x], np.int8).tobytes() for x in own], pa.binary()))
+        columns.append(pa.array([total[:, :, x].ravel() for x in own], pa.list_(pa.float64())))
+        return pa.table(columns, names=names)
+
+    dealt = sums.withColumn("_growth", F.explode(F.sequence(F.lit(0), F.lit(len(growths) - 1))))
+    keys = ["_segment", "_run", "_slice", "_growth"]
+    schema = f"_segment {segment_type}, _run int, _block int, growth int, slice int, trees int, cells binary, totals array<double>"
+    return _spread(dealt, *keys).groupBy(*keys).applyInArrow(grow, schema)
+
+
+def _score_cells(rows: DataFrame, n: int, cells: int, grid: Grid, growths: list[Growth], features: int, folds: int) -> DataFrame:
+    """As ``_score_local``, of segments of ``n`` rows together with up to ``cells`` cells each; errors of the test run only."""
+    segment_type = rows.schema["_segment"].dataType.simpleString()
+    blocks, slices = -(-cells // BLOCK), _slices(grid)
+    totals = _cell_totals(_cell_sums(rows, n, slices, features, folds, [*range(folds + 1)]), grid, growths, features, folds, blocks)
+    run = F.when(F.col("is_test"), folds).otherwise(F.col("fold")).alias("_run")
+    held = rows.select("_segment", run, F.pmod(F.xxhash64("_bins"), F.lit(blocks)).cast("int").alias("_block"), "_k", "_y", "_bins")
+    keys = ["_segment", "_run", "_block"]
+    parts = settle(held.groupBy(*keys).agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_parts")), "parts")
+    part = F.pmod(F.xxhash64("_k", "_y", F.lit("part")), F.col("_parts")).cast("int").alias("_part")
+    held = held.join(parts, keys).select(*keys, part, "_y", "_bins")
+    dealt = totals.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    wide = len(grid.depths) * len(grid.min_splits)
+    at = [slices.index(x) for m in grid.trees for x in slices if x[1] == m]
+
+    def score(key, right, left):
+        run, out = key[1].as_py(), []
+        if not (left.num_rows and right.num_rows):
+            return pa.table([pa.array([], key[0].type), *[pa.array([], t) for t in _JUDGED.values()]], names=["_segment", *_JUDGED])
+        flat = pc.list_flatten(right.column("_bins").combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int8).reshape(-1, features)
+        y, size = right.column("_y").to_numpy(), len(flat)
+        growth, part, trees = (left.column(c).to_numpy() for c in ("growth", "slice", "trees"))
+        said = [np.frombuffer(x, np.int8).reshape(-1, features) for x in left.column("cells").to_pylist()]
+        # Every slice tells of the same cells; a row's place among them is that of its bins in order.
+        both, place = tree_growth.cells(np.concatenate([said[0], flat]))
+        own = place[len(said[0]) :]
+        count = np.bincount(own, minlength=len(both))
+        mean = np.divide(np.bincount(own, y, len(both)), count, out=np.zeros(len(both)), where=count > 0)
+        within = float(((y - mean[own]) ** 2).sum())
+        nonzero = np.flatnonzero(y != 0) if run == folds else np.empty(0, np.int64)
+        y_there, own_there = y[nonzero], own[nonzero]
+        for g in range(len(growths)):
+            total, known = np.zeros((wide, len(both))), 0
+            cut = []
+            for i in range(len(slices)):
+                for row in np.flatnonzero((growth == g) & (part == i)).tolist():
+                    total[:, place[: len(said[0])]] += left.column("totals")[row].values.to_numpy().reshape(wide, -1)
+                    known += int(trees[row])
+                if i in at:
+                    with np.errstate(invalid="ignore"):
+                        cut.append(total / known if known else np.full_like(total, np.nan))
+            for i, m in enumerate(sorted({*grid.trees})):
+                for j, p in enumerate(cut[i]):
+                    error = float(np.abs((p[own_there] - y_there) / y_there).sum())
+                    out += [
+                        (g * (folds + 1) + run, k * wide + j, within + float((count * (mean - p) ** 2).sum()), error, len(nonzero))
+                        for k in range(len(grid.trees)) if grid.trees[k] == m
+                    ]
+        columns = [pa.array([key[0].as_py()] * len(out), key[0].type)]
+        columns += [pa.array([r[i] for r in out], t) for i, t in enumerate(_JUDGED.values())]
+        return pa.table(columns, names=["_segment", *_JUDGED])
+
+    schema = f"_segment {segment_type}, _unit int, at int, residual double, error double, nonzero bigint"
+    judged = held.groupBy(*keys, "_part").cogroup(dealt.groupBy(*keys, "_part")).applyInArrow(score, schema)
+    judged = judged.groupBy("_segment", "_unit", "at").agg(F.sum("residual").alias("residual"), F.sum("error").alias("error"), F.sum("nonzero").alias("nonzero"))
+    spread = rows.groupBy("_segment", run).agg((F.var_pop("_y") * F.count("*")).alias("spread"))
+    judged = judged.withColumn("_run", F.col("_unit") % (folds + 1)).join(spread, ["_segment", "_run"])
+    number = lambda x: F.when(~F.isnan(x), x)
+    one = F.struct(
+        "at", F.when(F.col("spread") > 0, number(1 - F.col("residual") / F.col("spread"))).alias("score"),
+        number(F.try_divide(F.col("error") * 100, F.col("nonzero"))).alias("error"),
+    )
+    return judged.groupBy("_segment", "_unit").agg(F.sort_array(F.collect_list(one)).alias("all")).select(
+        "_segment", "_unit", F.col("all.score").alias("scores"), F.col("all.error").alias("errors")
+    )
+
+
+_JUDGED = {"_unit": pa.int32(), "at": pa.int32(), "residual": pa.float64(), "error": pa.float64(), "nonzero": pa.int64()}
+
+
+def _nodes_cells(rows: DataFrame, n: int, choice: DataFrame, grid: Grid, growths: list[Growth], features: int, folds: int) -> DataFrame:
+    """As ``_nodes_local``, of segments with few cells, a tree per task."""
+    segment_type = rows.schema["_segment"].dataType.simpleString()
+
+    def build(key, table):
+        unit, depth, least = (table.column(c)[0].as_py() for c in ("_unit", "depth", "min_split"))
+        g = growths[unit // (folds + 1)]
+        g = Growth(depth, g.leaf_rows, g.subset, least, g.bins)
+        levels = [x for grown, _ in CellSums(table, features).grow(g, folds, keep=True) for x in grown]
+        return _node_table(key[0], unit, levels)
+
+    sums = _cell_sums(rows, n, _slices(grid), features, folds, [folds]).join(choice, "_segment").filter(F.col("tree") < F.col("trees"))
+    return _spread(sums, "_segment", "tree").groupBy("_segment", "tree").applyInArrow(build, f"_segment {segment_type}, _unit int, {_NODE}")
+
+
 # --- segments of many chunks ------------------------------------------------------
 
 
@@ -533,7 +740,7 @@ def _finish(entries: DataFrame, grid: Grid, growths: list[Growth], features: int
                 state.at = {d: met[i] for i, d in enumerate(grid.depths) if not np.isnan(met[i]).all()}
         zero = np.zeros(len(train), np.int64)
         levels = tree_growth.grow(
-            bins[train], y[train], zero, np.arange(len(train)), w[train], *own, g, seed, unit % (folds + 1),
+            bins[train], zero, np.arange(len(train)), w[train], w[train] * y[train], *own, g, seed, unit % (folds + 1),
             state, bins[held], np.zeros(len(held), np.int64), np.arange(len(held)), keep=not held_out,
         )
         if not held_out:
@@ -649,16 +856,27 @@ def qualify_segments_forest(
     chunk_rows, node_rows = min(local_rows, CHUNK_ROWS), min(local_rows, NODE_ROWS)
     n = F.count("*")
     count = F.when(n > local_rows, F.ceil(n / chunk_rows)).otherwise(1).cast("int")
-    sizes = settle(binned.groupBy("_segment").agg(count.alias("_chunks")), "sizes")
+    sizes = settle(binned.groupBy("_segment").agg(count.alias("_chunks"), n.alias("_n")), "sizes")
     small = binned.join(sizes.filter("_chunks = 1"), "_segment", "left_semi").select(*_ROW)
     chunks = sizes.filter("_chunks > 1")
     any_large = not chunks.isEmpty()
-    large = None
+    large = celled = cells = cell_rows = None
+    if any_large:
+        held = binned.join(chunks, "_segment", "left_semi").select("_segment", "_bins").distinct()
+        counts = held.groupBy("_segment").agg(F.count("*").alias("_cells")).filter(F.col("_cells") <= local_rows)
+        few = settle(counts.join(chunks, "_segment").select("_segment", "_cells", "_n"), "cells")
+        cells, cell_rows = few.agg(F.max("_cells"), F.sum("_n")).first()
+        chunks = settle(chunks.join(few, "_segment", "left_anti").drop("_n"), "chunks")
+        any_large = not chunks.isEmpty()
+    if cells:
+        celled = binned.join(few, "_segment", "left_semi").select(*_ROW)
     if any_large:
         spot = F.pmod(F.xxhash64("_k", F.lit("chunk")), F.col("_chunks")).cast("int")
         large = settle(binned.join(chunks, "_segment").withColumn("_chunk", spot).select(*_ROW, "_chunk"), "large")
 
     scored = _score_local(small, grid, growths, len(features), folds)
+    if cells:
+        scored = scored.unionByName(_score_cells(celled, cell_rows, cells, grid, growths, len(features), folds))
     if any_large:
         units = F.explode(F.sequence(F.lit(0), F.lit(len(growths) * (folds + 1) - 1)))
         start = chunks.select("_segment", units.alias("_unit"), F.lit(max(grid.trees)).alias("trees"), F.lit(max(grid.depths)).alias("max_depth"), F.lit(min(grid.min_splits)).alias("min_split"))
@@ -676,6 +894,8 @@ def qualify_segments_forest(
     unit = (F.col("best.growth") * (folds + 1) + folds).cast("int")
     choice = settle(searched.select("_segment", unit.alias("_unit"), "best.trees", "best.depth", "best.min_split"), "choice")
     nodes = _nodes_local(small, choice, growths, len(features), folds)
+    if cells:
+        nodes = nodes.unionByName(_nodes_cells(celled, cell_rows, choice, grid, growths, len(features), folds))
     if any_large:
         start = chunks.join(choice, "_segment").select("_segment", "_unit", "trees", F.col("depth").alias("max_depth"), "min_split")
         tops = _top_nodes(large, chunks, _roots(start), growths, len(features), bins, folds, node_rows)

@@ -33,8 +33,35 @@ def hash_int(value: np.ndarray | int, seed: np.ndarray) -> np.ndarray:
 
 def weights(key_hash: np.ndarray, run: int, tree: int) -> np.ndarray:
     """Bootstrap weights of rows in a tree: Poisson(1), from the hash of key, run and tree."""
-    u = (hash_int(tree, hash_int(run, key_hash.view(_U))) >> _U(11)).astype(np.float64) / float(1 << 53)
-    return np.searchsorted(np.array(POISSON), u, "left").astype(np.float64)
+    return tree_weights(hash_int(run, key_hash.view(_U)), tree)
+
+
+def tree_weights(run_hash: np.ndarray, tree: int) -> np.ndarray:
+    """``weights`` from the hash of key and run."""
+    u = (hash_int(tree, run_hash) >> _U(11)).astype(np.float64) / float(1 << 53)
+    below = np.zeros(len(u), np.int8)
+    for p in POISSON:
+        below += u > p
+    return below.astype(np.float64)
+
+
+def cells(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of ``bins`` in order, and the place of every row among them."""
+    order = np.lexsort(bins.T[::-1])
+    ordered = bins[order]
+    first = np.ones(len(bins), bool)
+    first[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
+    place = np.empty(len(bins), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return ordered[first], place
+
+
+def cell_hash(bins: np.ndarray) -> np.ndarray:
+    """The hash that Spark's ``xxhash64`` gives the rows of ``bins`` as arrays of numbers."""
+    h = np.full(len(bins), 42, _U)
+    for f in range(bins.shape[1]):
+        h = hash_int(bins[:, f].astype(np.int64), h)
+    return h.view(np.int64)
 
 
 @dataclass(frozen=True)
@@ -132,18 +159,17 @@ class Held:
 
 
 def grow(
-    bins: np.ndarray, y: np.ndarray, slot: np.ndarray, row: np.ndarray, w: np.ndarray, tree: np.ndarray, node: np.ndarray,
+    bins: np.ndarray, slot: np.ndarray, row: np.ndarray, w: np.ndarray, wy: np.ndarray, tree: np.ndarray, node: np.ndarray,
     growth: Growth, seed: int, run: int, held: Held | None = None, held_bins: np.ndarray | None = None,
     held_slot: np.ndarray | None = None, held_row: np.ndarray | None = None, keep: bool = False,
 ) -> list[Nodes]:
     """Grow the subtrees below the nodes ``(tree, node)``, all at one depth.
 
-    Entries are rows in a tree: ``slot`` numbers their node, ``row`` their place in ``bins`` and ``y``
-    and ``w`` their weight.  Held-out entries follow their nodes down, whichever rows they are.
+    Entries are rows in a tree: ``slot`` numbers their node, ``row`` their place in ``bins``, ``w`` is their
+    weight and ``wy`` their weighted label.  Held-out entries follow their nodes down, whichever rows they are.
     """
     levels: list[Nodes] = []
     depth = int(node[0]).bit_length() - 1 if len(node) else 0
-    wy = w * y[row]
     going = np.arange(len(held_slot)) if held is not None else None  # held entries in an open node
     while len(node):
         count = len(node)
@@ -183,8 +209,15 @@ def grow_slice(
 ) -> tuple[list[Nodes], np.ndarray | None]:
     """Whole trees on rows held here; with held-out rows, their values ``[depths, min_splits, trees, rows]``."""
     w = np.stack([weights(key_hash, run, t) for t in trees])
+    return grow_sums(bins, w, w * y, trees, growth, seed, run, held_bins, depths, min_splits, keep)
+
+
+def grow_sums(
+    bins: np.ndarray, w: np.ndarray, wy: np.ndarray, trees: range, growth: Growth, seed: int, run: int,
+    held_bins: np.ndarray | None = None, depths=(), min_splits=(), keep: bool = False,
+) -> tuple[list[Nodes], np.ndarray | None]:
+    """As ``grow_slice``, from the weights and weighted labels ``[trees, rows]`` of rows, or their sums over rows with equal bins."""
     slot, row = np.nonzero(w)
-    entries = w[slot, row]
     have = np.bincount(slot, minlength=len(trees)) > 0  # a tree without a row has no nodes
     number = np.cumsum(have) - 1
     tree = np.array(trees, np.int64)[have]
@@ -193,7 +226,8 @@ def grow_slice(
         held = Held(int(have.sum()) * len(held_bins), depths, min_splits)
         held_slot = np.repeat(np.arange(int(have.sum())), len(held_bins))
         held_row = np.tile(np.arange(len(held_bins)), int(have.sum()))
-    levels = grow(bins, y, number[slot], row, entries, tree, np.ones(len(tree), np.int64), growth, seed, run, held, held_bins, held_slot, held_row, keep)
+    root = np.ones(len(tree), np.int64)
+    levels = grow(bins, number[slot], row, w[slot, row], wy[slot, row], tree, root, growth, seed, run, held, held_bins, held_slot, held_row, keep)
     if held is None:
         return levels, None
     values = np.full((len(depths), len(min_splits), len(trees), len(held_bins)), np.nan)

@@ -173,3 +173,42 @@ def test_packing_gets_no_edges(prices):
     row = packed.first()
     assert (row.roots, row.feature, row.threshold, row.left) == ([0], [0, -1, -1], [1.5, 0.0, 0.0], [1, -1, -1])
     assert (row.value, row.steps, row.importances) == ([5.0, 4.0, 6.0], [0], [1.0, 0.0])
+
+
+def test_cell_hash_is_sparks(spark):
+    bins = np.array([[0, 3, 5], [1, 1, 126], [31, 0, 2]], np.int8)
+    df = spark.createDataFrame([(x.tolist(),) for x in bins], "b array<tinyint>")
+    assert sorted(r[0] for r in df.select(F.xxhash64("b")).collect()) == sorted(tree_growth.cell_hash(bins).tolist())
+    cells, place = tree_growth.cells(bins[[2, 0, 2, 1]])
+    np.testing.assert_array_equal(cells, bins)
+    assert place.tolist() == [2, 0, 2, 1]
+
+
+@pytest.fixture(scope="module")
+def rooms(spark):
+    """Many rows in few cells; one cell has a third of them and a third of the keys is missing."""
+    rng = np.random.default_rng(9)
+    n = 1500
+    pdf = pd.DataFrame({"sku": [f"k{i}" if i % 3 else None for i in range(n)], "colonia": rng.choice(["A", "B"], n, p=[0.7, 0.3])})
+    for i, c in enumerate(FEATURES):
+        pdf[c] = np.where(np.arange(n) % 3 == 1, 1, rng.integers(0, 5 - i, n)).astype(float)
+    pdf["price"] = np.where(rng.random(n) < 0.01, 0, 1000 + 100 * pdf.a * (pdf.b > 1) + 30 * pdf.c + rng.normal(0, 20, n).round(3))
+    return spark.createDataFrame(pdf)
+
+
+def test_few_cells_equal_one_task(rooms, monkeypatch):
+    """Trees grown from the sums of cells, in pieces and blocks, are those of rows in one task; no chunk is made."""
+    quality, forest = search(rooms, exact=False)
+    for name in ("_score_large", "_top_nodes", "_entries"):
+        monkeypatch.setattr(sf, name, None)
+    monkeypatch.setattr(sf, "PIECE", 70)
+    monkeypatch.setattr(sf, "BLOCK", 16)
+    added, other = search(rooms, local_rows=100, exact=False)
+    want, got = (q.toPandas().set_index("colonia").sort_index() for q in (quality, added))
+    assert len(want) == 2
+    pd.testing.assert_frame_equal(got, want, check_exact=False, rtol=1e-9)
+    places = rooms.select(F.monotonically_increasing_id().alias("i"), *rooms.columns)
+    a, b = (f.transform(places).select("i", "prediction").toPandas().set_index("i").sort_index() for f in (forest, other))
+    np.testing.assert_allclose(a.prediction, b.prediction, rtol=1e-9)
+    x, z = (f.importances().toPandas().set_index(["colonia", "feature"]).sort_index() for f in (forest, other))
+    np.testing.assert_allclose(x.importance, z.importance, rtol=1e-7, atol=1e-12)
