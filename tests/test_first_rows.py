@@ -143,3 +143,40 @@ def test_flags_are_joined_as_a_number(spark, tables):
     at = next(i for i, x in enumerate(plan) if "Exchange hashpartitioning(l_partkey" in x)
     rows = next(x for x in plan[at:] if "Project [" in x)
     assert "flags#" in rows and "l_returnflag" not in rows and "l_linestatus" not in rows
+
+
+def test_snapshots_are_shuffled_as_short_rows(spark, tables, tmp_path, monkeypatch):
+    """Listings are made of rows in their places: the shuffle has no text that is made of others, the result is the same."""
+    given, real = [], star.write_snapshots
+    monkeypatch.setattr(star, "write_snapshots", lambda rows, *a: given.append(rows) or real(rows, *a))
+    monkeypatch.setattr(star, "FILE_RECORDS", 2)
+    got = catalogue.load_snapshots(spark, tables)
+    assert not {"sku", "link", "descripcion", "sub_category", "agent", "divisa"} & set(given[0].columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, catalogue.dedup_listings(spark, tables).collect()))
+    raw = star.read_listings(spark, tables)
+    made = star.listings_of(given[0])
+    same = [c for c in raw.columns if not c.startswith("ord")]
+    assert sorted(map(repr, made.select(*same).collect())) == sorted(map(repr, raw.select(*same).collect()))
+
+
+def test_written_snapshots_are_in_order(spark, tables, tmp_path):
+    """Tasks hold ranges of the order, each with rows of all snapshots; files of a snapshot follow one another."""
+    schema = spark.read.parquet(f"{tables}/lineitem.parquet").schema
+    lines = [(100 + i, 1, i % 3 + 1, (1, 2, 9)[i % 5 % 3], 4.0, float(i * 7 % 60), "A", "F", _DAY) for i in range(60)]
+    spark.createDataFrame(lines, schema).write.mode("append").parquet(f"{tables}/lineitem.parquet")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        paths = star.write_snapshots(star.read_joined(spark, tables), str(tmp_path / "s"), star.ROW_ORDER, star.listings_of)
+    finally:
+        spark.conf.set(coalesce, before)
+    want = star.read_listings(spark, tables).collect()
+    assert paths == [f"{tmp_path}/s/snapshot_id={i}" for i in sorted({r.snapshot_id for r in want})]
+    several = 0
+    for path in paths:
+        rows = snapshots.read_snapshot(spark, path).orderBy("file", "block", "row").collect()
+        several += len({r.file for r in rows}) > 1
+        own = sorted((r for r in want if path.endswith(f"={r.snapshot_id}")), key=lambda r: (r.ord1, r.ord2, r.ord3))
+        assert [(r.price, r.autos) for r in rows] == [(r.price, r.autos) for r in own]
+    assert several

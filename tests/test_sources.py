@@ -130,3 +130,14 @@ def test_settled_tables_live_in_the_configured_folder(spark):
 
 def test_schema_has_the_fields_of_a_listing():
     assert len(LISTING_SCHEMA) == 24
+
+
+def test_lines_with_and_without_the_array_around_them(spark, tmp_path):
+    """A line that is a record is read as it is; brackets and commas of an array go, those of a record stay."""
+    lines = ["[", '{"sku":"a]"},', ' {"sku":"b,"} ', '[{"sku":"c"},', '{"sku":"d"}, {"sku":"[e"}', '{"sku":"f"}]', "]", "", "[]"]
+    path = tmp_path / "odd.json"
+    path.write_text("\n".join(lines) + "\n")
+    read = snapshots.read_snapshot(spark, str(path), SCHEMA)
+    assert [r.sku for r in read.orderBy("row").collect()] == ["a]", "b,", "c", "d", "[e", "f"]
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith(" in plan and "EndsWith(" in plan  # the pattern is for other lines only
