@@ -58,9 +58,7 @@ def _possible(keys: DataFrame, bits: DataFrame, key: str, buckets: int) -> DataF
 
 
 def _known(spark: SparkSession, store: str, log: list, fresh: DataFrame, key: str) -> DataFrame | None:
-    """The keys of ``fresh`` that the store has, None if it has none of them."""
-    if not log or not log[-1]["total"]:
-        return None
+    """The keys of ``fresh`` that the store, which has some, has too; None if it has none of them."""
     last = log[-1]
     bits = spark.read.parquet(f"{store}/bits/load={last['load']}")
     possible = settle(_possible(fresh, bits, key, last["buckets"]), "possible")
@@ -92,7 +90,12 @@ def add_snapshot(
     log, load = _log(spark, store), uuid.uuid4().hex
     order = [c for c in ROW_ORDER if c != "snapshot_id"]
     read = read_snapshot(spark, path, schema, layout, longitude)
-    known = _known(spark, store, log, settle(read.select(key).distinct(), "snapshot"), key)
+    known = None
+    if log and log[-1]["total"]:
+        # Only the key is taken from a record here; a column-oriented file has its records in all columns.
+        short = schema if layout == "columns" else T.StructType([schema[key]])
+        keys = read_snapshot(spark, path, short, layout, longitude).select(key).distinct()
+        known = _known(spark, store, log, settle(keys, "snapshot"), key)
     new = keep_first(read, order, key).drop(*order)
     if known is not None:
         # An equality keeps the rows where the choice of the first one has put them; it never holds for a missing key.

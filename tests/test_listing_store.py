@@ -88,3 +88,19 @@ def test_a_broken_load_counts_for_nothing(spark, tmp_path, monkeypatch):
     assert _rows(listing_store.read_store(spark, store)) == [("a", 1.0)]
     assert listing_store.add_snapshot(spark, store, two, schema=SCHEMA) == 1
     assert _rows(listing_store.read_store(spark, store)) == [("a", 1.0), ("b", 6.0)]
+
+
+def test_only_keys_are_taken_from_records_to_look_them_up(spark, tmp_path, monkeypatch):
+    one = _write(tmp_path / "1.json", [{"sku": "a", "price": 1}, {"sku": "b", "price": 2}])
+    two = _write(tmp_path / "2.json", [{"sku": "b", "price": 5}, {"sku": "c", "price": 6}])
+    read, real = [], listing_store.read_snapshot
+    monkeypatch.setattr(listing_store, "read_snapshot", lambda s, path, schema, *a: read.append(schema.names) or real(s, path, schema, *a))
+    made, settle = [], listing_store.settle
+    monkeypatch.setattr(listing_store, "settle", lambda df, label="table": made.append(label) or settle(df, label))
+    store = str(tmp_path / "store")
+    listing_store.create(spark, store)
+    assert listing_store.add_snapshot(spark, store, one, schema=SCHEMA) == 2
+    assert read == [SCHEMA.names] and not made  # an empty store knows no key
+    assert listing_store.add_snapshot(spark, store, two, schema=SCHEMA) == 1
+    assert sorted(read[1:], key=len) == [["sku"], SCHEMA.names]
+    assert _rows(listing_store.read_store(spark, store)) == [("a", 1.0), ("b", 2.0), ("c", 6.0)]
