@@ -61,7 +61,8 @@ def _known(spark: SparkSession, store: str, log: list, fresh: DataFrame, key: st
     """The keys of ``fresh`` that the store, which has some, has too; None if it has none of them."""
     last = log[-1]
     bits = spark.read.parquet(f"{store}/bits/load={last['load']}")
-    possible = settle(_possible(fresh, bits, key, last["buckets"]), "possible")
+    # Most keys of a snapshot are new: their bits are looked up as they are read, and only the others are gathered.
+    possible = settle(_possible(fresh, bits, key, last["buckets"]).distinct(), "possible")
     if possible.isEmpty():
         return None
     # Both sides have a key once, so no key is hot.
@@ -94,8 +95,7 @@ def add_snapshot(
     if log and log[-1]["total"]:
         # Only the key is taken from a record here; a column-oriented file has its records in all columns.
         short = schema if layout == "columns" else T.StructType([schema[key]])
-        keys = read_snapshot(spark, path, short, layout, longitude).select(key).distinct()
-        known = _known(spark, store, log, settle(keys, "snapshot"), key)
+        known = _known(spark, store, log, read_snapshot(spark, path, short, layout, longitude).select(key), key)
     new = keep_first(read, order, key).drop(*order)
     if known is not None:
         # An equality keeps the rows where the choice of the first one has put them; it never holds for a missing key.
