@@ -61,6 +61,7 @@ CHUNK_ROWS, NODE_ROWS = 50_000, 500_000  # of a larger one: in a chunk, and in a
 SLICE, SLICE_ROWS = 16, 800_000  # trees grown at once, and their rows together
 EMITTED = 1_000_000  # rows in trees that one task gives, about
 PIECE, BLOCK = 200_000, 4096  # rows whose cells are added up at once, and cells that are scored together
+SUMS = 4_000_000  # of cells in trees, that one task holds
 _DECIDE, _FINISH, _LEAF = -3, -2, -1  # instead of a feature: what a node without a split waits for
 
 
@@ -312,9 +313,10 @@ def _nodes_local(rows: DataFrame, choice: DataFrame, growths: list[Growth], feat
 # --- segments of many rows in few cells --------------------------------------------
 
 
-def _slices(grid: Grid) -> list[tuple[int, int]]:
+def _slices(grid: Grid, cells: int) -> list[tuple[int, int]]:
     """First and last + 1 of the trees that one task grows from sums; every size of a forest ends a slice."""
-    stops = sorted({*range(SLICE, max(grid.trees), SLICE), *grid.trees})
+    step = max(1, min(SLICE, SUMS // cells))
+    stops = sorted({*range(step, max(grid.trees), step), *grid.trees})
     return [*zip([0, *stops], stops)]
 
 
@@ -430,7 +432,7 @@ def _cell_totals(sums: DataFrame, grid: Grid, growths: list[Growth], features: i
 def _score_cells(rows: DataFrame, n: int, cells: int, grid: Grid, growths: list[Growth], features: int, folds: int) -> DataFrame:
     """As ``_score_local``, of segments of ``n`` rows together with up to ``cells`` cells each; errors of the test run only."""
     segment_type = rows.schema["_segment"].dataType.simpleString()
-    blocks, slices = -(-cells // BLOCK), _slices(grid)
+    blocks, slices = -(-cells // BLOCK), _slices(grid, cells)
     totals = _cell_totals(_cell_sums(rows, n, slices, features, folds, [*range(folds + 1)]), grid, growths, features, folds, blocks)
     run = F.when(F.col("is_test"), folds).otherwise(F.col("fold")).alias("_run")
     held = rows.select("_segment", run, F.pmod(F.xxhash64("_bins"), F.lit(blocks)).cast("int").alias("_block"), "_k", "_y", "_bins")
@@ -497,7 +499,7 @@ def _score_cells(rows: DataFrame, n: int, cells: int, grid: Grid, growths: list[
 _JUDGED = {"_unit": pa.int32(), "at": pa.int32(), "residual": pa.float64(), "error": pa.float64(), "nonzero": pa.int64()}
 
 
-def _nodes_cells(rows: DataFrame, n: int, choice: DataFrame, grid: Grid, growths: list[Growth], features: int, folds: int) -> DataFrame:
+def _nodes_cells(rows: DataFrame, n: int, cells: int, choice: DataFrame, grid: Grid, growths: list[Growth], features: int, folds: int) -> DataFrame:
     """As ``_nodes_local``, of segments with few cells, a tree per task."""
     segment_type = rows.schema["_segment"].dataType.simpleString()
 
@@ -508,7 +510,7 @@ def _nodes_cells(rows: DataFrame, n: int, choice: DataFrame, grid: Grid, growths
         levels = [x for grown, _ in CellSums(table, features).grow(g, folds, keep=True) for x in grown]
         return _node_table(key[0], unit, levels)
 
-    sums = _cell_sums(rows, n, _slices(grid), features, folds, [folds]).join(choice, "_segment").filter(F.col("tree") < F.col("trees"))
+    sums = _cell_sums(rows, n, _slices(grid, cells), features, folds, [folds]).join(choice, "_segment").filter(F.col("tree") < F.col("trees"))
     return _spread(sums, "_segment", "tree").groupBy("_segment", "tree").applyInArrow(build, f"_segment {segment_type}, _unit int, {_NODE}")
 
 
@@ -895,7 +897,7 @@ def qualify_segments_forest(
     choice = settle(searched.select("_segment", unit.alias("_unit"), "best.trees", "best.depth", "best.min_split"), "choice")
     nodes = _nodes_local(small, choice, growths, len(features), folds)
     if cells:
-        nodes = nodes.unionByName(_nodes_cells(celled, cell_rows, choice, grid, growths, len(features), folds))
+        nodes = nodes.unionByName(_nodes_cells(celled, cell_rows, cells, choice, grid, growths, len(features), folds))
     if any_large:
         start = chunks.join(choice, "_segment").select("_segment", "_unit", "trees", F.col("depth").alias("max_depth"), "min_split")
         tops = _top_nodes(large, chunks, _roots(start), growths, len(features), bins, folds, node_rows)

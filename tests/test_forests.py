@@ -203,6 +203,7 @@ def test_few_cells_equal_one_task(rooms, monkeypatch):
         monkeypatch.setattr(sf, name, None)
     monkeypatch.setattr(sf, "PIECE", 70)
     monkeypatch.setattr(sf, "BLOCK", 16)
+    monkeypatch.setattr(sf, "SUMS", 150)
     added, other = search(rooms, local_rows=100, exact=False)
     want, got = (q.toPandas().set_index("colonia").sort_index() for q in (quality, added))
     assert len(want) == 2
